@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallmap.llm import mixing, sharding, url_filter
+from stallmap.llm import license_scan, mixing, sharding, simhash, url_filter
 from stallmap.llm.common import table
 
 
@@ -27,6 +27,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_shards, op4_url_filter)}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_shards, op4_url_filter, op6_simhash, op9_license_scan)}
 
 ORACLES: dict[str, str] = {}
