@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallmap.llm import license_scan, mixing, sharding, simhash, url_filter
+from stallmap.llm import license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, url_filter
 from stallmap.llm.common import table
 
 
@@ -31,10 +31,20 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_shards, op4_url_filter, op6_simhash, op9_license_scan)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_shards, op4_url_filter, op6_simhash, op8_quality_rules, op9_license_scan, op10_quality_classifier)}
 
 ORACLES: dict[str, str] = {}
