@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallmap.llm.common import materialize
+from stallmap.llm.common import fresh, materialize
 from stallmap.llm.graph import components
 
 SEED = 42
@@ -40,44 +40,54 @@ LEAST_BITS = 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(data: bytes, shingle: int) -> int:
-    """SimHash of the word shingles of a text in UTF-8, unsigned. A bit is 1 if it is set in over half of the
-    shingles' XXH64. Fewer words than a shingle: the whole sequence is the one shingle. No word: 0."""
-    words = data.translate(_LOWER).split()
-    if not words:
-        return 0
-    line, n = b" ".join(words), max(1, len(words) - shingle + 1)
-    if n == 1:
-        return xxhash.xxh64_intdigest(line, SEED)
+def _hash64(shingle: bytes) -> bytes:
+    return xxhash.xxh64_intdigest(shingle, SEED).to_bytes(8, "little")
+
+
+def _hash192(shingle: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(shingle) + xxhash.xxh64_digest(shingle)
+
+
+def signature(data: bytes, shingle: int, words: int = 1) -> bytes:
+    """SimHash of the word shingles of a text in UTF-8: one big-endian word of 64 bits, or three. A bit is 1 if
+    it is set in over half of the shingles' hashes (for one word, their XXH64). Fewer words of text than a
+    shingle: the whole sequence is the one shingle. No word: all bits are 0."""
+    found = data.translate(_LOWER).split()
+    if not found:
+        return bytes(8 * words)
+    line, n, of = b" ".join(found), max(1, len(found) - shingle + 1), _hash64 if words == 1 else _hash192
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    starts, ends = [0, *(gaps[: n - 1] + 1).tolist()], [*gaps[shingle - 1 :].tolist(), len(line)]
-    votes = np.zeros(64, np.int64)
+    starts = [0, *(gaps[: n - 1] + 1).tolist()]
+    ends = [*gaps[shingle - 1 :].tolist(), len(line)] if len(found) > shingle else [len(line)]
+    votes = np.zeros(64 * words, np.int64)
     for k in range(0, n, 1 << 15):
-        part = [xxhash.xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts[k : k + (1 << 15)], ends[k : k + (1 << 15)])]
-        bits = np.unpackbits(np.array(part, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        part = b"".join([of(line[s:e]) for s, e in zip(starts[k : k + (1 << 15)], ends[k : k + (1 << 15)])])
+        bits = np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
+    return np.packbits(2 * votes > n, bitorder="little").view("<u8").astype(">u8").tobytes()
 
 
-def fingerprints(docs: DataFrame, text_col: str, out: str, shingle: int) -> DataFrame:
-    """docs with one more column `out` (long, the fingerprint's bits). Null text: as an empty one."""
+def signatures(docs: DataFrame, text_col: str, out: str, shingle: int, words: int = 1) -> DataFrame:
+    """docs with one more column `out`, binary. Null text: as an empty one."""
     at = docs.columns.index(text_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = b.column(at).cast(pa.large_binary()).to_pylist()
-            found = np.array([fingerprint(x or b"", shingle) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], names=[*b.schema.names, out])
+            found = pa.array([signature(x or b"", shingle, words) for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(batches, docs.withColumn(out, F.lit(0).cast("long")).schema)
+    return docs.mapInArrow(batches, docs.withColumn(out, F.lit(b"")).schema)
 
 
 class Digest:
     """The digest of variants: linear, then spread evenly over 2 ** bits by a one-to-one function."""
 
-    def __init__(self, variants: int, half: int, groups_bits: int):
-        self.bits = min(50, max(LEAST_BITS, math.ceil(math.log2(max(2, variants))) + 3, groups_bits + 1))
-        masks = [sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(64), k)]
+    def __init__(self, variants: int, half: int, width: int, group_bits: int):
+        wanted = max(LEAST_BITS, math.ceil(math.log2(max(2, variants))) + 3, group_bits + 1)
+        # Short fingerprints are their own digests.
+        self.bits, self.plain = (width, True) if width <= wanted else (min(50, wanted), False)
+        masks = [sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(width), k)]
         self.masks = np.array(masks, np.uint64)
         seed = 1
         while True:
@@ -102,8 +112,10 @@ class Digest:
         return tables
 
     def linear(self, fps: np.ndarray) -> np.ndarray:
+        if self.plain:
+            return fps.copy()
         out = np.zeros(len(fps), np.uint64)
-        for k, column in enumerate(fps.view(np.uint8).reshape(-1, 8).T):
+        for k, column in enumerate(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8).T):
             out ^= self.tables[k][column]
         return out
 
@@ -151,104 +163,146 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[inner]], nodes[inner]
 
 
-def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """fps: a column fp of distinct longs, materialised -> a, b (long): links between fingerprints at most
-    radius bits apart, enough of them to connect whatever all of them connect."""
-    half, n = (radius + 1) // 2, fps.count()
-    each = sum(math.comb(64, k) for k in range(half + 1))
+def ball_links(sigs: DataFrame, words: int, radius: int, width: int, limit: int) -> DataFrame:
+    """sigs: node (distinct longs), sig (binary of so many 64-bit words), materialised -> a, b: links of nodes.
+
+    The low `width` bits of each word are a fingerprint; where those of two nodes are at most radius bits apart,
+    in any word, the nodes meet, and they are linked if all their bits together differ in at most limit. One word
+    of 64 bits is the node itself. The links suffice to connect whatever all of them connect.
+    """
+    half, n = (radius + 1) // 2, sigs.count()
+    each = sum(math.comb(width, k) for k in range(half + 1))
     group_bits = max(0, math.ceil(math.log2(max(1, n * each / GROUP))))
-    digest = Digest(n * each, half, group_bits)
-    shift = np.uint64(digest.bits - group_bits)
+    digest = Digest(n * each, half, width, group_bits)
+    shift, low_bits = np.uint64(digest.bits - group_bits), np.uint64((1 << width) - 1)
     id_bits, low_id = np.uint64(BLOCK_BITS), np.uint64(BLOCK - 1)
+    self_named = words == 1 and width == 64
 
-    def emit(fp: np.ndarray) -> pa.RecordBatch:
-        keys = digest.spread((digest.linear(fp)[:, None] ^ digest.sums[None, :]).reshape(-1))
-        keys <<= id_bits
-        keys |= np.repeat(np.arange(len(fp), dtype=np.uint64), each)
-        keys.sort()
-        edges = np.searchsorted(keys, np.arange(1 << group_bits, dtype=np.uint64) << (shift + id_bits)).tolist() + [len(keys)]
+    def emit(nodes: np.ndarray) -> pa.RecordBatch:
+        """nodes: a row of node and sig words for each."""
         rows, pack = [], zstandard.ZstdCompressor(level=1)
-        for g, (s, e) in enumerate(zip(edges, edges[1:])):
-            if s == e:
-                continue
-            ids, own = (keys[s:e] & low_id).astype(np.uint16), fp
-            if e - s < len(fp):
-                used, ids = np.unique(ids, return_inverse=True)
-                ids, own = ids.astype(np.uint16), fp[used]
-            steps = np.diff(keys[s:e] >> id_bits, prepend=np.uint64(g) << shift)
-            if wide := int(steps.max()) >= 1 << 32:
-                data = _planes(steps)
-            else:
-                data = _planes(steps.astype(np.uint32))
-            rows.append((g, e - s, wide, own.tobytes(), pack.compress(data + _planes(ids))))
-        names = ["grp", "n", "wide", "fps", "packed"]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=names)
+        for word in range(words):
+            fp = nodes[:, 1 + word] & low_bits
+            keys = digest.spread((digest.linear(fp)[:, None] ^ digest.sums[None, :]).reshape(-1))
+            keys <<= id_bits
+            keys |= np.repeat(np.arange(len(fp), dtype=np.uint64), each)
+            keys.sort()
+            edges = np.searchsorted(keys, np.arange(1 << group_bits, dtype=np.uint64) << (shift + id_bits)).tolist() + [len(keys)]
+            for g, (s, e) in enumerate(zip(edges, edges[1:])):
+                if s == e:
+                    continue
+                ids, own = (keys[s:e] & low_id).astype(np.uint16), nodes
+                if e - s < len(fp):
+                    used, ids = np.unique(ids, return_inverse=True)
+                    ids, own = ids.astype(np.uint16), nodes[used]
+                steps = np.diff(keys[s:e] >> id_bits, prepend=np.uint64(g) << shift)
+                wide = int(steps.max()) >= 1 << 32
+                data = _planes(steps if wide else steps.astype(np.uint32))
+                own = np.ascontiguousarray(own[:, 1:] if self_named else own)
+                rows.append((word << group_bits | g, e - s, wide, own.tobytes(), pack.compress(data + _planes(ids))))
+        kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["grp", "n", "wide", "nodes", "packed"])
 
     def balls(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait: list[np.ndarray] = []
+        wait = np.zeros((0, 1 + words), np.uint64)
         for b in it:
-            wait.append(b.column(0).to_numpy().view(np.uint64))
-            if sum(map(len, wait)) >= BLOCK:
-                have = np.concatenate(wait)
-                for k in range(0, len(have) - BLOCK + 1, BLOCK):
-                    yield emit(have[k : k + BLOCK])
-                wait = [have[len(have) // BLOCK * BLOCK :]]
-        if wait and len(last := np.concatenate(wait)):
-            yield emit(last)
+            names = b.column(0).to_numpy().view(np.uint64)[:, None]
+            bits = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+            wait = np.concatenate([wait, np.concatenate([names, bits], axis=1)])
+            while len(wait) >= BLOCK:
+                yield emit(wait[:BLOCK])
+                wait = wait[BLOCK:]
+        if len(wait):
+            yield emit(wait)
 
     def meet(rows: pa.Table) -> pa.Table:
-        keys, all_fps, before = [], [], 0
-        own_bits = np.uint64(max(1, math.ceil(math.log2(sum(len(x) // 8 for x in rows["fps"].to_pylist()) + 1))))
-        base, unpack = np.uint64(rows["grp"][0].as_py()) << shift, zstandard.ZstdDecompressor()
-        for _, m, wide, fp, packed in zip(*(rows[c].to_pylist() for c in ("grp", "n", "wide", "fps", "packed"))):
+        across, keys, found, before = (1 if self_named else 1 + words), [], [], 0
+        group, unpack = rows["grp"][0].as_py(), zstandard.ZstdDecompressor()
+        word, base = group >> group_bits, np.uint64(group & ((1 << group_bits) - 1)) << shift
+        own_bits = np.uint64(max(1, math.ceil(math.log2(sum(len(x) for x in rows["nodes"].to_pylist()) // (8 * across) + 1))))
+        for m, wide, own, packed in zip(*(rows[c].to_pylist() for c in ("n", "wide", "nodes", "packed"))):
             size, data = (8 if wide else 4) * m, unpack.decompress(packed)
             steps = _from_planes(data[:size], m, np.uint64 if wide else np.uint32).astype(np.uint64)
             ids = _from_planes(data[size:], m, np.uint16).astype(np.uint64) + np.uint64(before)
             # The first step is from the group's least digest, so the sum is what is above it.
             keys.append((np.cumsum(steps) << own_bits) | ids)
-            all_fps.append(np.frombuffer(fp, np.uint64))
-            before += len(fp) // 8
-        fps_, keys_ = np.concatenate(all_fps), np.concatenate(keys)
-        del keys
+            found.append(np.frombuffer(own, np.uint64).reshape(-1, across))
+            before += len(found[-1])
+        nodes, keys_ = np.concatenate(found), np.concatenate(keys)
+        del keys, found
         keys_.sort()
         high = keys_ >> own_bits
         same = high[1:] == high[:-1]
         member = np.append(same, False) | np.insert(same, 0, False)
-        keys_, high = keys_[member], high[member] + base
-        fp = fps_[(keys_ & np.uint64((1 << int(own_bits)) - 1)).astype(np.int64)]
-        variant = digest.variants(high, fp)
-        order = np.lexsort((fp, variant))
-        fp, variant = fp[order], variant[order]
-        first = np.insert(variant[1:] != variant[:-1], 0, True) if len(fp) else np.zeros(0, bool)
-        least = fp[np.maximum.accumulate(np.where(first, np.arange(len(fp)), 0))] if len(fp) else fp
-        linked = (least != fp) & (np.bitwise_count(least ^ fp) <= radius)
-        a, b = spanning(least[linked], fp[linked])
+        high, at = high[member] + base, (keys_[member] & np.uint64((1 << int(own_bits)) - 1)).astype(np.int64)
+        del keys_, same, member
+        name, sig = nodes[at, 0], nodes[at] if self_named else nodes[at, 1:]
+        variant = digest.variants(high, sig[:, word] & low_bits)
+        order = np.lexsort((name, variant))
+        name, sig, variant = name[order], sig[order], variant[order]
+        first = np.insert(variant[1:] != variant[:-1], 0, True)[: len(variant)]
+        here = np.arange(len(name))
+        a, b = [], []
+        # Each with the least node of its variant; with several words also with its neighbour, as the
+        # least one may have met it by chance.
+        for other in (np.maximum.accumulate(np.where(first, here, 0)), *([np.where(first, here, here - 1)] if words > 1 else ())):
+            near = (other != here) & (np.bitwise_count(sig ^ sig[other]).sum(axis=1, dtype=np.int64) <= limit)
+            a.append(name[other[near]])
+            b.append(name[near])
+        a, b = spanning(np.concatenate(a), np.concatenate(b))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     tasks = max(1, math.ceil(n / BLOCK))
-    packed = fps.select("fp").repartition(tasks).mapInArrow(balls, "grp int, n int, wide boolean, fps binary, packed binary")
+    packed = sigs.select("node", "sig").repartition(tasks).mapInArrow(balls, "grp int, n int, wide boolean, nodes binary, packed binary")
     return packed.groupBy("grp").applyInArrow(meet, "a long, b long")
 
 
-def classes(slim: DataFrame, radius: int = 4) -> DataFrame:
-    """slim (fp, doc_id; materialised) -> fp, component_id: for each fingerprint the least doc_id of the
-    documents that links reach from it. Null ids don't count; a class of null ids only has a null one."""
-    own = materialize(slim.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
-    roots = components(ball_links(own, radius))
-    rooted = own.join(roots, own.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "simhash-rooted")
-    names = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
-    return materialize(rooted.join(names, "root").select("fp", "component_id"), "simhash-classes")
+def _node(sig: str) -> Column:
+    """Eight bytes, big-endian, as a long."""
+    halves = [F.conv(F.substring(F.hex(sig), at, 8), 16, 10).cast("long") for at in (1, 9)]
+    return F.shiftleft(halves[0], 32).bitwiseOR(halves[1])
 
 
 def link(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, fingerprint (16 hexadecimal digits), component_id.
+    """One row for each row of docs: doc_id, fingerprint (16 hexadecimal digits), component_id: the least doc_id
+    of the documents that links reach from it.
 
     Null and empty texts, and texts of white space, have fingerprint zero and are linked like any other.
-    Repeated rows are copies of each other. Null ids keep their rows; they never name a class. An empty
-    table gives no rows. Other columns of docs are not looked at.
+    Repeated rows are copies of each other. Null ids keep their rows; a class of null ids only has a null id.
+    An empty table gives no rows. Other columns of docs are not looked at.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    slim = materialize(fingerprints(slim, "text", "fp", shingle).select("doc_id", "fp"), "simhash-docs")
-    got = slim.join(classes(slim, radius), "fp")
-    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    slim = materialize(signatures(slim, "text", "sig", shingle).select("doc_id", "sig"), "simhash-docs")
+    own = materialize(slim.groupBy("sig").agg(F.min("doc_id").alias("least")).withColumn("node", _node("sig")), "simhash-nodes")
+    roots = components(ball_links(own, 1, radius, 64, radius))
+    own = own.withColumnRenamed("node", "n")
+    rooted = materialize(own.join(roots, own.n == roots.node, "left").select("sig", "least", F.coalesce("root", "n").alias("root")), "simhash-rooted")
+    names = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
+    classes = materialize(rooted.join(names, "root").select("sig", "component_id"), "simhash-classes")
+    return slim.join(classes, "sig").select("doc_id", F.lower(F.hex("sig")).alias("fingerprint"), "component_id")
+
+
+#: Near-duplicates of five words and a similarity of 0.8 or more. Such texts differ in up to 15 of 100 bits, 10 in 64:
+#: more than a ball can reach. So three fingerprints of 32 bits are hashed into balls of the same radius; texts
+#: that meet in any are compared over all 192 bits, which differ in 29 on average at a similarity of 0.8, and in up to 33 by chance.
+WORDS, WIDTH, RADIUS, LIMIT = 3, 32, 4, 33
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with one of each group of near-duplicates, with just their columns: the least id, null
+    ids last, then the least hash of the text. Groups are what links reach. Texts without words are copies of
+    each other. Of repeated rows one stays. An empty table gives no rows."""
+    k1, k2 = fresh(docs, "simhash_k1"), fresh(docs, "simhash_k2")
+    keyed = docs.withColumn(k1, F.xxhash64(id_col, text_col)).withColumn(k2, F.hash(text_col, id_col))
+    slim = keyed.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(k1).alias("k1"), F.col(k2).alias("k2"))
+    slim = materialize(signatures(slim, "text", "sig", shingle, WORDS).select("id", "k1", "k2", "sig"), "simhash-docs")
+    order = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("k1"), F.col("k2"))
+    own = slim.groupBy("sig").agg(F.min(order).alias("least")).withColumn("node", F.monotonically_increasing_id())
+    own = materialize(own, "simhash-nodes")
+    links = ball_links(own, WORDS, RADIUS, WIDTH, LIMIT)
+    roots = components(links)
+    own = own.select(F.col("node").alias("n"), "least")
+    rooted = own.join(roots, own.n == roots.node, "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("least").alias("least"))
+    winners = materialize(rooted.select(F.col("least.k1").alias(k1), F.col("least.k2").alias(k2)), "simhash-winners")
+    # The keys of the semi join are those of the distinct, which so needs no exchange of its own.
+    return keyed.join(winners, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*docs.columns)
