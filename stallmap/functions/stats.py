@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stallmap.constants import ALPHAS, BACKGROUND_STOP, BISECT_STEPS, BISECT_TOLERANCE, MIN_STOP_FRACTION, Z_VALUES
 
@@ -74,7 +75,7 @@ def bisect_alpha(rest: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _second_stage(cov_t: pd.Series, margins: pd.Series) -> pd.Series:
     n, rest = cov_t.to_numpy(float), np.array(margins.tolist(), float).reshape(-1, len(ALPHAS))
     found = np.stack([bisect_alpha(rest[:, k], n) for k in range(len(ALPHAS))], axis=1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,14 +78,14 @@ def junctions(exons: DataFrame) -> DataFrame:
 
 
 def junction_windows(exons: DataFrame, genome: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Windows of `width` bases over the spliced sequence that cross a junction: transcript_id, at (its end in the
+    """Windows of `width` bases over the spliced sequence that cross a junction: transcript_id, stop (its end in the
     transcript), window. Exons shorter than a window are crossed as a chain."""
     spliced = transcript_sequences(exons, genome)
     ends = exons.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("number", (F.col("end") - F.col("start")).alias("n")))).alias("e"))
     ends = ends.withColumn("cuts", F.transform(F.slice("e", 1, F.greatest(F.size("e") - 1, F.lit(0))), lambda x, i: F.aggregate(F.slice("e", 1, i + 1), F.lit(0), lambda a, y: a + y["n"])))
     spots = spliced.join(ends.select("transcript_id", F.explode("cuts").alias("cut")), "transcript_id")
     spots = spots.select("transcript_id", "seq", F.explode(F.sequence(F.col("cut") + 1, F.col("cut") + width - 1)).alias("at")).where((F.col("at") >= width) & (F.col("at") <= F.length("seq")))
-    return spots.select("transcript_id", "at", F.substring("seq", F.col("at") - width + 1, F.lit(width)).alias("window")).distinct()
+    return spots.select("transcript_id", F.col("at").alias("stop"), F.substring("seq", F.col("at") - width + 1, F.lit(width)).alias("window")).distinct()
 
 
 def exon_sequences(exons: DataFrame, genome: DataFrame) -> DataFrame:
@@ -140,11 +140,15 @@ def shown_name(name: Column, gene_id: Column) -> Column:
     return F.when(F.contains(gene_id, F.lit("gene")), name).otherwise(F.concat(name, F.lit("|"), gene_id))
 
 
+def _starts_with(prefix: str) -> Callable[[Column], Column]:
+    return lambda x: F.startswith(x, F.lit(prefix))
+
+
 def by_priority(ids: Column) -> Column:
     """Of RefSeq ids those of the best prefix that is there."""
-    kept = F.array()
+    kept = F.array().cast("array<string>")
     for p in reversed(REFSEQ_ORDER):
-        of = F.filter(ids, lambda x, p=p: F.startswith(x, F.lit(p)))
+        of = F.filter(ids, _starts_with(p))
         kept = F.when(F.size(of) > 0, of).otherwise(kept)
     return kept
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallmap.constants import FLANK, MOTIF_MAX, MOTIF_MIN, MOTIFS, THREE_PRIME_ZONE
+from stallmap.constants import BULGE_1, BULGE_7, FLANK, G2, G3, MOTIF_MAX, MOTIF_MIN, MOTIFS, THREE_PRIME_ZONE
 from stallmap.functions.intervals import overlap_join, union
 from stallmap.functions.sequence import count_of
 from stallmap.storage import materialize
@@ -26,14 +26,31 @@ def windows(seqs: DataFrame, id_col: str = "contig") -> DataFrame:
     low, high = F.greatest(F.col("t") * TILE + 1, F.lit(MOTIF_MIN)), F.least((F.col("t") + 1) * TILE, F.col("n") - 1)
     ends = tiles.where(low <= high).select("id", "first", "part", F.explode(F.sequence(low, high)).alias("e"))
     start = F.greatest(F.col("e") - MOTIF_MAX, F.lit(0))
-    out = ends.select("id", "e", F.substring("part", start - F.col("first") + 1, F.col("e") - start).alias("window"))
+    out = ends.select("id", "e", F.explode(F.array(F.substring("part", start - F.col("first") + 1, F.col("e") - start))).alias("window"))
     return out.where(F.endswith("window", F.lit("G"))).where(count_of(F.col("window"), "G") >= 8)
 
 
 def candidates(seqs: DataFrame, id_col: str = "contig") -> DataFrame:
     """id, e, start, priority, far: at each 3' end the best class, the shortest match of that class, and the farthest
     start of any."""
-    found = windows(seqs, id_col).select("id", "e", *[F.length(F.regexp_extract("window", p, 0)).alias(f"m{k}") for k, (p, _) in enumerate(MOTIFS)])
+    w = F.col("window")
+    threes, twos = count_of(F.replace(w, F.lit("GGG"), F.lit("#")), "#"), count_of(F.replace(w, F.lit("GG"), F.lit("#")), "#")
+
+    def tried(k: int, pattern: str) -> Column:
+        """Length of the match. What a pattern needs at its end, and how many tracts, is looked at first: a search
+        that fails is what costs."""
+        if pattern.endswith(G3 + "$"):
+            may = F.endswith(w, F.lit(G3)) & (threes >= (3 if BULGE_7 in pattern else 4))
+        elif BULGE_1 in pattern:
+            may = (F.endswith(w, F.lit(G2)) | (F.substring(w, -4, 2) == G2)) & (twos >= 4)
+        elif BULGE_7 in pattern:
+            may = threes >= 3
+        else:
+            may = F.endswith(w, F.lit(G2)) & (twos >= 4)
+        return F.when(may, F.length(F.regexp_extract(w, pattern, 0))).otherwise(0).alias(f"m{k}")
+
+    # Through a generator, so that the filter below doesn't search a second time.
+    found = windows(seqs, id_col).select("id", "e", F.inline(F.array(F.struct(*[tried(k, p) for k, (p, _) in enumerate(MOTIFS)]))))
     some = lambda k: F.when(F.col(f"m{k}") > 0, F.col(f"m{k}"))
     classes = sorted({c for _, c in MOTIFS})
     shortest = {c: F.array_min(F.array(*[some(k) for k, (_, own) in enumerate(MOTIFS) if own == c])) for c in classes}
@@ -147,7 +164,7 @@ def zones(motifs: DataFrame) -> DataFrame:
 def near_sites(sites: DataFrame, motifs: DataFrame, width: int = 64) -> DataFrame:
     """sites with each motif whose 3' zone they overlap, as m_start, m_end, priority."""
     z = zones(motifs).select("contig", "strand", F.col("start").alias("m_start"), F.col("end").alias("m_end"), "priority", F.col("z_start").alias("r_start"), F.col("z_end").alias("r_end"))
-    return overlap_join(sites, z, width)
+    return overlap_join(sites, z, width).drop("r_start", "r_end")
 
 
 def best_class(near: DataFrame, site: list[str]) -> DataFrame:
