@@ -334,9 +334,10 @@ def rescue_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LABELLED = (
     _SECOND
+    + f", {lens.GENOME}"
     + """, labelled AS (
-    SELECT r.cond, r.rep, CAST(s.k - 1 AS INT) AS k, round(s.ans, 9) AS alpha, NOT r.decoy AND r.pos % 40 = CASE WHEN r.strand = '+' THEN 0 ELSE 29 END AS positive
-    FROM rows_ r JOIN second s ON r.contig = s.contig AND r.strand = s.strand AND r.rep = s.rep AND r.cond = s.cond AND r.pos = s.pos
+    SELECT r.cond, r.rep, CAST(s.k - 1 AS INT) AS k, round(s.ans, 9) AS alpha, NOT r.decoy AND CASE WHEN r.strand = '+' THEN substr(g.seq, r.pos + 1, 1) ELSE translate(substr(g.seq, r.pos + 2, 1), 'ACGT', 'TGCA') END = 'G' AS positive
+    FROM rows_ r JOIN second s ON r.contig = s.contig AND r.strand = s.strand AND r.rep = s.rep AND r.cond = s.cond AND r.pos = s.pos JOIN genome g ON g.contig = r.contig
 ), points AS (
     SELECT cond, rep, k, alpha, CAST(sum(CASE WHEN positive THEN 1 ELSE 0 END) AS BIGINT) AS p, CAST(sum(CASE WHEN positive THEN 0 ELSE 1 END) AS BIGINT) AS n FROM labelled GROUP BY ALL
 ), curve AS (
@@ -353,9 +354,10 @@ FDR_SHOWN = 0.2
 
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positives: stops of the treatment where its reads were made to start."""
-    real = ~F.col("decoy") & (F.col("pos") % 40 == F.when(F.col("strand") == "+", 0).otherwise(29))
-    rows = _signal(spark, sf_dir, True).select("cond", "rep", real.alias("positive"), F.posexplode("second_alpha").alias("k", "a"))
+    """Positives: stops of the treatment before a G."""
+    rows = signal.next_base(_signal(spark, sf_dir, True), lens.genome(spark, sf_dir))
+    real = ~F.col("decoy") & (F.col("base3") == "G")
+    rows = rows.select("cond", "rep", real.alias("positive"), F.posexplode("second_alpha").alias("k", "a"))
     return cutoff.curve(rows.select("cond", "rep", "k", F.round("a", 9).alias("alpha"), "positive"), ("cond", "rep"))
 
 
