@@ -63,7 +63,7 @@ def numbered(exons: DataFrame, declared: str | None = None) -> DataFrame:
         return counted.withColumnRenamed("number_", "number")
     whole = Window.partitionBy("transcript_id")
     sound = (F.count(declared).over(whole) == F.count("*").over(whole)) & (F.sort_array(F.collect_list(declared).over(whole)) == F.sequence(F.lit(1), F.count("*").over(whole).cast("int")))
-    counted = counted.withColumn("sound", sound).withColumn("number_", F.when("sound", F.col(declared)).otherwise(F.col("number_")))
+    counted = counted.withColumn("sound", sound).withColumn("number_", F.when(F.col("sound"), F.col(declared)).otherwise(F.col("number_")))
     return counted.drop("sound", declared).withColumnRenamed("number_", "number")
 
 

@@ -39,8 +39,10 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     """qname, flag, mapq, nh, contig, pos (from 0), cigar, md."""
     lines = spark.read.text(path).where(~F.startswith("value", F.lit("@")) & (F.length("value") > 0))
     f = F.split("value", "\t")
+    # A later filter may be evaluated before the one above, on header lines: nothing here fails on them.
+    at = lambda i: F.get(f, F.lit(i))
     tag = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
     return lines.select(
-        f[0].alias("qname"), f[1].cast("int").alias("flag"), f[4].cast("int").alias("mapq"), tag(r"\tNH:i:(\d+)").cast("int").alias("nh"),
-        f[2].alias("contig"), (f[3].cast("int") - 1).alias("pos"), f[5].alias("cigar"), tag(r"\tMD:Z:(\S+)").alias("md"),
+        at(0).alias("qname"), at(1).try_cast("int").alias("flag"), at(4).try_cast("int").alias("mapq"), tag(r"\tNH:i:(\d+)").try_cast("int").alias("nh"),
+        at(2).alias("contig"), (at(3).try_cast("int") - 1).alias("pos"), at(5).alias("cigar"), tag(r"\tMD:Z:(\S+)").alias("md"),
     )
