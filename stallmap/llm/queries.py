@@ -67,6 +67,28 @@ QUERIES = {
 
 #: Where SQL can express a query over whole tables. The others are held against brute force in the tests.
 ORACLES: dict[str, str] = {
+    "op4_url_filter": r"""
+        WITH parts AS (
+            SELECT page_id,
+                   translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        ), named AS (
+            SELECT *, regexp_replace(regexp_replace(host, ':\d*$', ''), '^www\.', '')
+                      || regexp_replace(regexp_replace(path, '/index\.html?$', ''), '/+$', '') AS canonical
+            FROM parts
+        ), listed AS (SELECT DISTINCT canonical FROM named WHERE starts_with(host, 'spam')),
+        rules(verdict, h, p) AS (
+            VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+        ), fits AS (
+            SELECT n.page_id, n.host, n.path, n.canonical, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+            FROM named n LEFT JOIN rules r ON (n.host = r.h OR ends_with(n.host, '.' || r.h)) AND starts_with(n.path, r.p)
+            GROUP BY ALL
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict,
+               canonical IN (SELECT canonical FROM listed) AS listed
+        FROM fits
+    """,
     "op5_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
