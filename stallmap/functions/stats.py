@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -34,14 +35,17 @@ def margin(rss_t: Column, cov_t: Column, rss_c: Column, cov_c: Column, z: float)
     return low - high
 
 
+def first_alpha(share: Column, margins: Sequence[Column]) -> Column:
+    """The strictest alpha up to which every margin is at least 0; 0 if none is or the treatment's share is too low."""
+    passed = F.lit(0)
+    for m in reversed(margins):
+        passed = F.when(m >= 0, passed + 1).otherwise(0)
+    found = F.element_at(F.array(*[F.lit(a) for a in (0.0, *ALPHAS)]), passed + 1)
+    return F.when(share < MIN_STOP_FRACTION, F.lit(0.0)).otherwise(found)
+
+
 def first_stage(rss_t: Column, cov_t: Column, rss_c: Column, cov_c: Column) -> Column:
-    """The strictest alpha up to which every margin is at least 0; 0 if none is or the fraction is too low."""
-    found = F.lit(0.0)
-    passed = [margin(rss_t, cov_t, rss_c, cov_c, z) >= 0 for z in Z_VALUES]
-    for k in reversed(range(len(ALPHAS))):
-        deeper = found if k + 1 < len(ALPHAS) else None
-        found = F.when(passed[k], F.lit(ALPHAS[k]) if deeper is None else F.when(passed[k + 1], deeper).otherwise(F.lit(ALPHAS[k]))).otherwise(F.lit(0.0))
-    return F.when(rss_t / cov_t < MIN_STOP_FRACTION, F.lit(0.0)).otherwise(found)
+    return first_alpha(rss_t / cov_t, [margin(rss_t, cov_t, rss_c, cov_c, z) for z in Z_VALUES])
 
 
 def _upper(alpha: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -83,7 +87,7 @@ def _second_stage(cov_t: pd.Series, margins: pd.Series) -> pd.Series:
     return pd.Series([row[:m].tolist() if m else None for row, m in zip(found, lengths)])
 
 
-def second_stage(rss_t: Column, cov_t: Column, rss_c: Column, cov_c: Column) -> Column:
+def second_stage(cov_t: Column, margins: Sequence[Column]) -> Column:
     """For a prefix of the first-stage alphas, the second-stage alpha that each margin reaches; null if none.
     An Arrow function: its 17 masked steps work on whole batches."""
-    return _second_stage(cov_t.cast("double"), F.array(*[margin(rss_t, cov_t, rss_c, cov_c, z) for z in Z_VALUES]))
+    return _second_stage(cov_t.cast("double"), F.array(*margins))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stallmap.constants import ALPHAS, COVERAGE_CHANGE, MIN_COVERAGE, MIN_STOP_FRACTION, RESCUE_DIFFERENCE, Z_VALUES
 from stallmap.functions.sequence import reverse_complement
-from stallmap.functions.stats import bisect_alpha, first_stage, second_stage
+from stallmap.functions.stats import bisect_alpha, first_alpha, margin, second_stage
 
 
 def pairs(treatment: DataFrame, control: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -27,11 +27,22 @@ def signal_rows(paired: DataFrame, second: bool = True) -> DataFrame:
     """paired with first_alpha and second_alpha: tested with the side of the larger fraction as treatment; rows of
     equal fractions, and those that fail the first stage, go. decoy: the control's fraction is the larger."""
     t, c = F.col("rss_t") / F.col("cov_t"), F.col("rss_c") / F.col("cov_c")
-    decoy = t < c
-    side = lambda name, other: F.when(decoy, F.col(other)).otherwise(F.col(name))
-    args = (side("rss_t", "rss_c"), side("cov_t", "cov_c"), side("rss_c", "rss_t"), side("cov_c", "cov_t"))
-    out = paired.where(t != c).withColumn("decoy", decoy).withColumn("first_alpha", first_stage(*args)).where("first_alpha > 0")
-    return out.withColumn("second_alpha", second_stage(*args)) if second else out
+    side = lambda name, other: F.when(t < c, F.col(other)).otherwise(F.col(name))
+    sides = {"_rt": side("rss_t", "rss_c"), "_nt": side("cov_t", "cov_c"), "_rc": side("rss_c", "rss_t"), "_nc": side("cov_c", "cov_t")}
+    # Each step goes through a generator: what it makes is computed once, and the filter below can't pull copies of
+    # all of it under itself, which would outgrow what Spark compiles.
+    out = paired.where(t != c).withColumn("decoy", t < c).select("*", _once(sides))
+    columns = [F.col(x) for x in sides]
+    names = [f"_m{k}" for k in range(len(ALPHAS))]
+    out = out.select("*", _once({m: margin(*columns, z) for m, z in zip(names, Z_VALUES)}))
+    margins = [F.col(m) for m in names]
+    out = out.withColumn("first_alpha", first_alpha(F.col("_rt") / F.col("_nt"), margins)).where("first_alpha > 0")
+    out = out.withColumn("second_alpha", second_stage(F.col("_nt"), margins)) if second else out
+    return out.drop(*sides, *names)
+
+
+def _once(columns: dict[str, Column]) -> Column:
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
 
 
 def passes(first_cutoff: float, second_cutoff: float) -> Column:
