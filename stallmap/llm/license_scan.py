@@ -1,9 +1,9 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 A rule is a regular expression over the words of a text (lower-cased, one space apart). The rules are made of
-licence names and statement forms, a form for each way in which texts state a licence. A text is looked at
-word by word only if one scan of it finds a stem that all rules need; a name's rules run only on texts with
-the name's keyword. What the rules find overlaps: a detection is dropped if it lies within another one of
+licence names and statement forms, a form for each way in which texts state a licence. Each rule has a
+keyword, a word that all its matches have: the rule runs only on texts with that word, looked for among the
+words that the rule sees, and a text without any keyword is not kept. What the rules find overlaps: a detection is dropped if it lies within another one of
 higher priority, or within a longer one of the same. The three base phrases are never dropped.
 
 Positions come from splitting at the matches and summing words in a window over one rule of one text, so a
@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 
 from stallmap.llm.common import lower_ascii, materialize
 
-#: A run of digits, letters, or anything outside ASCII, before A-Z are lower-cased.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What words are apart by: a word is a run of digits, letters, or anything outside ASCII, before A-Z are lower-cased.
 _NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-STEMS = r"(?i)licen[cs]|copyright|copyleft|spdx|reserved|public domain|warranty|creative commons|proprietary"
 
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -86,7 +84,7 @@ NOTICES = (
     ("all-rights-reserved", "reserved", "all rights reserved", 15, 0.7),
     ("copyright", "copyright", "copyright (?:c |by )?(?:19|20)[0-9][0-9]", 10, 0.5),
     ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy", 45, 0.97),
-    ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose", 45, 0.97),
+    ("isc", "modify", "permission to use copy modify and or distribute this software for any purpose", 45, 0.97),
     ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice", 45, 0.95),
     ("public-domain", "domain", "(?:in|into|to) the public domain", 15, 0.7),
     ("proprietary", "proprietary", "proprietary and confidential", 15, 0.7),
@@ -110,6 +108,12 @@ def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
 
+def _keywords(line: Column) -> Column:
+    """Those of the rules' keywords that are words of a line."""
+    keys = F.array(*[F.lit(k) for k in sorted({r[2] for r in rules()})])
+    return F.filter(keys, lambda k: F.contains(line, F.concat(F.lit(" "), k, F.lit(" "))))
+
+
 def detections(texts: DataFrame) -> DataFrame:
     """texts (uid, line: words one space apart, with a space at either end) -> uid, rule, label, priority,
     confidence, base, start, stop: all matches of all rules, by words from 0, stop not included."""
@@ -117,9 +121,7 @@ def detections(texts: DataFrame) -> DataFrame:
     as_row = "(%d,'%s','%s','%s',%d,%sD,%s)"
     values = ",".join(as_row % (i, label, key, p, priority, c, str(base).lower()) for i, label, key, p, priority, c, base in known)
     table = spark.sql(f"SELECT * FROM VALUES {values} AS t(rule, label, keyword, pattern, priority, confidence, base)")
-    keys = F.array(*[F.lit(k) for k in sorted({r[2] for r in known})])
-    there = F.filter(keys, lambda k: F.contains(F.col("line"), F.concat(F.lit(" "), k, F.lit(" "))))
-    hits = texts.select("uid", "line", F.explode(there).alias("keyword")).join(F.broadcast(table), "keyword")
+    hits = texts.select("uid", "line", F.explode(_keywords(F.col("line"))).alias("keyword")).join(F.broadcast(table), "keyword")
     hits = hits.withColumn("found", F.regexp_extract_all("line", F.col("pattern"), F.lit(0))).where(F.size("found") > 0)
     pieces = F.transform(F.split("line", F.col("pattern"), -1), _spaces)
     hits = hits.withColumn("words", F.transform(F.arrays_zip(pieces.alias("gap"), F.transform("found", _spaces).alias("own")), lambda x: x))
@@ -156,9 +158,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     not looked at.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.regexp_count(text, F.lit(_WORD)).cast("long")
     line = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(text), _NOT_WORD, " ")), F.lit(" "))
-    slim = docs.select(F.col(id_col).alias("doc_id"), words.alias("n_words"), F.when(F.rlike(text, F.lit(STEMS)), line).alias("line"))
+    lines = docs.select(F.col(id_col).alias("doc_id"), line.alias("line"))
+    words = F.when(F.col("line") == "  ", 0).otherwise(_spaces(F.col("line")) - 1).cast("long")
+    slim = lines.select("doc_id", words.alias("n_words"), F.when(F.size(_keywords(F.col("line"))) > 0, F.col("line")).alias("line"))
     slim = materialize(slim.withColumn("uid", F.monotonically_increasing_id()), "license-texts")
     found = resolved(detections(slim.where("line is not null").select("uid", "line")))
     base = F.col("base")

@@ -176,3 +176,58 @@ def test_contained_detections_go(spark):
 def test_hundreds_of_rules():
     rules = license_scan.rules()
     assert len(rules) > 200 and all(re.compile(r[3]) for r in rules)
+
+
+def expansions(pattern, whole):
+    """Strings that a rule's pattern matches, with all its optional parts or without: one for each alternative."""
+
+    def of(items):
+        out = [""]
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                ways = [chr(arg)]
+            elif op == "IN":
+                ways = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+            elif op == "BRANCH":
+                ways = [w for x in arg[1] for w in of(x)]
+            elif op == "SUBPATTERN":
+                ways = of(arg[-1])
+            elif op == "MAX_REPEAT":
+                ways = of(arg[2]) if whole or arg[0] else [""]
+            else:
+                raise ValueError(op)
+            out = [a + b for a in out for b in ways]
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_every_license_rule_fires_through_scan(spark):
+    known = license_scan.rules()
+    assert len(known) == 305
+    docs, wanted = [], {}
+    for rule, label, _, pattern, *_ in known:
+        core = pattern.removeprefix("(?<= )").removesuffix("(?= )")
+        for text in {t for whole in (False, True) for t in expansions(core, whole)}:
+            assert re.fullmatch(core, text)
+            for gap in (" ", " \n", "-"):
+                wanted[len(docs)] = (rule, label, len(text.split()))
+                docs.append((len(docs), f"xyz{gap}{text.upper().replace(' ', gap)}."))
+    rows = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == len(docs) and {wanted[r.doc_id][0] for r in rows} == set(range(305))
+    for r in rows:
+        _, label, n = wanted[r.doc_id]
+        # By the rule, or by one of its label or of higher priority that takes in all of it.
+        assert r.n_words == n + 1 and r.score > 0 and (label in r.labels.split(",") or any(d.start <= 1 and d.stop >= n + 1 for d in r.detections)), docs[r.doc_id]
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Released under the MIT.", "mit"), ("distributed under GPL", "gpl"), ("published under CC BY 4.0", "cc-by"), ("Subject to the terms of the zlib.", "zlib"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose", "isc"),
+    ("given to the public\ndomain", "public-domain"), ("Creative  Commons-Attribution", "cc-by"),
+])
+def test_license_forms_without_a_stem(spark, text, label):
+    row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.labels == label and row.score > 0
