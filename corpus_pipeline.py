@@ -18,8 +18,9 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that compress like bad text go."""
-    return quality_classifier.kept(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    """Documents that compress like bad text go. The fit is on the documents table: docs have few bad texts left."""
+    model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier.kept(docs, model)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
