@@ -44,21 +44,44 @@ def _hash64(shingle: bytes) -> bytes:
     return xxhash.xxh64_intdigest(shingle, SEED).to_bytes(8, "little")
 
 
-def _hash192(shingle: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(shingle) + xxhash.xxh64_digest(shingle)
+def _hash256(shingle: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(shingle) + xxhash.xxh64_digest(shingle) + xxhash.xxh64_digest(shingle, SEED)
 
 
-def signature(data: bytes, shingle: int, words: int = 1) -> bytes:
-    """SimHash of the word shingles of a text in UTF-8: one big-endian word of 64 bits, or three. A bit is 1 if
-    it is set in over half of the shingles' hashes (for one word, their XXH64). Fewer words of text than a
-    shingle: the whole sequence is the one shingle. No word: all bits are 0."""
+def _shingles(data: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """A text's words, one space apart, and where its shingles start and end. Fewer words than a shingle: the whole
+    sequence is the one shingle. No word: no shingle."""
     found = data.translate(_LOWER).split()
     if not found:
-        return bytes(8 * words)
-    line, n, of = b" ".join(found), max(1, len(found) - shingle + 1), _hash64 if words == 1 else _hash192
+        return b"", [], []
+    line, n = b" ".join(found), max(1, len(found) - shingle + 1)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     starts = [0, *(gaps[: n - 1] + 1).tolist()]
-    ends = [*gaps[shingle - 1 :].tolist(), len(line)] if len(found) > shingle else [len(line)]
+    return line, starts, [*gaps[shingle - 1 :].tolist(), len(line)] if len(found) > shingle else [len(line)]
+
+
+def shingle_set(data: bytes, shingle: int) -> np.ndarray:
+    """The hashes of the different shingles of a text in UTF-8, in order."""
+    line, starts, ends = _shingles(data, shingle)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets in order; that of two empty ones is 1."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def signature(data: bytes, shingle: int, words: int = 1) -> bytes:
+    """SimHash of the word shingles of a text in UTF-8: one big-endian word of 64 bits, or four. A bit is 1 if
+    it is set in over half of the shingles' hashes (for one word, their XXH64). Fewer words of text than a
+    shingle: the whole sequence is the one shingle. No word: all bits are 0."""
+    line, starts, ends = _shingles(data, shingle)
+    if not starts:
+        return bytes(8 * words)
+    n, of = len(starts), _hash64 if words == 1 else _hash256
     votes = np.zeros(64 * words, np.int64)
     for k in range(0, n, 1 << 15):
         part = b"".join([of(line[s:e]) for s, e in zip(starts[k : k + (1 << 15)], ends[k : k + (1 << 15)])])
@@ -168,7 +191,9 @@ def ball_links(sigs: DataFrame, words: int, radius: int, width: int, limit: int)
 
     The low `width` bits of each word are a fingerprint; where those of two nodes are at most radius bits apart,
     in any word, the nodes meet, and they are linked if all their bits together differ in at most limit. One word
-    of 64 bits is the node itself. The links suffice to connect whatever all of them connect.
+    of 64 bits is the node itself, and the links suffice to connect whatever all of them connect. With several words
+    they are candidates, none left out for what others connect: each node with the least one of its variant and with
+    its neighbour there.
     """
     half, n = (radius + 1) // 2, sigs.count()
     each = sum(math.comb(width, k) for k in range(half + 1))
@@ -249,7 +274,9 @@ def ball_links(sigs: DataFrame, words: int, radius: int, width: int, limit: int)
             near = (other != here) & (np.bitwise_count(sig ^ sig[other]).sum(axis=1, dtype=np.int64) <= limit)
             a.append(name[other[near]])
             b.append(name[near])
-        a, b = spanning(np.concatenate(a), np.concatenate(b))
+        a, b = np.concatenate(a), np.concatenate(b)
+        # Candidates may fail, so none stands in for another.
+        a, b = spanning(a, b) if words == 1 else np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     tasks = max(1, math.ceil(n / BLOCK))
@@ -282,25 +309,79 @@ def link(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_
     return slim.join(classes, "sig").select("doc_id", F.lower(F.hex("sig")).alias("fingerprint"), "component_id")
 
 
-#: Near-duplicates of five words and a similarity of 0.8 or more. Such texts differ in up to 15 of 100 bits, 10 in 64:
-#: more than a ball can reach. So three fingerprints of 32 bits are hashed into balls of the same radius; texts
-#: that meet in any are compared over all 192 bits, which differ in 29 on average at a similarity of 0.8, and in up to 33 by chance.
-WORDS, WIDTH, RADIUS, LIMIT = 3, 32, 4, 33
+#: Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more. Such texts
+#: differ in up to 15 of 100 bits, 10 in 64: more than a ball can reach. So four fingerprints of 32 bits are hashed into
+#: balls of the same radius; texts that meet in any are candidates if at most LIMIT of all 256 bits differ (39 on average
+#: at a similarity of 0.8, with a deviation of 6), and the shingles themselves decide.
+WORDS, WIDTH, RADIUS, LIMIT, SIMILAR = 4, 32, 4, 64, 0.8
+
+
+def _named(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs (id, text, k1, k2) -> id, k1, k2, sig, same: binary, alike for equal sets of shingles."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = [x or b"" for x in b.column(1).cast(pa.large_binary()).to_pylist()]
+            sig = pa.array([signature(x, shingle, WORDS) for x in texts], pa.binary())
+            same = pa.array([xxhash.xxh3_128_digest(shingle_set(x, shingle).tobytes()) for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), sig, same], names=["id", "k1", "k2", "sig", "same"])
+
+    return docs.mapInArrow(batches, f"id {dict(docs.dtypes)['id']}, k1 long, k2 int, sig binary, same binary")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts (n, text) -> n, its shingle_set as binary."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = [shingle_set(x or b"", shingle).tobytes() for x in b.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["n", "shingles"])
+
+    return texts.mapInArrow(batches, "n long, shingles binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar enough."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            both = zip(*(b.column(c).cast(pa.large_binary()).to_pylist() for c in (2, 3)))
+            near = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILAR for x, y in both]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    left, right = (sets.select(F.col("n").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(batches, "a long, b long")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b: a < b) -> node, root: components of those that are similar enough. One pair of each node goes first;
+    of the others only those are looked at that don't lie within a component already."""
+    first = materialize(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets), "simhash-first")
+    roots = components(first)
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    rest = _verified(apart.select("a", "b"), sets)
+    return components(first.unionByName(rest))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one of each group of near-duplicates, with just their columns: the least id, null
-    ids last, then the least hash of the text. Groups are what links reach. Texts without words are copies of
+    ids last, then the least hash of the text. Groups are what pairs of a similarity of SIMILAR or more reach, of
+    those pairs that become candidates; texts with equal sets of shingles always do. Texts without words are copies of
     each other. Of repeated rows one stays. An empty table gives no rows."""
     k1, k2 = fresh(docs, "simhash_k1"), fresh(docs, "simhash_k2")
     keyed = docs.withColumn(k1, F.xxhash64(id_col, text_col)).withColumn(k2, F.hash(text_col, id_col))
     slim = keyed.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(k1).alias("k1"), F.col(k2).alias("k2"))
-    slim = materialize(signatures(slim, "text", "sig", shingle, WORDS).select("id", "k1", "k2", "sig"), "simhash-docs")
+    texts = slim
+    slim = materialize(_named(slim, shingle), "simhash-docs")
     order = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("k1"), F.col("k2"))
-    own = slim.groupBy("sig").agg(F.min(order).alias("least")).withColumn("node", F.monotonically_increasing_id())
-    own = materialize(own, "simhash-nodes")
-    links = ball_links(own, WORDS, RADIUS, WIDTH, LIMIT)
-    roots = components(links)
+    own = slim.groupBy("same").agg(F.min(order).alias("least"), F.min("sig").alias("sig"))
+    own = materialize(own.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
+    pairs = materialize(ball_links(own, WORDS, RADIUS, WIDTH, LIMIT).distinct(), "simhash-pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = own.join(ends, "node", "left_semi").select(F.col("node").alias("n"), F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"))
+    sets = materialize(_sets(texts.join(ends, ["k1", "k2"]).select("n", "text").dropDuplicates(["n"]), shingle), "simhash-sets")
+    roots = similar(pairs, sets)
     own = own.select(F.col("node").alias("n"), "least")
     rooted = own.join(roots, own.n == roots.node, "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("least").alias("least"))
     winners = materialize(rooted.select(F.col("least.k1").alias(k1), F.col("least.k2").alias(k2)), "simhash-winners")

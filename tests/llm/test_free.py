@@ -178,6 +178,32 @@ def test_deduplicated(spark, odd_docs, no_docs, words):
     assert simhash.deduplicated(no_docs).count() == 0 and simhash.link(no_docs).count() == 0
 
 
+def jaccard(a, b):
+    a, b = ({tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_deduplicated_verifies_similarity(spark, words):
+    """Pairs at either side of 0.8; none under it goes, and few at 0.8 and more stay."""
+    r = random.Random(23)
+    docs, pairs = [], []
+    for k in range(240):
+        base = [r.choice(words) for _ in range(400)]
+        other = list(base)
+        for i in r.sample(range(400), 4 + k % 10):
+            other[i] = "changed"
+        a, b = " ".join(base), " ".join(other)
+        pairs.append((2 * k, 2 * k + 1, jaccard(a, b)))
+        docs += [(2 * k, a), (2 * k + 1, b)]
+    # One shingle over and over makes all bits alike, though the sets are far apart.
+    docs += [(9000 + i, "same " * 300 + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(2)]
+    left = {x.doc_id for x in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    over, under = [p for p in pairs if p[2] >= 0.8], [p for p in pairs if p[2] < 0.8]
+    assert min(len(over), len(under)) > 60 and max(p[2] for p in under) > 0.78
+    assert all(a in left and b in left for a, b, _ in under) and {9000, 9001} <= left
+    assert sum(b not in left for _, b, _ in over) >= 0.9 * len(over)
+
+
 # ---- WARC ----
 
 
