@@ -13,27 +13,47 @@ BISECT_STEPS = 17
 THREE_PRIME_ZONE = 3
 WINDOW = 10
 FLANK = 50
-MOTIF_MIN, MOTIF_MAX = 11, 54
+SHOWN_FLANK = 10
+UPSTREAM = 60
+MOTIF_MIN = 11
 TARGET_FDR = 0.015
 COVERAGE_CHANGE = 0.1
 
-#: Motif patterns, each to end at the 3' end looked at, with their class (1 is best).
-G3, G2 = "GGG", "GG"
-BULGE_1 = "(?:G[ATCN]GG|GG[ATCN]G)"
-BULGE_7 = "(?:GG[ATCN]{1,7}G|G[ATCN]{1,7}GG)"
-LOOP_7, LOOP_9, LOOP_8_12, LOOP_8_21 = "[ATCGN]{1,7}", "[ATCGN]{1,9}", "[ATCGN]{8,12}", "[ATCGN]{8,21}"
-MOTIFS = (
-    (G3 + LOOP_7 + G3 + LOOP_7 + G3 + LOOP_7 + G3 + "$", 1),
-    (G3 + LOOP_8_12 + G3 + LOOP_7 + G3 + LOOP_7 + G3 + "$", 2),
-    (G3 + LOOP_7 + G3 + LOOP_7 + G3 + LOOP_8_12 + G3 + "$", 2),
-    (G3 + LOOP_7 + G3 + LOOP_8_21 + G3 + LOOP_7 + G3 + "$", 2),
-    (BULGE_1 + LOOP_9 + BULGE_1 + LOOP_9 + BULGE_1 + LOOP_9 + BULGE_1 + "$", 3),
-    (BULGE_7 + LOOP_9 + G3 + LOOP_9 + G3 + LOOP_9 + G3 + "$", 3),
-    (G3 + LOOP_9 + BULGE_7 + LOOP_9 + G3 + LOOP_9 + G3 + "$", 3),
-    (G3 + LOOP_9 + G3 + LOOP_9 + BULGE_7 + LOOP_9 + G3 + "$", 3),
-    (G3 + LOOP_9 + G3 + LOOP_9 + G3 + LOOP_9 + BULGE_7 + "$", 3),
-    (G2 + LOOP_9 + G2 + LOOP_9 + G2 + LOOP_9 + G2 + "$", 4),
+#: A motif is four G tracts with three loops between them, and ends at the 3' end looked at. For each kind
+#: its class (1 is best), its tracts 5' to 3', and the least and greatest length of its loops. A tract is (length, bulge):
+#: so many Gs, split after the first or before the last by 1 to `bulge` bases other than G unless bulge is 0.
+_PLAIN, _SHORT, _SMALL, _LARGE = (3, 0), (2, 0), (3, 1), (3, 7)
+MOTIF_KINDS = (
+    (1, (_PLAIN, _PLAIN, _PLAIN, _PLAIN), ((1, 7), (1, 7), (1, 7))),
+    (2, (_PLAIN, _PLAIN, _PLAIN, _PLAIN), ((8, 12), (1, 7), (1, 7))),
+    (2, (_PLAIN, _PLAIN, _PLAIN, _PLAIN), ((1, 7), (1, 7), (8, 12))),
+    (2, (_PLAIN, _PLAIN, _PLAIN, _PLAIN), ((1, 7), (8, 21), (1, 7))),
+    (3, (_SMALL, _SMALL, _SMALL, _SMALL), ((1, 9), (1, 9), (1, 9))),
+    (3, (_LARGE, _PLAIN, _PLAIN, _PLAIN), ((1, 9), (1, 9), (1, 9))),
+    (3, (_PLAIN, _LARGE, _PLAIN, _PLAIN), ((1, 9), (1, 9), (1, 9))),
+    (3, (_PLAIN, _PLAIN, _LARGE, _PLAIN), ((1, 9), (1, 9), (1, 9))),
+    (3, (_PLAIN, _PLAIN, _PLAIN, _LARGE), ((1, 9), (1, 9), (1, 9))),
+    (4, (_SHORT, _SHORT, _SHORT, _SHORT), ((1, 9), (1, 9), (1, 9))),
 )
-MOTIF_CLASSES = {1: "canonical", 2: "longloop", 3: "bulges", 4: "two-quartet"}
+MOTIF_CLASSES = {1: "canonical/G3L1-7", 2: "longloop", 3: "bulges", 4: "two-quartet"}
+
+#: Names of the report's columns; three follow for each annotation.
+REPORT_COLUMNS = ("chromosome", "start", "end", "rG4_structural_class", "avg_sequencing_coverage", "strand", "rG4_intervals", "splicing", "sequence_diagram")
+ANNOTATION_COLUMNS = ("gene_names", "transcript_ids", "coding_regions")
+PICTURE_LABEL = "rG4seq-"
 
 K_REPLICATES, KPDS_REPLICATES = (1, 2, 3, 4), (10, 20, 30, 40)
+
+
+def motif_pattern(tracts: tuple, loops: tuple) -> str:
+    """A motif kind as a regular expression over a window that ends at the 3' end."""
+
+    def tract(n: int, bulge: int) -> str:
+        if not bulge:
+            return "G" * n
+        return f"(?:G[ATCN]{{1,{bulge}}}{'G' * (n - 1)}|{'G' * (n - 1)}[ATCN]{{1,{bulge}}}G)"
+
+    parts = [tract(*tracts[0])]
+    for (low, high), following in zip(loops, tracts[1:]):
+        parts.append(f"[ATCGN]{{{low},{high}}}{tract(*following)}")
+    return "".join(parts) + "$"

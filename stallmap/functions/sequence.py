@@ -35,17 +35,7 @@ def g_runs(window: Column) -> Column:
 
 
 def novel_verdict(window: Column) -> Column:
+    """What the bases before a stop say where no motif is: by their G share, then by their tracts."""
     runs = g_runs(window)
-    rich = F.when(runs >= 4, "quadruplex").when(runs == 3, "triplex").otherwise("G>=40%")
+    rich = F.when(runs >= 4, "potential G-quadruplex & G>=40%").when(runs == 3, "potential G-triplex & G>=40%").otherwise("G>=40%")
     return F.when(g_percent(window) >= 40, rich).otherwise("Unknown")
-
-
-def sliding_windows(seqs, width: int, id_col: str = "contig", tile: int = 512):
-    """seqs (id, seq) -> id, pos, window: the `width` bases before every position from width on. Sequences are cut into
-    overlapping tiles first, so that the work is in proportion to their length."""
-    t = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1 - width) / tile).cast("int"))).alias("t")
-    tiles = seqs.where(F.length("seq") > width).select(F.col(id_col).alias("id"), F.length("seq").alias("n"), "seq", t)
-    tiles = tiles.select("id", "n", "t", F.substring("seq", F.col("t") * tile + 1, F.lit(tile + width)).alias("part"))
-    high = F.least(F.lit(tile - 1), F.col("n") - width - 1 - F.col("t") * tile)
-    ends = tiles.select("id", "t", "part", F.explode(F.sequence(F.lit(0), high)).alias("i"))
-    return ends.select("id", (F.col("t") * tile + F.col("i") + width).alias("pos"), F.substring("part", F.col("i") + 1, F.lit(width)).alias("window"))

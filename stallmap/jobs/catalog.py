@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stallmap.constants import ALPHAS, Z_VALUES
-from stallmap.functions import intervals, stats
+from stallmap.functions import genome, intervals, sequence, stats
 from stallmap.jobs import lens
 from stallmap.operators import alignments, cutoff, pileup, signal
+from stallmap.sources import tables
+from stallmap.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +42,7 @@ def _pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {lens.PILEUP} SELECT contig, strand, cond, rep, pos, cov, rss FROM pileup")
 def pileup_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1, A2, K4."""
+    """A1, A2."""
     return _pileup(spark, sf_dir)
 
 
@@ -49,7 +51,14 @@ def pileup_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 from the ends of blocks, at the positions where reads start."""
     blocks = lens.blocks(spark, sf_dir)
     probes = blocks.select(*SAMPLE, pileup.read_start().alias("pos"))
-    return pileup.coverage_at(blocks, probes, SAMPLE)
+    return pileup.coverage_at(blocks, probes, SAMPLE).drop("rss")
+
+
+@query(f"WITH {lens.PILEUP} SELECT cond, rep, contig, strand, pos, cov, rss FROM pileup")
+def parse_pileup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pile-up as lines of text and back."""
+    lines = _pileup(spark, sf_dir).select("cond", "rep", tables.pileup_line().alias("value"))
+    return tables.pileup_of(lines, "value", "cond", "rep")
 
 
 @query(
@@ -68,13 +77,11 @@ def weighted_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {lens.BLOCKS}, u AS (
         SELECT contig, strand, cond, rep, CAST(('0x' || md5(concat(CAST(read_id AS VARCHAR), '#2018'))[1:8]) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM blocks
-    ) SELECT contig, strand, cond, rep, count(*) AS reads, CAST(sum(CASE
-        WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3
-        WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 WHEN u < 0.9999167588507119 THEN 6 WHEN u < 0.9999897508033253 THEN 7 ELSE 8 END) AS BIGINT) AS copies
+    ) SELECT contig, strand, cond, rep, count(*) AS reads, CAST(sum(CASE {" ".join(f"WHEN u < {edge!r} THEN {k}" for k, edge in enumerate(pileup.poisson_edges()))} ELSE 13 END) AS BIGINT) AS copies
     FROM u GROUP BY ALL"""
 )
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3, K3: how many copies of its reads each sample gets."""
+    """A3: how many copies of its reads each sample gets."""
     rows = lens.blocks(spark, sf_dir).withColumn("n", pileup.poisson_weight(F.col("read_id")))
     return rows.groupBy(*SAMPLE).agg(F.count("*").alias("reads"), F.sum("n").alias("copies"))
 
@@ -84,7 +91,7 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT t.contig, t.cond FROM contigs t WHERE t.cond <> 'Li' AND t.contig IN (SELECT contig FROM contigs WHERE cond = 'Li')"""
 )
 def shared_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S14, J12, K2."""
+    """S14, J12."""
     contigs = lens.blocks(spark, sf_dir).select("contig", "cond").distinct()
     return contigs.where("cond <> 'Li'").join(contigs.where("cond = 'Li'").select("contig"), "contig", "left_semi")
 
@@ -154,8 +161,7 @@ def read_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stacked = _pileup(spark, sf_dir)
-    return signal.pairs(stacked.where("cond <> 'Li'"), stacked.where("cond = 'Li'").drop("cond"), ["contig", "strand", "rep"])
+    return signal.pairs_of_blocks(lens.blocks(spark, sf_dir), ["contig", "strand", "rep"])
 
 
 def _bound(p: str, n: str, sign: str) -> str:
@@ -226,11 +232,7 @@ def decoy_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signal(spark, sf_dir).groupBy("cond", "rep", "strand").agg(F.count("*").alias("n"), F.sum(F.col("decoy").cast("long")).alias("n_decoy"))
 
 
-# Quantile of the normal distribution: the published rational form, as in the reference quantiles of the test.
-_NUM = (2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080)
-_DEN = (5.2264952788528545610e3, 2.8729085735721942674e4, 3.9307895800092710610e4, 2.1213794301586595867e4, 5.3941960214247511077e3, 6.8718700749205790830e2, 4.2313330701600911252e1, 1.0)
-_NUM2 = (7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258, 3.64784832476320460504, 5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734)
-_DEN2 = (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940, 2.05319162663775882187, 1.0)
+# The quantile of stats.two_sided_quantile in SQL.
 
 
 def _horner(coefficients: tuple[float, ...], r: str) -> str:
@@ -243,7 +245,7 @@ def _horner(coefficients: tuple[float, ...], r: str) -> str:
 def _z_sql(alpha: str) -> str:
     q, r = f"((1 - {alpha} / 2) - 0.5)", f"(0.180625 - ((1 - {alpha} / 2) - 0.5) * ((1 - {alpha} / 2) - 0.5))"
     r2 = f"(sqrt(-ln(1 - (1 - {alpha} / 2))) - 1.6)"
-    return f"CASE WHEN {q} <= 0.425 THEN {_horner(_NUM, r)} * {q} / {_horner(_DEN, r)} ELSE {_horner(_NUM2, r2)} / {_horner(_DEN2, r2)} END"
+    return f"CASE WHEN {q} <= {stats.MIDDLE} THEN {_horner(stats.NEAR[0], r)} * {q} / {_horner(stats.NEAR[1], r)} ELSE {_horner(stats.FAR[0], r2)} / {_horner(stats.FAR[1], r2)} END"
 
 
 _UPPER = "(0.025 + z*z/(2*n)) / (1 + z*z/n) + z * sqrt(0.025*0.975/n + z*z/(4*n*n)) / (1 + z*z/n)"
@@ -283,19 +285,19 @@ def alpha_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signal(spark, sf_dir, True).where(~F.col("decoy") & signal.passes(0.1, 0.1)).select("contig", "strand", "rep", "cond", "pos")
 
 
-_TEXT_ROW = "concat(contig, chr(9), CAST(pos AS VARCHAR), chr(9), strand, chr(9), CAST(cov_t AS VARCHAR), chr(9), CAST(rss_t AS VARCHAR), chr(9), CAST(cov_c AS VARCHAR), chr(9), CAST(rss_c AS VARCHAR))"
-
-
 @query(
-    f"""WITH {lens.PAIRS}, t AS (SELECT {_TEXT_ROW} AS line FROM pairs), s AS (SELECT string_split(line, chr(9)) AS f FROM t)
-    SELECT f[1] AS contig, CAST(f[2] AS INT) AS pos, f[3] AS strand, CAST(f[6] AS BIGINT) AS cov_t, CAST(f[7] AS BIGINT) AS rss_t, CAST(f[4] AS BIGINT) AS cov_c, CAST(f[5] AS BIGINT) AS rss_c FROM s"""
+    f"""WITH {_SECOND}, listed AS (SELECT contig, strand, rep, cond, pos, count(*) AS n, min(ans) AS least, max(ans) AS most FROM second GROUP BY ALL)
+    SELECT r.cond, r.rep, r.contig, r.strand, r.pos, r.cov_c AS cov_t, r.rss_c AS rss_t, r.cov_t AS cov_c, r.rss_t AS rss_c, r.first_alpha,
+           CAST(coalesce(l.n, 0) AS INT) AS n_second, round(coalesce(l.least, 0), 9) AS least, round(coalesce(l.most, 0), 9) AS most
+    FROM rows_ r LEFT JOIN listed l ON r.contig = l.contig AND r.strand = l.strand AND r.rep = l.rep AND r.cond = l.cond AND r.pos = l.pos"""
 )
 def parse_signal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of text, with treatment and control swapped."""
-    line = F.concat_ws("\t", "contig", "pos", "strand", "cov_t", "rss_t", "cov_c", "rss_c")
-    f = _pairs(spark, sf_dir).select(F.split(line, "\t").alias("f"))
-    at = lambda i, kind: F.get("f", F.lit(i)).cast(kind)
-    return f.select(at(0, "string").alias("contig"), at(1, "int").alias("pos"), at(2, "string").alias("strand"), at(5, "long").alias("cov_t"), at(6, "long").alias("rss_t"), at(3, "long").alias("cov_c"), at(4, "long").alias("rss_c"))
+    """Signal rows as ragged lines of text and back, with treatment and control exchanged."""
+    lines = _signal(spark, sf_dir, True).select("cond", "rep", tables.signal_line().alias("value"))
+    back = tables.signal_of(lines, "value", True, "cond", "rep")
+    second = F.coalesce("second_alpha", F.array().cast("array<double>"))
+    edge = lambda f: F.round(F.coalesce(f(second), F.lit(0.0)), 9)
+    return back.select(*[c for c in back.columns if c != "second_alpha"], F.size(second).alias("n_second"), edge(F.array_min).alias("least"), edge(F.array_max).alias("most"))
 
 
 @query(
@@ -322,12 +324,26 @@ def rescue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.rescue_groups(_pairs(spark, sf_dir), SAMPLE).select(*SAMPLE, "start", "end", "n", "cov_t", "cov_c", "rss_t", "rss_c")
 
 
+def tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genome's tiles, stored: they are met by several joins of a query."""
+    return materialize(genome.tiles(lens.genome(spark, sf_dir)), "genome")
+
+
+def white(tiles: DataFrame) -> DataFrame:
+    """contig, pos: where windows of the whole contigs allow a stop on +."""
+    whole = genome.lengths(tiles).select("contig", F.lit("+").alias("strand"), F.lit(0).alias("start"), F.col("length").alias("end"))
+    return genome.windows(whole, tiles, 10).where(sequence.is_whitelisted(F.col("window"))).select("contig", "pos")
+
+
 @query()
 def rescue_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The walk over rows in order, after the second stage."""
-    rows = _signal(spark, sf_dir, True).where("not decoy").withColumn("whitelisted", F.lit(True))
-    rows = signal.next_base(rows, lens.genome(spark, sf_dir)).withColumn("g_next", F.col("base3") == "G")
-    return signal.rescue(rows, ALPHAS[0], ALPHAS[0], SAMPLE)
+    """Groups of neighbouring stops after the second stage. The whitelist is that of the contigs."""
+    tiles = tiled(spark, sf_dir)
+    rows = materialize(signal.next_base(_signal(spark, sf_dir, True).where("not decoy"), tiles).withColumn("g_next", F.col("base3") == "G"), "signal")
+    runs = intervals.runs_of_positions(white(tiles), ["contig"])
+    key = [*SAMPLE, "pos"]
+    inside = intervals.points_within(rows, runs, 64, ["contig"]).select(*key, F.lit(True).alias("w"))
+    return signal.rescue(rows.join(inside, key, "left").withColumn("whitelisted", F.coalesce("w", F.lit(False))), ALPHAS[0], ALPHAS[0], SAMPLE)
 
 
 # ---- cutoffs ----
@@ -355,7 +371,7 @@ FDR_SHOWN = 0.2
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positives: stops of the treatment before a G."""
-    rows = signal.next_base(_signal(spark, sf_dir, True), lens.genome(spark, sf_dir))
+    rows = signal.next_base(_signal(spark, sf_dir, True), tiled(spark, sf_dir))
     real = ~F.col("decoy") & (F.col("base3") == "G")
     rows = rows.select("cond", "rep", real.alias("positive"), F.posexplode("second_alpha").alias("k", "a"))
     return cutoff.curve(rows.select("cond", "rep", "k", F.round("a", 9).alias("alpha"), "positive"), ("cond", "rep"))
@@ -379,6 +395,25 @@ def best_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     ) WHERE nth = 1"""
 )
 def global_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6, K8, S13."""
+    """A6."""
     bests = cutoff.best(_curve(spark, sf_dir), FDR_SHOWN, ("cond", "rep"))
     return cutoff.chosen(bests, FDR_SHOWN, ("cond", "rep")).withColumn("fdr", F.round("fdr", 9))
+
+
+@query(
+    f"""WITH {_LABELLED}, chosen AS (SELECT cond, rep, [{_AS}][k + 1] AS first_alpha, alpha AS second_alpha FROM (
+        SELECT *, row_number() OVER (PARTITION BY cond, rep ORDER BY CASE WHEN fdr <= 0.2 AND n_pos > 0 THEN 0 ELSE 1 END, CASE WHEN fdr <= 0.2 AND n_pos > 0 THEN -n_pos ELSE n_neg END, k) AS nth FROM best
+    ) WHERE nth = 1) SELECT cond, rep, first_alpha, second_alpha FROM chosen"""
+)
+def parse_cutoff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample's cutoffs as two lines of text and back."""
+    chosen = cutoff.chosen(cutoff.best(_curve(spark, sf_dir), FDR_SHOWN, ("cond", "rep")), FDR_SHOWN, ("cond", "rep"))
+    text = chosen.select("cond", "rep", F.concat(F.col("first_alpha").cast("string"), F.lit("\n"), F.col("second_alpha").cast("string"), F.lit("\n")).alias("value"))
+    return tables.cutoff_of(text, "cond", "rep")
+
+
+@query(f"WITH {lens.BLOCKS} SELECT DISTINCT read_id, weight FROM blocks")
+def parse_weights_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of reads as lines of text and back."""
+    lines = lens.blocks(spark, sf_dir).select("read_id", "weight").distinct().select(F.concat_ws("\t", "read_id", "weight").alias("value"))
+    return tables.weights_of(lines)

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallmap.constants import MOTIFS
-from stallmap.functions import intervals, sequence
-from stallmap.jobs import lens
-from stallmap.jobs.catalog import _SIGNAL, _hits, query
+from stallmap.constants import MOTIF_CLASSES, MOTIF_KINDS, motif_pattern
+from stallmap.functions import genome, intervals, sequence
+from stallmap.jobs import lens, pipeline
+from stallmap.jobs.catalog import _SIGNAL, _hits, _signal, query, tiled, white
 from stallmap.operators import annotation, motif, report, signal, sites
 from stallmap.operators.sites import SITE
+from stallmap.sources import tables
+from stallmap.sources.text import bed_of
 from stallmap.storage import materialize
 
 # ---- sequence ----
 
 _RC = "reverse(translate({0}, 'ACGTNacgtn', 'TGCANtgcan'))"
-_LAST60 = "right(seq, 60)"
 
 
 @query(f"WITH {lens.GENOME} SELECT contig, length(seq) AS n, md5({_RC.format('seq')}) AS rc FROM genome")
@@ -33,8 +34,7 @@ _WINDOWS = lens.GENOME + """, windows AS (
 
 
 def _white(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sequence.sliding_windows(lens.genome(spark, sf_dir), 10).where(sequence.is_whitelisted(F.col("window")))
-    return found.select(F.col("id").alias("contig"), "pos")
+    return white(tiled(spark, sf_dir))
 
 
 @query(f"WITH {_WINDOWS} SELECT contig, count(*) AS n, min(pos) AS first, max(pos) AS last, CAST(sum(pos) AS BIGINT) AS total FROM white GROUP BY contig")
@@ -46,7 +46,7 @@ def seq_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_WINDOWS}, r AS (SELECT contig, pos, pos - row_number() OVER (PARTITION BY contig ORDER BY pos) AS g FROM white) SELECT contig, min(pos) AS start, max(pos) + 1 AS \"end\" FROM r GROUP BY contig, g")
 def collapse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A14, K6, D12."""
+    """A14, D12."""
     runs = intervals.runs_of_positions(_white(spark, sf_dir), ["contig"])
     return runs.select("contig", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
@@ -55,9 +55,9 @@ def collapse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_SIGNAL}, {_WINDOWS} SELECT h.contig, h.strand, h.cond, h.rep, h.pos FROM hits h WHERE EXISTS (SELECT 1 FROM white w WHERE w.contig = h.contig AND w.pos = h.pos)"""
 )
 def whitelist_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F9, J4, S7."""
-    white = intervals.runs_of_positions(_white(spark, sf_dir), ["contig"])
-    return intervals.points_within(_hits(spark, sf_dir), white, 64, ["contig"]).select("contig", "strand", "cond", "rep", "pos")
+    """F9, J4."""
+    runs = intervals.runs_of_positions(_white(spark, sf_dir), ["contig"])
+    return intervals.points_within(_hits(spark, sf_dir), runs, 64, ["contig"]).select("contig", "strand", "cond", "rep", "pos")
 
 
 @query(
@@ -66,40 +66,58 @@ def whitelist_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def g_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F10."""
-    rows = signal.next_base(_hits(spark, sf_dir), lens.genome(spark, sf_dir))
+    rows = signal.next_base(_hits(spark, sf_dir), tiled(spark, sf_dir))
     return rows.select("contig", "strand", "cond", "rep", "pos", (F.col("base3") == "G").alias("g_next"))
 
 
-_GPCT = "(SELECT max(100.0::DOUBLE * (length(substr(w, i + 1)) - length(replace(substr(w, i + 1), 'G', ''))) / (50 - i)) FROM (SELECT unnest(range(0, 40)) AS i))"
+# The bases before each called stop: P8 to P10 judge those.
+_UPSTREAM = f"""{_SIGNAL}, {lens.GENOME}, x AS (
+    SELECT h.contig, h.strand, h.cond, h.rep, h.pos, CASE WHEN h.strand = '+' THEN substr(seq, greatest(h.pos - 59, 0) + 1, h.pos + 1 - greatest(h.pos - 59, 0)) ELSE {_RC.format('substr(seq, h.pos + 1, 60)')} END AS w
+    FROM hits h JOIN genome g ON h.contig = g.contig
+)"""
+_HIT_KEY = "contig, strand, cond, rep, pos"
+_PERCENT = f"""e AS (SELECT {_HIT_KEY}, w, unnest(range(0, 40)) AS i FROM x), p AS (
+    SELECT {_HIT_KEY}, max(100.0::DOUBLE * (length(substr(w, i + 1)) - length(replace(substr(w, i + 1), 'G', ''))) / (50 - i)) AS g FROM e GROUP BY {_HIT_KEY}
+)"""
+_RUNS = f"""runs AS (
+    SELECT {_HIT_KEY}, w, list_sum(list_transform(regexp_extract_all(w, 'G{{2,}}'), lambda r: CASE WHEN length(r) >= 6 THEN 2 ELSE 1 END)) AS n, length(regexp_replace(w, '^.*GG', '')) AS tail FROM x
+), counted AS (
+    SELECT {_HIT_KEY}, w, CASE WHEN tail <= 2 AND n >= 3 THEN CAST(least(n, 4) AS INT) END AS g_runs FROM runs
+)"""
 
 
-@query(f"WITH {lens.GENOME}, x AS (SELECT contig, {_LAST60} AS w FROM genome), e AS (SELECT contig, w, unnest(range(0, 40)) AS i FROM x) SELECT contig, round(max(100.0::DOUBLE * (length(substr(w, i + 1)) - length(replace(substr(w, i + 1), 'G', ''))) / (50 - i)), 6) AS g_percent FROM e GROUP BY contig")
-def g_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P8, on the end of every contig."""
-    return lens.genome(spark, sf_dir).select("contig", F.round(sequence.g_percent(F.right("seq", F.lit(60))), 6).alias("g_percent"))
+def _upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = report.upstream(_hits(spark, sf_dir).withColumns({c: F.col(c).cast("int") for c in ("start", "end")}), tiled(spark, sf_dir))
+    return rows.join(lens.genome(spark, sf_dir).select("contig"), "contig", "left_semi")
 
 
-_RUNS = """runs AS (
-    SELECT contig, w, list_sum(list_transform(regexp_extract_all(w, 'G{2,}'), lambda r: CASE WHEN length(r) >= 6 THEN 2 ELSE 1 END)) AS n, length(regexp_replace(w, '^.*GG', '')) AS tail FROM x
-), counted AS (
-    SELECT contig, w, CASE WHEN tail <= 2 AND n >= 3 THEN CAST(least(n, 4) AS INT) END AS g_runs FROM runs
-)"""
+@query(f"WITH {_UPSTREAM}, {_PERCENT} SELECT {_HIT_KEY}, round(g, 6) AS g_percent FROM p")
+def g_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8, before every called stop."""
+    return _upstream(spark, sf_dir).select("contig", "strand", "cond", "rep", "pos", F.round(sequence.g_percent(F.col("window")), 6).alias("g_percent"))
 
 
-@query(f"WITH {lens.GENOME}, x AS (SELECT contig, {_LAST60} AS w FROM genome), {_RUNS} SELECT contig, g_runs FROM counted")
+@query(f"WITH {_UPSTREAM}, {_RUNS} SELECT {_HIT_KEY}, g_runs FROM counted")
 def g_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P9."""
-    return lens.genome(spark, sf_dir).select("contig", sequence.g_runs(F.right("seq", F.lit(60))).alias("g_runs"))
+    """P9, before every called stop."""
+    return _upstream(spark, sf_dir).select("contig", "strand", "cond", "rep", "pos", sequence.g_runs(F.col("window")).alias("g_runs"))
 
 
 @query(
-    f"""WITH {lens.GENOME}, x AS (SELECT contig, {_LAST60} AS w FROM genome), {_RUNS}, e AS (SELECT contig, w, unnest(range(0, 40)) AS i FROM x),
-    p AS (SELECT contig, max(100.0::DOUBLE * (length(substr(w, i + 1)) - length(replace(substr(w, i + 1), 'G', ''))) / (50 - i)) AS g FROM e GROUP BY contig)
-    SELECT c.contig, CASE WHEN g >= 40 THEN CASE WHEN g_runs >= 4 THEN 'quadruplex' WHEN g_runs = 3 THEN 'triplex' ELSE 'G>=40%' END ELSE 'Unknown' END AS verdict FROM counted c JOIN p ON c.contig = p.contig"""
+    f"""WITH {_UPSTREAM}, {_RUNS}, {_PERCENT}
+    SELECT c.contig, c.strand, c.cond, c.rep, c.pos, CASE WHEN g >= 40 THEN CASE WHEN g_runs >= 4 THEN 'potential G-quadruplex & G>=40%' WHEN g_runs = 3 THEN 'potential G-triplex & G>=40%' ELSE 'G>=40%' END ELSE 'Unknown' END AS verdict
+    FROM counted c JOIN p ON c.contig = p.contig AND c.strand = p.strand AND c.cond = p.cond AND c.rep = p.rep AND c.pos = p.pos"""
 )
 def novel_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P10."""
-    return lens.genome(spark, sf_dir).select("contig", sequence.novel_verdict(F.right("seq", F.lit(60))).alias("verdict"))
+    """P10, before every called stop."""
+    return _upstream(spark, sf_dir).select("contig", "strand", "cond", "rep", "pos", sequence.novel_verdict(F.col("window")).alias("verdict"))
+
+
+@query(f"WITH {_WINDOWS}, r AS (SELECT contig, pos, pos - row_number() OVER (PARTITION BY contig ORDER BY pos) AS g FROM white) SELECT contig, '+' AS strand, CAST(min(pos) AS INT) AS start, CAST(max(pos) + 1 AS INT) AS \"end\" FROM r GROUP BY contig, g")
+def parse_bed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitelisted runs as lines of text and back."""
+    runs = intervals.runs_of_positions(_white(spark, sf_dir), ["contig"]).withColumn("strand", F.lit("+"))
+    return bed_of(runs.select(tables.bed_line().alias("value")))
 
 
 # ---- annotation ----
@@ -138,25 +156,40 @@ def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPLICED = f"""{lens.GENES}, {lens.GENOME}, cut AS (
-    SELECT e.transcript_id, e.e, CASE WHEN e.strand = '-' THEN {_RC.format('substr(g.seq, e.st + 1, e.en - e.st)')} ELSE substr(g.seq, e.st + 1, e.en - e.st) END AS s FROM exons e JOIN genome g ON e.contig = g.contig
+    SELECT e.transcript_id, e.e, CASE WHEN e.strand = '-' THEN {_RC.format('substr(g.seq, e.st + 1, e.en - e.st)')} ELSE substr(g.seq, e.st + 1, e.en - e.st) END AS s FROM exons e JOIN genome g ON e.contig = g.contig AND g.seq <> ''
 ), spliced AS (
     SELECT transcript_id, string_agg(s, '' ORDER BY e) AS seq FROM cut GROUP BY transcript_id
 )"""
 
 
+def _spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(annotation.transcript_sequences(_exons(spark, sf_dir), tiled(spark, sf_dir)), "spliced")
+
+
 @query(f"WITH {_SPLICED} SELECT transcript_id, seq FROM spliced")
 def transcript_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6."""
-    return annotation.transcript_sequences(_exons(spark, sf_dir), lens.genome(spark, sf_dir))
+    return annotation.transcript_sequences(_exons(spark, sf_dir), tiled(spark, sf_dir))
 
 
+# The rule: in a junction's text of up to ten bases of either side, each base with ten before it, the first of the next exon included.
 @query(
-    f"""WITH {_SPLICED}, spots AS (SELECT transcript_id, seq, unnest(list_concat(range(81, 90), range(161, 170))) AS stop FROM spliced)
-    SELECT transcript_id, CAST(stop AS INT) AS stop, substr(seq, stop - 9, 10) AS "window" FROM spots WHERE stop <= length(seq)"""
+    f"""WITH {_SPLICED}, spots AS (SELECT s.transcript_id, s.seq, unnest(list_concat(range(80, 90), range(160, 170))) AS stop FROM spliced s)
+    SELECT x.transcript_id, CAST(x.stop AS INT) AS stop, CAST(CASE WHEN e.strand = '-' THEN e.en - 1 - (x.stop - 80 * (e.e - 1)) ELSE e.st + (x.stop - 80 * (e.e - 1)) END AS INT) AS pos, substr(x.seq, x.stop - 9, 10) AS "window"
+    FROM spots x JOIN exons e ON e.transcript_id = x.transcript_id AND e.e = x.stop // 80 + 1 WHERE x.stop < length(x.seq)"""
 )
 def junction_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W6."""
-    return annotation.junction_windows(_exons(spark, sf_dir), lens.genome(spark, sf_dir))
+    """W6, with the places on the genome."""
+    return annotation.junction_windows(_exons(spark, sf_dir), _spliced(spark, sf_dir)).select("transcript_id", "stop", "pos", "window")
+
+
+@query(
+    f"""WITH {lens.GENES}, {lens.GENOME} SELECT contig, CAST(row_number() OVER (ORDER BY first, contig) AS INT) AS place FROM (
+        SELECT contig, min(key) AS first FROM genes WHERE contig IN (SELECT contig FROM genome WHERE seq <> '') GROUP BY contig)"""
+)
+def contig_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs in the order of the annotation, of those that the genome has."""
+    return annotation.contig_order(lens.genes(spark, sf_dir).select("contig", F.col("key").alias("nth")), tiled(spark, sf_dir))
 
 
 _UTR = f"""{lens.GENES}, coding AS (SELECT transcript_id, min(st) AS c0, max(en) AS c1 FROM cds GROUP BY 1), utr AS (
@@ -198,12 +231,12 @@ def positions_to_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("transcript_id", F.array_join(F.transform(ordered, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",").alias("pieces"), "first", "last")
 
 
-@query("SELECT p_partkey, CASE WHEN list_contains(t, 'protein_coding') THEN 'protein_coding' WHEN list_contains(t, 'mRNA') THEN 'mRNA' ELSE array_to_string(t, ',') END AS kind FROM (SELECT p_brand AS p_partkey, list_sort(list_distinct(list(CASE p_size % 5 WHEN 0 THEN CASE WHEN p_partkey % 11 = 0 THEN 'protein_coding' ELSE 'ncRNA' END WHEN 1 THEN CASE WHEN p_partkey % 7 = 0 THEN 'mRNA' ELSE 'snRNA' END ELSE 'lnc_RNA' END))) AS t FROM part GROUP BY p_brand)")
+@query("SELECT gene_name, CASE WHEN list_contains(t, 'protein_coding') THEN 'protein_coding' WHEN list_contains(t, 'mRNA') THEN 'mRNA' ELSE array_to_string(t, ',') END AS kind FROM (SELECT p_brand AS gene_name, list_sort(list_distinct(list(CASE p_size % 5 WHEN 0 THEN CASE WHEN p_partkey % 11 = 0 THEN 'protein_coding' ELSE 'ncRNA' END WHEN 1 THEN CASE WHEN p_partkey % 7 = 0 THEN 'mRNA' ELSE 'snRNA' END ELSE 'lnc_RNA' END))) AS t FROM part GROUP BY p_brand)")
 def type_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12."""
     kind = F.expr("CASE p_size % 5 WHEN 0 THEN CASE WHEN p_partkey % 11 = 0 THEN 'protein_coding' ELSE 'ncRNA' END WHEN 1 THEN CASE WHEN p_partkey % 7 = 0 THEN 'mRNA' ELSE 'snRNA' END ELSE 'lnc_RNA' END")
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", kind.alias("t")).groupBy("p_brand").agg(F.collect_set("t").alias("t"))
-    return rows.select(F.col("p_brand").alias("p_partkey"), annotation.inferred_type(F.col("t")).alias("kind"))
+    return rows.select(F.col("p_brand").alias("gene_name"), annotation.inferred_type(F.col("t")).alias("kind"))
 
 
 @query("WITH i AS (SELECT o_custkey, concat(['NM', 'NR', 'XM', 'XR', 'ZZ'][CAST(o_orderkey % 5 AS INT) + 1], '_', CAST(o_orderkey AS VARCHAR)) AS id, CAST(o_orderkey % 5 AS INT) AS r FROM orders), b AS (SELECT o_custkey, min(r) AS r FROM i WHERE r < 4 GROUP BY 1) SELECT i.o_custkey, string_agg(i.id, ',' ORDER BY i.id) AS ids FROM i JOIN b ON i.o_custkey = b.o_custkey AND i.r = b.r GROUP BY 1")
@@ -293,15 +326,6 @@ def site_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.site_coverage(_sites(spark, sf_dir), _hits(spark, sf_dir))
 
 
-@query(
-    f"""WITH {_ISLANDS} SELECT contig, strand, st AS start, en AS "end", concat(lpad('site', 16, ' '), ' ', array_to_string(list_transform(range(greatest(st - 10, 0), en + 10), lambda p: CASE WHEN p >= st AND p < en THEN '*' ELSE '-' END), '')) AS line FROM sites"""
-)
-def diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P15."""
-    line = sites.diagram(F.lit("site"), F.greatest(F.col("start") - 10, F.lit(0)), F.col("end") + 10, F.sequence("start", F.col("end") - 1))
-    return _sites(spark, sf_dir).select(*SITE, line.alias("line"))
-
-
 @query(f"WITH {_ISLANDS}, {lens.GENES} SELECT s.contig, s.strand, s.st AS start, s.en AS \"end\", t.transcript_id FROM islands s JOIN transcripts t ON s.contig = t.contig AND s.strand = t.strand AND s.st < t.en AND t.st < s.en")
 def annotation_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J6, P11."""
@@ -314,60 +338,67 @@ _HIT = f"""{_ISLANDS}, {_UTR}, regions AS (SELECT transcript_id, region, st, en
 )"""
 
 
-@query(f"WITH {_HIT} SELECT coalesce(region, 'none') AS region, count(*) AS n FROM hit GROUP BY 1")
+def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotation.with_regions(lens.transcripts(spark, sf_dir), _regions(spark, sf_dir))
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each island, in one piece, with the transcripts that it overlaps."""
+    places = _islands(spark, sf_dir).select(*SITE, F.array(F.struct("start", "end")).cast(intervals.PIECES).alias("pieces"))
+    return annotation.annotated(places, _transcripts(spark, sf_dir), SITE)
+
+
+@query(f"WITH {_HIT} SELECT coalesce(region, 'none') AS region, count(*) AS n FROM (SELECT DISTINCT contig, strand, st, en, transcript_id, region FROM hit) GROUP BY 1")
 def region_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J7."""
-    found = annotation.overlapping_transcripts(_islands(spark, sf_dir).select(*SITE), lens.transcripts(spark, sf_dir))
-    return annotation.regions_hit(found, _regions(spark, sf_dir)).groupBy(F.coalesce("region", F.lit("none")).alias("region")).agg(F.count("*").alias("n"))
+    named = F.explode(F.when(F.size("regions") == 0, F.array(F.lit("none"))).otherwise(F.col("regions"))).alias("region")
+    return _annotated(spark, sf_dir).select(named).groupBy("region").agg(F.count("*").alias("n"))
 
 
+# A gene none of whose regions is met counts as non_coding, beside what other genes have.
 @query(
-    f"""WITH {_HIT} SELECT contig, strand, st AS start, en AS "end", string_agg(DISTINCT gene_name, ',' ORDER BY gene_name) AS gene_names, string_agg(DISTINCT transcript_id, ',' ORDER BY transcript_id) AS transcript_ids,
-    coalesce(string_agg(DISTINCT region, ',' ORDER BY region), 'non_coding') AS regions FROM hit GROUP BY ALL"""
+    f"""WITH {_HIT}, named AS (
+        SELECT h.*, CASE WHEN contains(gene_name, 'gene') THEN gene_name ELSE gene_name || '|' || regexp_extract(transcript_id, '^(.*)\\.t', 1) END AS gene FROM hit h
+    ), by_gene AS (
+        SELECT contig, strand, st, en, gene, coalesce(list(DISTINCT region) FILTER (region IS NOT NULL), ['non_coding']) AS own, list(DISTINCT transcript_id) AS ids FROM named GROUP BY ALL
+    ), flat AS (SELECT contig, strand, st, en, gene, unnest(own) AS region FROM by_gene), regions_ AS (
+        SELECT contig, strand, st, en, string_agg(DISTINCT gene, ';' ORDER BY gene) AS gene_names, string_agg(DISTINCT region, ';' ORDER BY region) AS coding_regions FROM flat GROUP BY ALL
+    ), ids AS (SELECT contig, strand, st, en, string_agg(DISTINCT transcript_id, ';' ORDER BY transcript_id) AS transcript_ids FROM named GROUP BY ALL)
+    SELECT r.contig, r.strand, r.st AS start, r.en AS "end", gene_names, transcript_ids, coding_regions FROM regions_ r JOIN ids i ON r.contig = i.contig AND r.strand = i.strand AND r.st = i.st AND r.en = i.en"""
 )
 def annotation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9, P16."""
-    found = annotation.overlapping_transcripts(_islands(spark, sf_dir).select(*SITE), lens.transcripts(spark, sf_dir))
-    return annotation.rollup(annotation.regions_hit(found, _regions(spark, sf_dir)), SITE)
-
-
-@query(
-    f"""WITH {_ISLANDS}, {lens.GENES} SELECT s.contig, s.strand, s.st AS start, s.en AS "end", t.transcript_id FROM islands s JOIN transcripts t ON s.contig = t.contig AND s.strand = t.strand AND s.st < t.en AND t.st < s.en
-    WHERE (SELECT count(*) FROM (SELECT unnest(range(s.st, s.en)) AS p) WHERE NOT EXISTS (SELECT 1 FROM exons e WHERE e.transcript_id = t.transcript_id AND e.st <= p AND p < e.en)) = 0"""
-)
-def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """islands that lie in the exons of a transcript."""
-    parts = lens.exons(spark, sf_dir).groupBy("transcript_id").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
-    found = annotation.overlapping_transcripts(_islands(spark, sf_dir).select(*SITE), lens.transcripts(spark, sf_dir)).join(parts, "transcript_id")
-    return found.where(sites.contained(F.col("start"), F.col("end"), F.col("parts"))).select(*SITE, "transcript_id")
+    return annotation.rollup(_annotated(spark, sf_dir), SITE)
 
 
 # ---- motifs ----
 
-_FOUND = ", ".join(f"length(regexp_extract(w, '{p}', 0)) AS m{k}" for k, (p, _) in enumerate(MOTIFS))
-_OF = {c: ", ".join(f"nullif(m{k}, 0)" for k, (_, own) in enumerate(MOTIFS) if own == c) for c in sorted({c for _, c in MOTIFS})}
+_FOUND = ", ".join(f"length(regexp_extract(w, '{motif_pattern(tracts, loops)}', 0)) AS m{k}" for k, (_, tracts, loops) in enumerate(MOTIF_KINDS))
+_OF = {c: ", ".join(f"nullif(m{k}, 0)" for k, kind in enumerate(MOTIF_KINDS) if kind[0] == c) for c in MOTIF_CLASSES}
 _SHORT = {c: f"list_min([{x}])" for c, x in _OF.items()}
-_CANDIDATES = (
-    lens.GENOME
-    + f""", wins AS (
-    SELECT contig, e, substr(seq, greatest(e - 54, 0) + 1, e - greatest(e - 54, 0)) AS w FROM (SELECT contig, seq, unnest(range(11, length(seq))) AS e FROM genome)
+
+
+def _search(seqs: str, id_: str, out: str) -> str:
+    """SQL for the candidates of a table of sequences."""
+    return f"""wins AS (
+    SELECT {id_} AS id, e, substr(seq, greatest(e - 54, 0) + 1, e - greatest(e - 54, 0)) AS w FROM (SELECT {id_}, seq, unnest(range(11, length(seq))) AS e FROM {seqs})
 ), rich AS (
     SELECT * FROM wins WHERE right(w, 1) = 'G' AND length(w) - length(replace(w, 'G', '')) >= 8
 ), tried AS (
-    SELECT contig, e, {_FOUND} FROM rich
+    SELECT id, e, {_FOUND} FROM rich
 ), classed AS (
     SELECT *, CASE {" ".join(f"WHEN {x} IS NOT NULL THEN {c}" for c, x in _SHORT.items())} END AS priority, coalesce({", ".join(_SHORT.values())}) AS short,
-           list_max([{", ".join(f"m{k}" for k in range(len(MOTIFS)))}]) AS long FROM tried
-), candidates AS (
-    SELECT contig AS id, CAST(e AS INT) AS e, CAST(e - short AS INT) AS start, CAST(priority AS INT) AS priority, CAST(e - long AS INT) AS far FROM classed WHERE priority IS NOT NULL
+           list_max([{", ".join(f"m{k}" for k in range(len(MOTIF_KINDS)))}]) AS long FROM tried
+), {out} AS (
+    SELECT id, CAST(e AS INT) AS e, CAST(e - short AS INT) AS start, CAST(priority AS INT) AS priority, CAST(e - long AS INT) AS far FROM classed WHERE priority IS NOT NULL
 )"""
-)
+
+
+_CANDIDATES = f"{lens.GENOME}, {_search('genome', 'contig', 'candidates')}"
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searching is what costs here, so contigs are dealt out first, however few files they come in."""
-    seqs = lens.genome(spark, sf_dir)
-    return motif.candidates(seqs.repartition(max(2 * spark.sparkContext.defaultParallelism, seqs.rdd.getNumPartitions()), "contig"))
+    return motif.candidates(lens.genome(spark, sf_dir))
 
 
 @query(f"WITH {_CANDIDATES} SELECT id, e, start, priority, far FROM candidates")
@@ -376,11 +407,9 @@ def motif_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir)
 
 
-@query(f"WITH {_CANDIDATES} SELECT CASE priority WHEN 1 THEN 'canonical' WHEN 2 THEN 'longloop' WHEN 3 THEN 'bulges' ELSE 'two-quartet' END AS class, count(*) AS n FROM candidates GROUP BY 1")
+@query(f"WITH {_CANDIDATES} SELECT CASE priority WHEN 1 THEN 'canonical/G3L1-7' WHEN 2 THEN 'longloop' WHEN 3 THEN 'bulges' ELSE 'two-quartet' END AS class, count(*) AS n FROM candidates GROUP BY 1")
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10, P12."""
-    from stallmap.constants import MOTIF_CLASSES
-
     names = F.create_map(*[F.lit(x) for kv in MOTIF_CLASSES.items() for x in kv])
     return _candidates(spark, sf_dir).groupBy(names[F.col("priority")].alias("class")).agg(F.count("*").alias("n"))
 
@@ -397,35 +426,30 @@ def motif_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def motif_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3, W9, M5."""
-    return motif.retained(_candidates(spark, sf_dir), lens.genome(spark, sf_dir))
+    """M3, W9."""
+    return motif.retained(lens.genome(spark, sf_dir)).select("id", "e", "start", "priority", "far", "flank_start", "flank_end")
 
 
-def _spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(annotation.transcript_sequences(_exons(spark, sf_dir), lens.genome(spark, sf_dir)), "spliced")
+def _known(spark: SparkSession, sf_dir: str) -> pipeline.Annotation:
+    return pipeline.Annotation("lens", materialize(_transcripts(spark, sf_dir), "transcripts"), materialize(_exons(spark, sf_dir), "exons"))
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Motifs of spliced transcripts, on the genome."""
-    seqs = _spliced(spark, sf_dir)
-    kept = motif.retained(motif.candidates(seqs, "transcript_id"), seqs, "transcript_id")
-    order = F.array_sort(F.collect_list(F.struct("number", "start", "end")))
-    tx = _exons(spark, sf_dir).groupBy(F.col("transcript_id").alias("id"), "gene_id", "contig", "strand").agg(order.alias("exons"))
-    return motif.placed(kept, tx)
+def _motif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.motifs_of(_known(spark, sf_dir), _spliced(spark, sf_dir))
 
 
 @query()
 def motif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retained motifs of transcripts with where they lie on the genome."""
-    shown = F.array_join(F.transform("pieces", lambda p: F.concat(p["start"].cast("string"), F.lit("-"), p["end"].cast("string"))), ",")
-    return _placed(spark, sf_dir).select("id", "gene_id", "contig", "strand", "start", "e", "priority", "flank_start", "flank_end", shown.alias("pieces"))
+    """Retained motifs of transcripts with where they and their flanks lie on the genome."""
+    text = lambda c: F.to_json(c).alias(c)
+    return _motif_rows(spark, sf_dir).select(*[text(c) if c in ("pieces", "left", "right", "transcripts") else c for c in ("contig", "start", "end", "name", "strand", "class", "sequence", "pieces", "flank_sequence", "transcripts", "left", "right", "priority")])
 
 
 @query()
-def motif_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A15."""
-    rows = motif.deduplicated(_placed(spark, sf_dir))
-    return rows.select("gene_id", "contig", "strand", F.to_json("pieces").alias("pieces"), "priority", F.array_join("transcripts", ",").alias("transcripts"))
+def parse_motif_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The motif table as lines of text and back."""
+    back = tables.motifs_of(_motif_rows(spark, sf_dir).select(tables.motif_line().alias("value")))
+    return back.select(*[F.to_json(c).alias(c) if c in ("pieces", "left", "right", "transcripts") else c for c in back.columns])
 
 
 # Clusters of genes: the exons of a gene's transcripts, joined where they overlap.
@@ -463,65 +487,130 @@ def group_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.join(roots, "node").groupBy("root").agg(F.min("start").alias("start"), F.max("end").alias("end"), strand.alias("strand"), F.count("*").alias("n"))
 
 
-# Motifs of contigs, taken for both strands, near sites.
-_NEAR = f"""{_ISLANDS}, {_CANDIDATES}, strands AS (SELECT unnest(['+', '-']) AS strand), placed AS (
-    SELECT id AS contig, strand, start AS m_start, e AS m_end, priority, greatest(CASE WHEN strand = '+' THEN e - 3 ELSE start - 3 END, 0) AS z0, CASE WHEN strand = '+' THEN e + 3 ELSE start + 3 END AS z1 FROM candidates, strands
+# Candidates of spliced transcripts, on the genome, near sites. Exons of the derived genes have 80 bases.
+_PARTS = "CASE WHEN x.strand = '-' THEN x.en - least({b} - o, 80) ELSE x.st + greatest({a} - o, 0) END AS s, CASE WHEN x.strand = '-' THEN x.en - greatest({a} - o, 0) ELSE x.st + least({b} - o, 80) END AS e_"
+_ORDER = "CASE WHEN strand = '-' THEN -s ELSE s END"
+
+
+def _pieces_sql(name: str, a: str, b: str) -> str:
+    """SQL for where [a, b) of each motif lies, touching parts joined: motif_id, i (from 1, 5' to 3'), s, e_."""
+    return f"""{name}_cut AS (
+    SELECT m.motif_id, x.contig, x.strand, {_PARTS.format(a=a, b=b)} FROM tx_motifs m JOIN (SELECT *, 80 * (e - 1) AS o FROM exons) x ON m.id = x.transcript_id WHERE {a} < o + 80 AND {b} > o
+), {name} AS (
+    SELECT *, row_number() OVER (PARTITION BY motif_id ORDER BY {_ORDER}) AS i, count(*) OVER (PARTITION BY motif_id) AS n FROM {name}_cut
+)"""
+
+
+_NEAR = f"""{_ISLANDS}, {_SPLICED}, {_search('spliced', 'transcript_id', 'tx_found')}, tx_motifs AS (
+    SELECT f.*, f.id || '#' || CAST(f.e AS VARCHAR) AS motif_id, least(f.e + 50, length(s.seq) - 1) AS flank_end FROM tx_found f JOIN spliced s ON f.id = s.transcript_id
+), {_pieces_sql('body', 'm.start', 'm.e')}, {_pieces_sql('flank', 'm.e', 'm.flank_end')}, zones AS (
+    SELECT motif_id, contig, strand, CASE WHEN strand = '+' THEN e_ - 3 ELSE s END AS z0, CASE WHEN strand = '+' THEN e_ ELSE s + 3 END AS z1 FROM body WHERE i = CASE WHEN strand = '+' THEN n ELSE 1 END
+    UNION ALL
+    SELECT motif_id, contig, strand, CASE WHEN strand = '+' THEN s ELSE e_ - 3 END, CASE WHEN strand = '+' THEN s + 3 ELSE e_ END FROM flank WHERE i = 1
 ), near AS (
-    SELECT s.contig, s.strand, s.st AS start, s.en AS "end", p.m_start, p.m_end, p.priority FROM islands s JOIN placed p ON s.contig = p.contig AND s.strand = p.strand AND s.st < p.z1 AND p.z0 < s.en
+    SELECT DISTINCT i.contig, i.strand, i.st AS start, i.en AS "end", z.motif_id FROM islands i JOIN zones z ON i.contig = z.contig AND i.strand = z.strand AND i.st < z.z1 AND z.z0 < i.en
+), spots AS (
+    SELECT *, unnest(range(start, "end")) AS p FROM near
+), inside AS (
+    SELECT DISTINCT q.contig, q.strand, q.start, q."end", q.motif_id, q.p FROM spots q JOIN (SELECT motif_id, s, e_ FROM body UNION ALL SELECT motif_id, s, e_ FROM flank) b ON q.motif_id = b.motif_id AND b.s <= q.p AND q.p < b.e_
+), held AS (
+    SELECT contig, strand, start, "end", motif_id FROM inside GROUP BY ALL HAVING count(*) = "end" - start
 ), best AS (
-    SELECT * FROM (SELECT *, min(priority) OVER (PARTITION BY contig, strand, start, "end") AS b FROM near) WHERE priority = b
+    SELECT * FROM (SELECT h.*, m.priority, min(m.priority) OVER (PARTITION BY contig, strand, h.start, "end") AS b FROM held h JOIN tx_motifs m ON h.motif_id = m.motif_id) WHERE priority = b
+), texts AS (
+    SELECT motif_id, string_agg(concat(contig, ':', CAST(s AS VARCHAR), '-', CAST(e_ AS VARCHAR), ':', strand), ',' ORDER BY i) AS pieces, arg_max(s, i) AS last_s, arg_max(e_, i) AS last_e FROM body GROUP BY motif_id
+), locus AS (
+    SELECT * FROM (
+        SELECT b.contig, b.strand, b.start, b."end", b.motif_id, b.priority, t.pieces, rank() OVER (PARTITION BY b.contig, b.strand, b.start, b."end" ORDER BY
+            CASE WHEN strand = '+' THEN -last_e ELSE last_s END, CASE WHEN strand = '+' THEN last_s ELSE -last_e END, t.pieces) AS nth FROM best b JOIN texts t ON b.motif_id = t.motif_id
+    ) WHERE nth = 1
+), flanked AS (
+    SELECT l.*, coalesce(f.length, 0) AS flank_length, coalesce(f.meets, 0) AS meets FROM locus l LEFT JOIN (
+        SELECT l.contig AS c, l.strand AS st_, l.start AS s0, l."end" AS e0, l.motif_id AS m, sum(f.e_ - f.s) AS length, max(CASE WHEN f.s < l."end" AND l.start < f.e_ THEN 1 ELSE 0 END) AS meets
+        FROM locus l JOIN flank f ON l.motif_id = f.motif_id GROUP BY ALL
+    ) f ON l.motif_id = f.m AND l.contig = f.c AND l.strand = f.st_ AND l.start = f.s0 AND l."end" = f.e0
+), chosen AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contig, strand, start, "end" ORDER BY meets DESC, flank_length DESC, motif_id) AS n_ FROM flanked) WHERE n_ = 1
 )"""
 
 
 def _motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strand = F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand")
-    return _candidates(spark, sf_dir).select(F.col("id").alias("contig"), strand, "start", F.col("e").alias("end"), "priority")
+    """All candidates of spliced transcripts on the genome, so that SQL can follow; jobs take the retained ones."""
+    seqs = _spliced(spark, sf_dir)
+    tx = annotation.spliced(_exons(spark, sf_dir)).withColumnRenamed("transcript_id", "id")
+    ends = seqs.select(F.col("transcript_id").alias("id"), F.length("seq").alias("n"), "seq")
+    found = motif.candidates(seqs, "transcript_id").join(ends, "id")
+    found = found.withColumn("flank_start", F.greatest(F.col("start") - 50, F.lit(0))).withColumn("flank_end", F.least(F.col("e") + 50, F.col("n") - 1))
+    cut = lambda a, b: F.substring("seq", F.col(a) + 1, F.col(b) - F.col(a))
+    found = found.withColumns({"sequence": cut("start", "e"), "flank_sequence": F.concat_ws("|", F.lit(""), F.lit(""), cut("e", "flank_end"))})
+    rows = motif.placed(found.drop("n", "seq"), tx)
+    named = F.concat("id", F.lit("#"), F.col("e").cast("string"))
+    return materialize(rows.select("*", named.alias("motif_id"), named.alias("serial"), F.lit("x").alias("class")), "motifs")
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motif.near_sites(_islands(spark, sf_dir).select(*SITE), _motifs(spark, sf_dir))
 
 
-@query(f"WITH {_NEAR} SELECT contig, strand, start, \"end\", m_start, m_end, priority FROM near")
+@query(f"WITH {_NEAR} SELECT contig, strand, start, \"end\", motif_id FROM near")
 def site_motif_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J3."""
-    return _near(spark, sf_dir)
+    """J3, with the motif's and the flank's own pieces."""
+    return _near(spark, sf_dir).select(*SITE, "motif_id")
 
 
-@query(f"WITH {_NEAR} SELECT contig, strand, start, \"end\", m_start, m_end, priority FROM best")
+@query(f"WITH {_NEAR} SELECT contig, strand, start, \"end\", motif_id FROM held")
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sites that lie in a motif and the flank after it."""
+    return _near(spark, sf_dir).where(motif.contains_site()).select(*SITE, "motif_id")
+
+
+@query(f"WITH {_NEAR} SELECT contig, strand, start, \"end\", motif_id, priority FROM best")
 def class_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8."""
-    return motif.best_class(_near(spark, sf_dir), SITE)
+    return motif.best_class(_near(spark, sf_dir), SITE).select(*SITE, "motif_id", "priority")
 
 
-@query(
-    f"""WITH {_NEAR} SELECT contig, strand, start, "end", m_start, m_end, priority FROM (
-        SELECT *, row_number() OVER (PARTITION BY contig, strand, start, "end" ORDER BY CASE WHEN strand = '+' THEN -m_end ELSE m_start END, CASE WHEN strand = '+' THEN m_start ELSE -m_end END) AS nth FROM best) WHERE nth = 1"""
-)
+@query(f"WITH {_NEAR} SELECT contig, strand, start, \"end\", motif_id, pieces FROM locus")
 def locus_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9, and the choice of one row of a group."""
-    return motif.best_locus(motif.best_class(_near(spark, sf_dir), SITE), SITE)
+    rows = motif.best_locus(motif.best_class(_near(spark, sf_dir), SITE), SITE)
+    return rows.select(*SITE, "motif_id", intervals.pieces_as_text(F.col("contig"), F.col("pieces"), F.col("strand")).alias("pieces"))
 
 
-@query(
-    f"""WITH {_ISLANDS}, {lens.GENES}, t AS (
-        SELECT s.contig, s.strand, s.st AS start, s.en AS "end", t.transcript_id AS serial, t.en - t.st AS flank_length, CASE WHEN s.st >= t.st AND s.en <= t.en THEN 1 ELSE 0 END AS matches
-        FROM islands s JOIN transcripts t ON s.contig = t.contig AND s.strand = t.strand AND s.st < t.en AND t.st < s.en)
-    SELECT contig, strand, start, "end", serial FROM (SELECT *, row_number() OVER (PARTITION BY contig, strand, start, "end" ORDER BY matches DESC, flank_length DESC, serial) AS nth FROM t) WHERE nth = 1"""
-)
+def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motif.representative(motif.best_locus(motif.best_class(_near(spark, sf_dir), SITE), SITE), SITE)
+
+
+@query(f"WITH {_NEAR} SELECT contig, strand, start, \"end\", motif_id FROM chosen")
 def representative_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M10."""
-    found = annotation.overlapping_transcripts(_islands(spark, sf_dir).select(*SITE), lens.transcripts(spark, sf_dir))
-    inside = ((F.col("start") >= F.col("r_start")) & (F.col("end") <= F.col("r_end"))).cast("int")
-    rows = found.select(*SITE, F.col("transcript_id").alias("serial"), (F.col("r_end") - F.col("r_start")).alias("flank_length"), inside.alias("matches"))
-    return motif.representative(rows, SITE).select(*SITE, "serial")
+    return _chosen(spark, sf_dir).select(*SITE, "motif_id")
 
 
 @query(
-    f"""WITH {_SIGNAL}, {_CANDIDATES}, strands AS (SELECT unnest(['+', '-']) AS strand), placed AS (
-        SELECT id AS contig, strand, greatest(CASE WHEN strand = '+' THEN e - 3 ELSE start - 3 END, 0) AS z0, CASE WHEN strand = '+' THEN e + 3 ELSE start + 3 END AS z1 FROM candidates, strands)
-    SELECT h.contig, h.strand, h.cond, h.rep, h.pos FROM hits h WHERE EXISTS (SELECT 1 FROM placed p WHERE p.contig = h.contig AND p.strand = h.strand AND h.pos >= p.z0 AND h.pos < p.z1)"""
+    f"""WITH {_NEAR}, drawn AS (
+        SELECT c.contig, c.strand, c.start, c."end", c.motif_id, 1 AS part, row_number() OVER (PARTITION BY c.contig, c.strand, c.start, c."end" ORDER BY CASE WHEN c.strand = '-' THEN -p ELSE p END) AS nth, p
+        FROM chosen c JOIN (SELECT motif_id, unnest(range(s, e_)) AS p FROM body) b ON c.motif_id = b.motif_id
+        UNION ALL
+        SELECT * FROM (SELECT c.contig, c.strand, c.start, c."end", c.motif_id, 2, row_number() OVER (PARTITION BY c.contig, c.strand, c.start, c."end" ORDER BY CASE WHEN c.strand = '-' THEN -p ELSE p END) AS nth, p
+        FROM chosen c JOIN (SELECT motif_id, unnest(range(s, e_)) AS p FROM flank) b ON c.motif_id = b.motif_id) WHERE nth <= 10
+    ), starred AS (
+        SELECT d.contig, d.strand, d.start, d."end", d.part, d.nth, max(CASE WHEN h.cond = 'K' THEN 1 ELSE 0 END) AS k, max(CASE WHEN h.cond = 'KPDS' THEN 1 ELSE 0 END) AS kpds
+        FROM drawn d LEFT JOIN hits h ON h.contig = d.contig AND h.strand = d.strand AND h.st <= d.p AND d.p < h.en AND d.p >= d.start AND d.p < d."end" GROUP BY ALL
+    ), lines AS (
+        SELECT contig, strand, start, "end", string_agg(CASE WHEN k = 1 THEN '*' ELSE '-' END, '' ORDER BY part, nth) AS k, string_agg(CASE WHEN kpds = 1 THEN '*' ELSE '-' END, '' ORDER BY part, nth) AS kpds FROM starred GROUP BY ALL
+    ) SELECT l.contig, l.strand, l.start, l."end", concat('            5', chr(39), '- ', substr(s.seq, m.start + 1, m.e - m.start), left(substr(s.seq, m.e + 1, m.flank_end - m.e), 10), ' -3', chr(39), chr(10), '       rG4seq-K ', l.k, chr(10), '    rG4seq-KPDS ', l.kpds) AS picture
+    FROM lines l JOIN chosen c ON l.contig = c.contig AND l.strand = c.strand AND l.start = c.start AND l."end" = c."end" JOIN tx_motifs m ON c.motif_id = m.motif_id JOIN spliced s ON s.transcript_id = m.id"""
 )
+def diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P15, of sites with a motif."""
+    marks = sites.marks(_islands(spark, sf_dir), _hits(spark, sf_dir))
+    rows = _chosen(spark, sf_dir).join(marks, SITE, "left").withColumn("flank", F.split("flank_sequence", r"\|")[2])
+    lines = sites.picture_lines(["K", "KPDS"], [1, 2], False)
+    return rows.select(*SITE, sites.picture(F.col("pieces"), F.col("right"), F.col("sequence"), F.col("flank"), F.col("strand"), lines).alias("picture"))
+
+
+@query(f"WITH {_NEAR} SELECT h.contig, h.strand, h.cond, h.rep, h.pos FROM hits h WHERE EXISTS (SELECT 1 FROM zones z WHERE z.contig = h.contig AND z.strand = h.strand AND h.pos >= z.z0 AND h.pos < z.z1)")
 def status_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops in a motif's 3' zone."""
     z = motif.zones(_motifs(spark, sf_dir)).select("contig", "strand", F.col("z_start").alias("start"), F.col("z_end").alias("end"))
@@ -530,7 +619,14 @@ def status_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.11, D16, K9: all of it together."""
-    hits = materialize(_hits(spark, sf_dir), "hits")
+    """2.11, D16: the whole job on the derived tables, from signal to the combined report: whitelist, motifs, cutoffs,
+    rescue, support, choice of motifs, picture and annotation."""
+    tiles, known = tiled(spark, sf_dir), _known(spark, sf_dir)
+    sequences = _spliced(spark, sf_dir)
+    allowed = materialize(pipeline.whitelist(known.exons, sequences, tiles), "whitelist")
+    motifs = pipeline.serial(pipeline.motifs_of(known, sequences).withColumn("nth", F.lit(0)))
+    rows = materialize(pipeline.marked(_signal(spark, sf_dir, True).where("not decoy"), allowed, tiles), "marked")
+    hits = materialize(pipeline.calls(rows, motifs, tiles, 0.2), "hits")
     found = materialize(sites.site_islands(hits).where(sites.is_supported(F.col("ids"))), "sites")
-    return report.report(found, hits, _motifs(spark, sf_dir), lens.genome(spark, sf_dir), lens.transcripts(spark, sf_dir), _regions(spark, sf_dir))
+    done = report.described(found, hits, motifs, tiles, [("lens", known.transcripts)])
+    return report.report(done, ["lens"], ["K", "KPDS"], [1, 2])

@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out to all cores if they come in fewer parts: a table of one file is one task's."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contig, strand, cond (Li, K, KPDS), rep, read_id, weight, start, end, ord. Reads of K and KPDS start more often
     at some places."""
@@ -28,7 +34,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.when(snapped, F.col("s0") - F.col("s0") % 40).otherwise(F.col("s0"))
     plus = F.col("strand") == "+"
     start = F.when(plus, s).otherwise(s + 70 - F.col("n")).cast("int")
-    return rows.select("contig", "strand", "cond", "rep", "read_id", "weight", start.alias("start"), (start + F.col("n")).cast("int").alias("end"), F.lit(1).alias("ord"))
+    return _spread(rows).select("contig", "strand", "cond", "rep", "read_id", "weight", start.alias("start"), (start + F.col("n")).cast("int").alias("end"), F.lit(1).alias("ord"))
 
 
 BLOCKS = """
@@ -50,7 +56,7 @@ PILEUP = (
     BLOCKS
     + """, bases AS (
     SELECT contig, strand, cond, rep, CAST(unnest(range(st, en)) AS INT) AS pos, CASE WHEN strand = '-' THEN en - 1 ELSE st END AS rs FROM blocks
-), pileup AS (
+), pileup AS MATERIALIZED (
     SELECT contig, strand, cond, rep, pos, count(*) AS cov, CAST(sum(CASE WHEN rs = pos THEN 1 ELSE 0 END) AS BIGINT) AS rss
     FROM bases GROUP BY ALL
 )"""
@@ -58,7 +64,7 @@ PILEUP = (
 
 PAIRS = (
     PILEUP
-    + """, pairs AS (
+    + """, pairs AS MATERIALIZED (
     SELECT t.contig, t.strand, t.rep, t.cond, t.pos, t.cov AS cov_t, t.rss AS rss_t, c.cov AS cov_c, c.rss AS rss_c
     FROM pileup t JOIN pileup c ON t.contig = c.contig AND t.strand = c.strand AND t.rep = c.rep AND t.pos = c.pos
     WHERE t.cond <> 'Li' AND c.cond = 'Li' AND t.cov >= 6 AND c.cov >= 6 AND (t.rss >= 1 OR c.rss >= 1)
@@ -69,7 +75,7 @@ PAIRS = (
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contig, seq: a contig for each document, its letters as bases."""
     letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
-    return _table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("contig"), F.translate(letters, LETTERS, BASES).alias("seq"))
+    return _spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("contig"), F.translate(letters, LETTERS, BASES).alias("seq"))
 
 
 GENOME = f"""

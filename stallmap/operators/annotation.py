@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallmap.constants import WINDOW
-from stallmap.functions.intervals import overlap_join
+from stallmap.functions import genome
+from stallmap.functions.intervals import overlap_join, pieces
+from stallmap.functions.sequence import reverse_complement
 
-#: Feature types taken for transcripts besides "transcript".
+#: Feature types taken for transcripts.
 TRANSCRIPT_TYPES = (
-    "mRNA", "lnc_RNA", "snoRNA", "primary_transcript", "ncRNA", "snRNA", "rRNA", "tRNA", "antisense_RNA", "miRNA",
-    "guide_RNA", "scRNA", "RNase_P_RNA", "RNase_MRP_RNA", "telomerase_RNA", "vault_RNA", "Y_RNA", "SRP_RNA", "C_gene_segment", "V_gene_segment",
+    "antisense_RNA", "guide_RNA", "lnc_RNA", "mRNA", "primary_transcript", "RNase_MRP_RNA", "RNase_P_RNA", "rRNA", "scRNA", "snoRNA",
+    "snRNA", "telomerase_RNA", "transcript", "tRNA", "vault_RNA", "Y_RNA", "C_gene_segment", "D_gene_segment", "J_gene_segment", "V_gene_segment",
 )
 REFSEQ_ORDER = ("NM", "NR", "XM", "XR")
 GENE_BIN = 16_384
@@ -28,7 +30,7 @@ def features(gff: DataFrame) -> DataFrame:
     """Rows of a GFF3 or GTF scan with the ids that they name: kind (gene, transcript, exon, cds), contig, start, end,
     strand, feature_id, parent_id, gene_name, number. Rows with PAR_Y in the id, and of other types, go."""
     kind = (
-        F.when(F.col("type").isin("gene", "pseudogene"), "gene").when(F.col("type").isin("transcript", *TRANSCRIPT_TYPES), "transcript")
+        F.when(F.col("type").isin("gene", "pseudogene"), "gene").when(F.col("type").isin(*TRANSCRIPT_TYPES), "transcript")
         .when(F.col("type") == "exon", "exon").when(F.col("type") == "CDS", "cds")
     )
     a = F.col("attrs")
@@ -77,29 +79,35 @@ def junctions(exons: DataFrame) -> DataFrame:
     return rows.select("transcript_id", "contig", "strand", "number", start.alias("intron_start"), end.alias("intron_end"))
 
 
-def junction_windows(exons: DataFrame, genome: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Windows of `width` bases over the spliced sequence that cross a junction: transcript_id, stop (its end in the
-    transcript), window. Exons shorter than a window are crossed as a chain."""
-    spliced = transcript_sequences(exons, genome)
-    ends = exons.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("number", (F.col("end") - F.col("start")).alias("n")))).alias("e"))
-    ends = ends.withColumn("cuts", F.transform(F.slice("e", 1, F.greatest(F.size("e") - 1, F.lit(0))), lambda x, i: F.aggregate(F.slice("e", 1, i + 1), F.lit(0), lambda a, y: a + y["n"])))
-    spots = spliced.join(ends.select("transcript_id", F.explode("cuts").alias("cut")), "transcript_id")
-    spots = spots.select("transcript_id", "seq", F.explode(F.sequence(F.col("cut") + 1, F.col("cut") + width - 1)).alias("at")).where((F.col("at") >= width) & (F.col("at") <= F.length("seq")))
-    return spots.select("transcript_id", F.col("at").alias("stop"), F.substring("seq", F.col("at") - width + 1, F.lit(width)).alias("window")).distinct()
-
-
-def exon_sequences(exons: DataFrame, genome: DataFrame) -> DataFrame:
-    """exons with seq, on their strand."""
-    from stallmap.functions.sequence import reverse_complement
-
-    cut = F.substring("g", F.col("start") + 1, F.col("end") - F.col("start"))
-    joined = exons.join(genome.select("contig", F.col("seq").alias("g")), "contig")
-    return joined.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement(cut)).otherwise(cut)).drop("g")
-
-
-def transcript_sequences(exons: DataFrame, genome: DataFrame) -> DataFrame:
-    """numbered exons -> transcript_id, seq: the exons' sequences 5' to 3'."""
-    parts = exon_sequences(exons, genome).groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("number", "seq"))).alias("p"))
+def spliced(exons: DataFrame, *more: str) -> DataFrame:
+    """numbered exons -> one row a transcript: transcript_id, contig, strand, further columns, and its exons in order as an
+    array of (start, end)."""
+    order = F.array_sort(F.collect_list(F.struct("number", "start", "end")))
+    rows = exons.groupBy("transcript_id", "contig", "strand", *more).agg(order.alias("exons"))
+    return rows.withColumn("exons", F.transform("exons", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+
+
+def junction_windows(exons: DataFrame, sequences: DataFrame, width: int = WINDOW) -> DataFrame:
+    """Windows of `width` bases over the spliced sequence (transcript_id, seq) for each of the `width` positions that follow
+    a junction: transcript_id, contig, strand, stop (the position in the transcript), pos (on the genome), window (the bases
+    before it). Exons shorter than a window are crossed as a chain. A position needs `width` bases before it."""
+    tx = spliced(exons).where(F.size("exons") > 1)
+    length = lambda x: x["end"] - x["start"]
+    cuts = F.transform(F.slice("exons", 1, F.size("exons") - 1), lambda x, i: F.aggregate(F.slice("exons", 1, i + 1), F.lit(0), lambda a, y: a + length(y)))
+    stops = F.array_distinct(F.flatten(F.transform(cuts, lambda c: F.sequence(c, c + width - 1))))
+    rows = tx.withColumn("stops", stops).join(sequences.select("transcript_id", "seq"), "transcript_id")
+    rows = rows.select("*", F.explode("stops").alias("stop")).where((F.col("stop") >= width) & (F.col("stop") < F.length("seq")))
+    at = pieces(F.col("exons"), F.col("stop"), F.col("stop") + 1, F.col("strand"))[0]["start"]
+    return rows.select("transcript_id", "contig", "strand", "stop", at.alias("pos"), F.substring("seq", F.col("stop") - width + 1, F.lit(width)).alias("window"))
+
+
+def transcript_sequences(exons: DataFrame, tiled: DataFrame) -> DataFrame:
+    """numbered exons -> transcript_id, seq: the exons' sequences 5' to 3'. tiled: the genome's tiles; exons meet them by
+    contig and tile."""
+    cut = genome.long_slices(exons.select("transcript_id", "contig", "strand", "number", "start", "end"), tiled)
+    minus = F.col("strand") == "-"
+    part = F.struct("number", F.when(minus, -F.col("tile")).otherwise(F.col("tile")).alias("nth"), F.when(minus, reverse_complement(F.col("cut"))).otherwise(F.col("cut")).alias("seq"))
+    parts = cut.groupBy("transcript_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
     return parts.select("transcript_id", F.array_join(F.transform("p", lambda x: x["seq"]), "").alias("seq"))
 
 
@@ -121,23 +129,47 @@ def overlapping_transcripts(sites: DataFrame, transcripts: DataFrame, width: int
     return overlap_join(sites, t, width)
 
 
-def regions_hit(found: DataFrame, regions: DataFrame) -> DataFrame:
-    """overlapping_transcripts() rows with region: that of each feature of the transcript that the site overlaps;
-    null if it overlaps none."""
-    f = regions.select("transcript_id", "region", F.col("start").alias("f_start"), F.col("end").alias("f_end"))
-    meet = (found.transcript_id == f.transcript_id) & (found.start < f.f_end) & (f.f_start < found.end)
-    return found.join(f, meet, "left").drop(f.transcript_id, f.f_start, f.f_end)
+def regions_of(parts: Column, regions: Column) -> Column:
+    """Of regions (an array of structs region, start, end) the names of those that any of the pieces overlaps, sorted."""
+    meets = lambda r: F.exists(parts, lambda p: (p["start"] < r["end"]) & (r["start"] < p["end"]))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(regions, meets), lambda r: r["region"])))
+
 
+def with_regions(transcripts: DataFrame, regions: DataFrame) -> DataFrame:
+    """transcripts with regions: theirs, as an array of structs region, start, end."""
+    own = regions.groupBy("transcript_id").agg(F.collect_list(F.struct("region", "start", "end")).alias("regions"))
+    none = F.array().cast("array<struct<region:string,start:int,end:int>>")
+    return transcripts.join(own, "transcript_id", "left").withColumn("regions", F.coalesce(F.col("regions").cast("array<struct<region:string,start:int,end:int>>"), none))
 
-def rollup(hit: DataFrame, site: Sequence[str]) -> DataFrame:
-    """One row a site: gene_names, transcript_ids, regions, each sorted and joined; non_coding without a region."""
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    out = hit.groupBy(*site).agg(joined("gene_name").alias("gene_names"), joined("transcript_id").alias("transcript_ids"), joined("region").alias("regions"))
-    return out.withColumn("regions", F.when(F.col("regions") == "", "non_coding").otherwise(F.col("regions")))
+
+def annotated(places: DataFrame, transcripts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """places (keys, contig, strand, pieces) with each transcript of with_regions() whose span, introns included, overlaps any
+    of the pieces: keys, gene_id, gene_name, transcript_id, regions (the names of those that the pieces meet)."""
+    kept = [k for k in keys if k not in ("contig", "strand")]
+    clash = {k: f"_k_{k}" for k in kept if k in ("start", "end")}
+    own = places.select(*[F.col(k).alias(clash.get(k, k)) for k in kept], "contig", "strand", F.col("pieces").alias("_all"), F.inline("pieces"))
+    found = overlapping_transcripts(own, transcripts).drop("start", "end", "r_start", "r_end").withColumnsRenamed({v: k for k, v in clash.items()})
+    found = found.dropDuplicates([*keys, "transcript_id"])
+    return found.select(*keys, "gene_id", "gene_name", "transcript_id", regions_of(F.col("_all"), F.col("regions")).alias("regions"))
+
+
+def rollup(hit: DataFrame, keys: Sequence[str], refseq: bool = False) -> DataFrame:
+    """hit (keys, gene_id, gene_name, transcript_id, regions: the names of those met) -> one row for each keys: gene_names,
+    transcript_ids, coding_regions, each sorted and joined by ;. A gene none of whose regions is met counts as non_coding.
+    refseq: only ids of the best prefix that is there count; N/A if there are none."""
+    by_gene = hit.withColumn("gene", shown_name(F.col("gene_name"), F.col("gene_id"))).groupBy(*keys, "gene")
+    genes = by_gene.agg(F.collect_set("transcript_id").alias("ids"), F.array_distinct(F.flatten(F.collect_list("regions"))).alias("own"))
+    genes = genes.withColumn("own", F.when(F.size("own") == 0, F.array(F.lit("non_coding"))).otherwise(F.col("own")))
+    ids = F.array_distinct(F.flatten(F.collect_list("ids")))
+    out = genes.groupBy(*keys).agg(F.collect_set("gene").alias("genes"), ids.alias("ids"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
+    out = out.withColumn("ids", by_priority(F.col("ids"))) if refseq else out
+    joined = lambda c: F.coalesce(F.nullif(F.array_join(F.array_sort(c), ";"), F.lit("")), F.lit("N/A"))
+    return out.select(*keys, joined("genes").alias("gene_names"), joined("ids").alias("transcript_ids"), joined("own").alias("coding_regions"))
 
 
 def shown_name(name: Column, gene_id: Column) -> Column:
-    return F.when(F.contains(gene_id, F.lit("gene")), name).otherwise(F.concat(name, F.lit("|"), gene_id))
+    """A gene's name; with its id unless the name says "gene"."""
+    return F.when(F.contains(name, F.lit("gene")), name).otherwise(F.concat(name, F.lit("|"), gene_id))
 
 
 def _starts_with(prefix: str) -> Callable[[Column], Column]:
@@ -156,3 +188,10 @@ def by_priority(ids: Column) -> Column:
 def inferred_type(types: Column) -> Column:
     """protein_coding before mRNA before all types there are."""
     return F.when(F.array_contains(types, "protein_coding"), "protein_coding").when(F.array_contains(types, "mRNA"), "mRNA").otherwise(F.array_join(F.array_sort(types), ","))
+
+
+def contig_order(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+    """rows (contig, nth: their order in the annotation) -> contig, place: those that the genome has too, by first mention
+    from 1. As many rows as there are contigs pass over one task."""
+    first = rows.groupBy("contig").agg(F.min("nth").alias("first")).join(contigs.select("contig").distinct(), "contig", "left_semi")
+    return first.select("contig", F.row_number().over(Window.orderBy("first", "contig")).alias("place"))

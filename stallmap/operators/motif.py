@@ -2,104 +2,215 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallmap.constants import BULGE_1, BULGE_7, FLANK, G2, G3, MOTIF_MAX, MOTIF_MIN, MOTIFS, THREE_PRIME_ZONE
-from stallmap.functions.intervals import overlap_join, union
-from stallmap.functions.sequence import count_of
-from stallmap.storage import materialize
-
-TILE = 512
-
-
-def windows(seqs: DataFrame, id_col: str = "contig") -> DataFrame:
-    """id, e, window: for every 3' end e from MOTIF_MIN to one before the sequence's end, up to MOTIF_MAX bases before
-    it; only where a G stands last and eight in all. Sequences are cut into overlapping tiles first, so that the
-    work is in proportion to their length."""
-    tile = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("seq") - 2, F.lit(0)) / TILE).cast("int"))).alias("t")
-    tiles = seqs.where(F.length("seq") > MOTIF_MIN).select(F.col(id_col).alias("id"), F.length("seq").alias("n"), "seq", tile)
-    first = F.greatest(F.col("t") * TILE + 1 - MOTIF_MAX, F.lit(0))
-    tiles = tiles.select("id", "n", "t", first.alias("first"), F.substring("seq", first + 1, (F.col("t") + 1) * TILE - first).alias("part"))
-    low, high = F.greatest(F.col("t") * TILE + 1, F.lit(MOTIF_MIN)), F.least((F.col("t") + 1) * TILE, F.col("n") - 1)
-    ends = tiles.where(low <= high).select("id", "first", "part", F.explode(F.sequence(low, high)).alias("e"))
-    start = F.greatest(F.col("e") - MOTIF_MAX, F.lit(0))
-    out = ends.select("id", "e", F.explode(F.array(F.substring("part", start - F.col("first") + 1, F.col("e") - start))).alias("window"))
-    return out.where(F.endswith("window", F.lit("G"))).where(count_of(F.col("window"), "G") >= 8)
+from stallmap.constants import FLANK, MOTIF_CLASSES, MOTIF_KINDS, MOTIF_MIN, THREE_PRIME_ZONE
+from stallmap.functions.intervals import overlap_join, pieces, pieces_as_text, union
+from stallmap.storage import discard, materialize
+
+_G, _LOOP_LETTERS, _BETWEEN = ord("G"), b"ATCGN", b"#"
+#: Bases that are looked at together, and how many of them are looked at again as those before the next ones.
+PART, BEFORE = 1 << 16, 64
+
+
+def _after_loop(x: np.ndarray, low: int, high: int, letters: np.ndarray | None) -> np.ndarray:
+    """x: for each place the length of the longest part of a motif that ends there, or 0 -> the same with a loop after it.
+    letters: how many loop letters stand right before each place; None if all are."""
+    out, some, longer = np.zeros(len(x), np.uint8), (x > 0).view(np.uint8), x.copy()
+    for k in range(1, high + 1):
+        longer += some
+        if k >= low:
+            np.maximum(out[k:], longer[:-k] if letters is None else longer[:-k] * (letters[k:] >= k), out=out[k:])
+    return out
+
+
+def _after_tract(x: np.ndarray | None, g: np.ndarray, other: np.ndarray, n: int, bulge: int) -> np.ndarray:
+    """The same with a tract after it, or for the first tract if x is None. g, other: by base, 1 if it is a G, or one that may
+    bulge."""
+    out = np.zeros(len(g) + 1, np.uint8)
+    some = None if x is None else (x > 0).view(np.uint8)
+
+    def ends(parts: list[tuple[np.ndarray, int]]) -> None:
+        length = sum(m for _, m in parts)
+        size, at = len(g) - length + 1, 0
+        if size <= 0:
+            return
+        fits = np.ones(size, np.uint8)
+        for mask, m in parts:
+            for _ in range(m):
+                fits &= mask[at : at + size]
+                at += 1
+        fits *= np.uint8(length) if x is None else x[:size] + some[:size] * np.uint8(length)
+        np.maximum(out[length:], fits, out=out[length:])
+
+    if not bulge:
+        ends([(g, n)])
+    for b in range(1, bulge + 1):
+        for one in (1, n - 1):  # Gs before the bulge
+            ends([(g, one), (other, b), (g, n - one)])
+    return out
+
+
+def matches(seq: bytes) -> np.ndarray:
+    """A row for each kind of motif: for each place of seq (0 to its length) the length of the longest match of that kind that
+    ends there, or 0. Tract by tract and loop by loop, over all places at once; no motif is as long as 255."""
+    s = np.frombuffer(seq, np.uint8)
+    g = (s == _G).view(np.uint8)
+    valid = np.isin(s, np.frombuffer(_LOOP_LETTERS, np.uint8))
+    letters = None
+    if not valid.all():
+        place = np.arange(len(s) + 1)
+        letters = place - np.maximum.accumulate(np.where(np.insert(~valid, 0, True), place, 0))
+    other = valid.view(np.uint8) & ~g
+    known: dict[tuple, np.ndarray] = {}
+    out = []
+    for _, tracts, loops in MOTIF_KINDS:
+        done: tuple = ()
+        for tract, loop in zip(tracts, (None, *loops)):
+            for step in (loop, tract):
+                if step is None:
+                    continue
+                x, done = known.get(done), (*done, step)
+                if done not in known:
+                    known[done] = _after_loop(x, *loop, letters) if step is loop else _after_tract(x, g, other, *tract)
+        out.append(known[done])
+    return np.stack(out)
+
+
+def found_in(seqs: list[str]) -> list[np.ndarray]:
+    """Of each sequence, rows e, start, priority, far of its candidates, by e. The last base of a sequence ends none. Sequences
+    stand side by side, with a letter between them that no motif holds, and are looked at some PART bases at a time."""
+    data = _BETWEEN.join(x.encode("ascii", "replace") for x in seqs)
+    lengths = np.array([len(x) for x in seqs], np.int64)
+    begins = np.cumsum(np.concatenate([[0], lengths[:-1] + 1])) if len(seqs) else lengths
+    ends, rows = [], [np.zeros((0, 4), np.int64)]
+    for at in range(0, len(data), PART):
+        first = max(0, at - BEFORE)
+        got = matches(data[first : at + PART])[:, at - first + 1 :]
+        hit = np.flatnonzero(got.any(axis=0))
+        got = got[:, hit]
+        e, far, shortest, priority = at + 1 + hit, got.max(axis=0), np.zeros(len(hit), np.int64), np.zeros(len(hit), np.int64)
+        for c in sorted(MOTIF_CLASSES):
+            own = got[[k for k, kind in enumerate(MOTIF_KINDS) if kind[0] == c]]
+            least = np.where(own > 0, own, 255).min(axis=0)
+            new = (priority == 0) & (least < 255)
+            shortest[new], priority[new] = least[new], c
+        rows.append(np.stack([e, e - shortest, priority, e - far], axis=1))
+    rows = np.concatenate(rows)
+    of = np.searchsorted(begins, rows[:, 0], side="left") - 1 if len(rows) else np.zeros(0, np.int64)
+    rows[:, [0, 1, 3]] -= begins[of, None] if len(rows) else 0
+    # Neither the ends that are too near a sequence's start, nor its last base.
+    fine = (rows[:, 0] >= MOTIF_MIN) & (rows[:, 0] < lengths[of])
+    rows, of = rows[fine], of[fine]
+    cuts = np.searchsorted(of, np.arange(len(seqs) + 1))
+    return [rows[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def _by_sequence(seqs: DataFrame, id_col: str, schema: str, rows_of: Callable[[str, np.ndarray], list]) -> DataFrame:
+    """rows_of(seq, its candidates) -> columns of a table, for each sequence (id, seq), with its id in front."""
+    kinds = {"int": pa.int32(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+
+    def tables(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
+        held = []
+        for id_, seq, found in zip(ids, texts, found_in(texts)):
+            if len(found):
+                cols = rows_of(seq, found)
+                made = [pa.array([id_] * len(cols[0]), pa.string()), *[pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)]]
+                held.append(pa.RecordBatch.from_arrays(made, names=["id", *(f for f, _ in fields)]))
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids, texts = [], []
+            for id_, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids.append(id_)
+                texts.append(seq or "")
+                if sum(map(len, texts[-64:])) > 16 * PART or len(texts) >= 1024:
+                    yield from tables(ids, texts)
+                    ids, texts = [], []
+            yield from tables(ids, texts)
+
+    return seqs.select(F.col(id_col).cast("string").alias("id"), "seq").mapInArrow(batches, f"id string, {schema}")
+
+
+_FOUND = "e int, start int, priority int, far int"
 
 
 def candidates(seqs: DataFrame, id_col: str = "contig") -> DataFrame:
     """id, e, start, priority, far: at each 3' end the best class, the shortest match of that class, and the farthest
-    start of any."""
-    w = F.col("window")
-    threes, twos = count_of(F.replace(w, F.lit("GGG"), F.lit("#")), "#"), count_of(F.replace(w, F.lit("GG"), F.lit("#")), "#")
-
-    def tried(k: int, pattern: str) -> Column:
-        """Length of the match. What a pattern needs at its end, and how many tracts, is looked at first: a search
-        that fails is what costs."""
-        if pattern.endswith(G3 + "$"):
-            may = F.endswith(w, F.lit(G3)) & (threes >= (3 if BULGE_7 in pattern else 4))
-        elif BULGE_1 in pattern:
-            may = (F.endswith(w, F.lit(G2)) | (F.substring(w, -4, 2) == G2)) & (twos >= 4)
-        elif BULGE_7 in pattern:
-            may = threes >= 3
-        else:
-            may = F.endswith(w, F.lit(G2)) & (twos >= 4)
-        return F.when(may, F.length(F.regexp_extract(w, pattern, 0))).otherwise(0).alias(f"m{k}")
-
-    # Through a generator, so that the filter below doesn't search a second time.
-    found = windows(seqs, id_col).select("id", "e", F.inline(F.array(F.struct(*[tried(k, p) for k, (p, _) in enumerate(MOTIFS)]))))
-    some = lambda k: F.when(F.col(f"m{k}") > 0, F.col(f"m{k}"))
-    classes = sorted({c for _, c in MOTIFS})
-    shortest = {c: F.array_min(F.array(*[some(k) for k, (_, own) in enumerate(MOTIFS) if own == c])) for c in classes}
-    priority = F.coalesce(*[F.when(shortest[c].isNotNull(), F.lit(c)) for c in classes])
-    out = found.withColumn("priority", priority).where("priority is not null")
-    far = F.greatest(*[F.col(f"m{k}") for k in range(len(MOTIFS))])
-    return out.select("id", "e", (F.col("e") - F.coalesce(*[shortest[c] for c in classes])).alias("start"), "priority", (F.col("e") - far).alias("far"))
-
-
-def _owners(seq: str, ends: np.ndarray, priorities: np.ndarray) -> set[int]:
-    """The 3' ends that keep a cell, when motifs claim cells from the rightmost end on."""
-    owner, n = np.full(len(seq), -1), len(seq)
-    rank = dict(zip(ends.tolist(), priorities.tolist()))
-    for e in sorted(rank, reverse=True):
-        pos = min(e + 1, n - 1)
-        while pos >= 0:
-            if owner[pos] < 0:
-                owner[pos] = e
-            elif rank[owner[pos]] > rank[e]:
-                j = pos
-                owner[j] = e
-                while j + 1 < n and seq[j + 1] == "G":
-                    j += 1
-                    owner[j] = e
-            else:
-                break
-            pos -= 1
-            if pos < e - 1 and (pos < 0 or seq[pos] != "G"):
-                break
-    return set(owner[owner >= 0].tolist())
-
-
-def retained(found: DataFrame, seqs: DataFrame, id_col: str = "contig") -> DataFrame:
-    """candidates() rows that own a cell of their sequence, with flank_start and flank_end. From right to left, each
-    motif takes free cells from one past its 3' end leftwards through its G tract, and cells of worse classes; the
-    claims depend on those before them, so one sequence is one group."""
-
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left.sort_values("e")
-        if len(left) and len(right):
-            seq = right["seq"].iloc[0]
-            out = out[out["e"].isin(_owners(seq, left["e"].to_numpy(), left["priority"].to_numpy()))]
-            out = out.assign(flank_start=np.maximum(out["start"] - FLANK, 0), flank_end=np.minimum(out["e"] + FLANK, len(seq) - 1))
-        else:
-            out = out.iloc[:0].assign(flank_start=0, flank_end=0)
-        return out[["id", "e", "start", "priority", "far", "flank_start", "flank_end"]]
-
-    s = seqs.select(F.col(id_col).alias("id"), "seq")
-    return found.groupBy("id").cogroup(s.groupBy("id")).applyInPandas(walk, "id string, e int, start int, priority int, far int, flank_start int, flank_end int")
+    start of any. Where kinds match is worked out for all places of a sequence at once, in Arrow batches."""
+    return _by_sequence(seqs, id_col, _FOUND, lambda _, found: list(found.T))
+
+
+def owners(seq: str, found: np.ndarray) -> np.ndarray:
+    """Of the candidates of a sequence (rows of found_in()) those that keep a place.
+
+    By the rule each motif claims its G tract up to one base past its 3' end, from the right end of the sequence on; a better
+    class takes a tract over, and with it what lies to the right as far as Gs go; an equal or worse one gets
+    nothing. So it is enough to know for each tract three places: its Gs, the base after them, and the base after
+    that, which is the next tract's first if that stands one base off. A motif can claim the latter two only if it ends at
+    the tract's end, or one base before."""
+    data = np.frombuffer(seq.encode("ascii", "replace"), np.uint8)
+    n = len(data)
+    if not len(found):
+        return found
+    g = np.concatenate([[False], data == _G, [False]])
+    starts, stops = np.flatnonzero(~g[:-1] & g[1:]), np.flatnonzero(g[:-1] & ~g[1:])
+    tract = np.searchsorted(starts, found[:, 0] - 1, side="right") - 1
+    kept: set[int] = set()
+    right_start, right = -1, None  # of the tract to the right: where it starts, and who has its Gs
+    right_held: set[int] = set()
+    for t in np.unique(tract)[::-1].tolist():
+        own = found[tract == t] if len(found) < 64 else found[np.searchsorted(tract, t) : np.searchsorted(tract, t, side="right")]
+        stop = int(stops[t])
+        near = right_start == stop + 1
+        if not near:
+            kept |= right_held | ({right} if right else set())
+            right, right_held = None, set()
+        inside = after = beyond = None  # each (priority, e)
+        for e, _, priority, _ in own[::-1].tolist():
+            me = (priority, e)
+            if inside is not None:
+                if inside[0] <= priority:
+                    continue
+            elif e == stop and near and right is not None and right[0] <= priority:
+                continue
+            takes_over_after = e == stop - 1 and after is not None
+            if e >= stop - 1 and stop < n:
+                after = me
+            if e == stop and stop + 1 < n:
+                if near or data[stop + 1] == _G:
+                    right = me
+                else:
+                    beyond = me
+            if takes_over_after and stop + 1 < n and data[stop + 1] == _G:
+                right = me
+            inside = me
+        kept |= right_held | ({right} if right else set())
+        right_start, right, right_held = int(starts[t]), inside, {x for x in (after, beyond) if x}
+    kept |= right_held | ({right} if right else set())
+    return found[np.isin(found[:, 0], [e for _, e in kept])]
+
+
+def _retained(seq: str, found: np.ndarray) -> list:
+    """Columns of retained() for one sequence."""
+    rows = owners(seq, found)
+    left, right = np.maximum(rows[:, 1] - FLANK, 0), np.minimum(rows[:, 0] + FLANK, len(seq) - 1)
+    text = lambda a, b: [seq[i:j] for i, j in zip(a.tolist(), b.tolist())]
+    return [*rows.T, left, right, text(left, rows[:, 1]), text(rows[:, 1], rows[:, 0]), text(rows[:, 0], right)]
+
+
+def retained(seqs: DataFrame, id_col: str = "contig") -> DataFrame:
+    """The candidates() that own a place of their sequence, with flank_start, flank_end, and the bases of flank, motif, and
+    flank (seq5, motif, seq3). Ownership goes from right to left along a sequence, tract by tract, in the same pass."""
+    return _by_sequence(seqs, id_col, f"{_FOUND}, flank_start int, flank_end int, seq5 string, motif string, seq3 string", _retained)
 
 
 def clusters(found: DataFrame) -> DataFrame:
@@ -109,24 +220,30 @@ def clusters(found: DataFrame) -> DataFrame:
 
 
 def placed(motifs: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """motifs on transcripts (id, start, e, ...) with pieces: where they lie on the genome, 5' to 3', as an array of
-    (start, end). transcripts: id, contig, strand, exons (array of start, end in order of the transcript)."""
+    """motifs on transcripts (id, start, e, flank_start, flank_end, ...) with pieces, left and right: where they and their
+    flanks lie on the genome, 5' to 3', as arrays of (start, end). transcripts: spliced(), with transcript_id as id."""
     joined = motifs.join(transcripts, "id")
-    offset = F.transform("exons", lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.aggregate(F.slice("exons", 1, i), F.lit(0), lambda a, y: a + (y["end"] - y["start"])).alias("o")))
-    joined = joined.withColumn("x", offset)
+    at = lambda a, b: pieces(F.col("exons"), F.col(a), F.col(b), F.col("strand"))
+    return joined.withColumns({"pieces": at("start", "e"), "left": at("flank_start", "start"), "right": at("e", "flank_end")}).drop("exons")
 
-    def piece(x):
-        n = x["end"] - x["start"]
-        a, b = F.greatest(F.col("start") - x["o"], F.lit(0)), F.least(F.col("e") - x["o"], n)
-        plus = F.col("strand") != "-"
-        return F.when(a < b, F.struct(F.when(plus, x["start"] + a).otherwise(x["end"] - b).alias("start"), F.when(plus, x["start"] + b).otherwise(x["end"] - a).alias("end")))
 
-    return joined.withColumn("pieces", F.filter(F.transform("x", piece), lambda p: p.isNotNull())).drop("x", "exons")
+def deduplicated(motifs: DataFrame) -> DataFrame:
+    """placed() motifs of a gene with equal pieces and flanks: one row, with the transcripts that have it. Columns id,
+    regions (names), and gene_name are taken if they are there. The bases are the same wherever the places are."""
+    keys = ["gene_id", "contig", "strand", "pieces", "left", "right", "priority"]
+    same = [c for c in ("gene_name", "seq5", "motif", "seq3") if c in motifs.columns]
+    who = F.struct("id", "regions") if "regions" in motifs.columns else F.struct("id")
+    return motifs.groupBy(*keys).agg(*[F.min(c).alias(c) for c in same], F.array_sort(F.collect_set(who)).alias("transcripts"))
 
 
-def deduplicated(motifs: DataFrame) -> DataFrame:
-    """Motifs of a gene with equal pieces: one row, with the transcripts that have it."""
-    return motifs.groupBy("gene_id", "contig", "strand", "pieces", "priority").agg(F.array_sort(F.collect_set("id")).alias("transcripts"))
+def rows(motifs: DataFrame) -> DataFrame:
+    """deduplicated() motifs as the rows of the motif table: contig, start, end, name, strand, class, sequence, pieces,
+    flank_sequence, transcripts, left, right, priority; start and end bound the pieces."""
+    name = F.create_map(*[F.lit(x) for kv in MOTIF_CLASSES.items() for x in kv])
+    return motifs.select(
+        "contig", F.array_min("pieces.start").alias("start"), F.array_max("pieces.end").alias("end"), F.concat_ws("|", "gene_name", "gene_id").alias("name"), "strand",
+        name[F.col("priority")].alias("class"), F.col("motif").alias("sequence"), "pieces", F.concat_ws("|", "seq5", "motif", "seq3").alias("flank_sequence"), "transcripts", "left", "right", "priority",
+    )
 
 
 def overlapping_clusters(places: DataFrame, width: int = 256) -> DataFrame:
@@ -136,51 +253,66 @@ def overlapping_clusters(places: DataFrame, width: int = 256) -> DataFrame:
     return both.select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct()
 
 
-def component_roots(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, root: the least node reachable. Labels spread along edges and jump to the label of their label; each
-    round is written out, so that the plan stays short."""
+def component_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root: the least node reachable. Labels spread along edges and jump to the label of their label until none
+    changes; each round is written out, so that the plan stays short, and the round before is deleted."""
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-edges")
-    labels = materialize(nodes.select("node", F.col("node").alias("root")), "cc-labels")
-    for _ in range(rounds):
+    labels = materialize(nodes.select("node", F.col("node").alias("root"), F.col("node").alias("old")), "cc-labels")
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
         spread = labels.join(near, labels.node == near.a, "left").select("node", "root", F.least("root", "m").alias("next"))
         jump = spread.select(F.col("node").alias("j"), F.col("next").alias("far"))
-        new = spread.join(jump, F.col("next") == F.col("j"), "left").select("node", F.col("root").alias("old"), F.least("next", "far").alias("root"))
+        new = spread.join(jump, F.col("next") == F.col("j"), "left").select("node", F.least("next", "far").alias("root"), F.col("root").alias("old"))
         new = materialize(new, "cc-labels")
-        if new.where("root != old").isEmpty():
-            break
-        labels = new.select("node", "root")
-    return labels
+        settled = new.where("root != old").isEmpty()
+        discard(labels)
+        labels = new
+        if settled:
+            discard(both)
+            return labels.select("node", "root")
 
 
 def zones(motifs: DataFrame) -> DataFrame:
-    """motifs (contig, strand, start, end on the genome, ...) -> with z_start, z_end: the last bases of the motif and
-    the first after it, on its strand."""
-    plus = F.col("strand") != "-"
-    start = F.when(plus, F.col("end") - THREE_PRIME_ZONE).otherwise(F.col("start") - THREE_PRIME_ZONE)
-    return motifs.withColumn("z_start", F.greatest(start, F.lit(0))).withColumn("z_end", F.when(plus, F.col("end") + THREE_PRIME_ZONE).otherwise(F.col("start") + THREE_PRIME_ZONE))
+    """motifs (contig, strand, pieces, right, ...) with z_start, z_end: a row for the 3' end of each, and one for the start of
+    the flank after it, if it has one. On -, the end is taken from the first piece, as the method does."""
+    plus, n = F.col("strand") == "+", THREE_PRIME_ZONE
+    last, after = F.when(plus, F.element_at("pieces", -1)).otherwise(F.element_at("pieces", 1)), F.try_element_at("right", F.lit(1))
+    end = F.struct(F.when(plus, last["end"] - n).otherwise(last["start"]).alias("z_start"), F.when(plus, last["end"]).otherwise(last["start"] + n).alias("z_end"))
+    flank = F.struct(F.when(plus, after["start"]).otherwise(after["end"] - n).alias("z_start"), F.when(plus, after["start"] + n).otherwise(after["end"]).alias("z_end"))
+    return motifs.select("*", F.inline(F.filter(F.array(end, flank), lambda z: z["z_end"].isNotNull())))
 
 
 def near_sites(sites: DataFrame, motifs: DataFrame, width: int = 64) -> DataFrame:
-    """sites with each motif whose 3' zone they overlap, as m_start, m_end, priority."""
-    z = zones(motifs).select("contig", "strand", F.col("start").alias("m_start"), F.col("end").alias("m_end"), "priority", F.col("z_start").alias("r_start"), F.col("z_end").alias("r_end"))
-    return overlap_join(sites, z, width).drop("r_start", "r_end")
+    """sites (contig, strand, start, end) with each motif (with a column motif_id) a 3' zone of which they overlap, once."""
+    z = zones(motifs.select("motif_id", "contig", "strand", "pieces", "right")).select("contig", "strand", "motif_id", F.col("z_start").alias("r_start"), F.col("z_end").alias("r_end"))
+    pairs = overlap_join(sites, z, width).select("contig", "strand", "start", "end", "motif_id").distinct()
+    return pairs.join(motifs.drop("contig", "strand", "start", "end"), "motif_id")
 
 
-def best_class(near: DataFrame, site: list[str]) -> DataFrame:
-    """Of each site the motifs of its best class."""
-    return near.withColumn("best", F.min("priority").over(Window.partitionBy(*site))).where("priority = best").drop("best")
+def contains_site() -> Column:
+    """Every position of [start, end) lies in the motif's pieces or in those of the flank after it."""
+    inside = lambda p: F.exists(F.concat("pieces", "right"), lambda i: (i["start"] <= p) & (p < i["end"]))
+    return F.forall(F.sequence("start", F.col("end") - 1), inside)
 
 
-def best_locus(near: DataFrame, site: list[str]) -> DataFrame:
-    """Of each site the 3'-most motif: on + the farthest end, then the smaller start; on - the smallest start, then
-    the larger end."""
-    plus = F.col("strand") != "-"
-    order = [F.when(plus, -F.col("m_end")).otherwise(F.col("m_start")), F.when(plus, F.col("m_start")).otherwise(-F.col("m_end"))]
-    return near.withColumn("_n", F.row_number().over(Window.partitionBy(*site).orderBy(*order))).where("_n = 1").drop("_n")
+def best_class(near: DataFrame, site: list[str]) -> DataFrame:
+    """Of each site the motifs of its best class, of those that contain it."""
+    return near.where(contains_site()).withColumn("best", F.min("priority").over(Window.partitionBy(*site))).where("priority = best").drop("best")
 
 
-def representative(near: DataFrame, site: list[str]) -> DataFrame:
-    """Of each site the transcript whose flank overlaps it; the longer flank wins, then the first serial."""
-    order = Window.partitionBy(*site).orderBy(F.col("matches").desc(), F.col("flank_length").desc(), F.col("serial"))
+def best_locus(near: DataFrame, site: list[str]) -> DataFrame:
+    """Of each site the motifs of the 3'-most place, by the last of their pieces: on + the farthest end, then the smaller
+    start; on - the smallest start, then the larger end; then the first in text order."""
+    plus, last = F.col("strand") == "+", F.element_at("pieces", -1)
+    order = [F.when(plus, -last["end"]).otherwise(last["start"]), F.when(plus, last["start"]).otherwise(-last["end"])]
+    text = pieces_as_text(F.col("contig"), F.col("pieces"), F.col("strand"))
+    return near.withColumn("_n", F.rank().over(Window.partitionBy(*site).orderBy(*order, text))).where("_n = 1").drop("_n")
+
+
+def representative(near: DataFrame, site: list[str], serial: str = "serial") -> DataFrame:
+    """Of each site one motif: those whose flank after it overlaps the site come first, then the longer flank, then the
+    first serial."""
+    meets = F.exists("right", lambda i: (i["start"] < F.col("end")) & (F.col("start") < i["end"]))
+    length = F.aggregate("right", F.lit(0), lambda a, i: a + (i["end"] - i["start"]))
+    order = Window.partitionBy(*site).orderBy(meets.desc(), length.desc(), F.col(serial))
     return near.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

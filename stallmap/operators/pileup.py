@@ -25,32 +25,67 @@ def pileup(blocks: DataFrame, keys: Sequence[str] = ("contig", "strand"), weight
     return bases.groupBy(*keys, "pos").agg(F.sum("w").alias("cov"), F.sum(starts).cast("long").alias("rss")).where("cov > 0")
 
 
+def _event(pos: Column, d: Column | int, r: Column | int, asked: bool) -> Column:
+    """What happens at a position: coverage changes by d, r reads start there, or it is asked for."""
+    as_long = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
+    return F.struct(pos.cast("int").alias("pos"), as_long(d).alias("d"), as_long(r).alias("r"), F.lit(int(asked)).alias("probe"))
+
+
+def _changes(blocks: DataFrame, weight: str | None, width: int) -> DataFrame:
+    """blocks -> their columns, bin, and events, an array. Blocks are cut at the edges of bins, so that a bin
+    needs nothing of the ones before it: +w where a part starts, and -w where it ends unless the bin ends there, too."""
+    w = F.col(weight) if weight else F.lit(1)
+    parts = blocks.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width).cast("int"), F.floor((F.col("end") - 1) / width).cast("int"))))
+    start, end = F.greatest("start", F.col("bin") * width), F.least("end", (F.col("bin") + 1) * width)
+    opens = _event(start, w, 0, False)
+    closes = F.when(end < (F.col("bin") + 1) * width, _event(end, -w, 0, False))
+    begins = F.when((F.col("ord") == 1) & (read_start() >= start) & (read_start() < end), F.array(_event(read_start(), 0, w, False)))
+    events = F.concat(F.array_compact(F.array(opens, closes)), F.coalesce(begins, F.array().cast("array<struct<pos:int,d:bigint,r:bigint,probe:int>>")))
+    return parts.withColumn("events", events)
+
+
+def _running(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """events (keys, bin, pos, d, r, probe) -> keys, pos, cov, rss at the positions that are asked for. Events of one position are
+    added up before the shuffle, so a deep position is one row a task; then a bin's positions stand in order."""
+    at = events.groupBy(*keys, "bin", "pos").agg(F.sum("d").alias("d"), F.sum("r").alias("r"), F.max("probe").alias("probe"))
+    within = Window.partitionBy(*keys, "bin").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return at.withColumn("cov", F.sum("d").over(within)).where("probe = 1").select(*keys, "pos", "cov", F.col("r").alias("rss"))
+
+
 def coverage_at(blocks: DataFrame, probes: DataFrame, keys: Sequence[str] = ("contig", "strand"), weight: str | None = None, width: int = BIN) -> DataFrame:
-    """probes (keys, pos) with cov, without exploding bases: each block is +w at its start and -w at its end, and
-    coverage is the running sum. The sum runs within bins of the contig; what earlier bins leave behind comes
-    from a running sum over bin totals, so a long contig is spread over many tasks."""
-    w = (F.col(weight) if weight else F.lit(1)).cast("long")
-    events = blocks.select(*keys, F.col("start").alias("pos"), w.alias("d")).unionByName(blocks.select(*keys, F.col("end").alias("pos"), (-w).alias("d")))
-    events = events.groupBy(*keys, "pos").agg(F.sum("d").alias("d")).withColumn("probe", F.lit(False))
-    both = events.unionByName(probes.select(*keys, "pos").distinct().select(*keys, "pos", F.lit(0).cast("long").alias("d"), F.lit(True).alias("probe")))
-    both = both.withColumn("bin", F.floor(F.col("pos") / width))
-    over = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    totals = both.groupBy(*keys, "bin").agg(F.sum("d").alias("total"))
-    carried = totals.select(*keys, "bin", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("carry"))
-    within = Window.partitionBy(*keys, "bin").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
-    summed = both.withColumn("here", F.sum("d").over(within)).join(carried, [*keys, "bin"])
-    return summed.where("probe").select(*keys, "pos", (F.col("carry") + F.col("here")).alias("cov"))
-
-
-def poisson_weight(key: Column, seed: int = 2018, most: int = 8) -> Column:
-    """A Poisson(1) number of copies of a read, from a hash of its name: the same on every run, for all its blocks."""
+    """probes (keys, pos) with cov and rss, without exploding bases: coverage is a running sum over the ends of blocks, within
+    bins of the contig, so a long contig is spread over many tasks."""
+    asked = probes.select(*keys, F.floor(F.col("pos") / width).cast("int").alias("bin"), F.inline(F.array(_event(F.col("pos"), 0, 0, True))))
+    own = _changes(blocks, weight, width).select(*keys, "bin", F.inline("events"))
+    return _running(own.unionByName(asked), keys)
+
+
+def pileup_at_starts(blocks: DataFrame, keys: Sequence[str], cond: str, conditions: Sequence[str], weight: str | None = None, width: int = BIN) -> DataFrame:
+    """keys, cond, pos, cov, rss of every condition, at each position where a read of any of them starts. conditions: all
+    that there may be, a few. One scan of the blocks, and no join."""
+    where = [F.struct(F.lit(c).alias(cond), *[_event(read_start(), 0, 0, True)[x].alias(x) for x in ("pos", "d", "r", "probe")]) for c in conditions]
+    parts = _changes(blocks, weight, width)
+    own = F.transform("events", lambda e: F.struct(F.col(cond).alias(cond), *[e[x].alias(x) for x in ("pos", "d", "r", "probe")]))
+    starts_here = F.exists("events", lambda e: e["r"] > 0)
+    both = F.when(starts_here, F.concat(own, F.array(*where))).otherwise(own)
+    return _running(parts.select(*keys, "bin", F.inline(both)), [*keys, cond])
+
+
+def poisson_weight(key: Column, seed: int = 2018) -> Column:
+    """A Poisson(1) number of copies of a read, from 32 bits of a hash of its name: the same on every run, for all its
+    blocks. Numbers that come less often than once in 2 ** 32 reads (13 and more) can't come from so many bits."""
     u = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    out, below, term = F.lit(most), 0.0, 0.36787944117144233
-    steps = []
-    for k in range(most):
-        below += term
-        steps.append((k, below))
-        term /= k + 1
-    for k, edge in reversed(steps):
+    edges = poisson_edges()
+    out = F.lit(len(edges))
+    for k, edge in reversed(list(enumerate(edges))):
         out = F.when(u < edge, k).otherwise(out)
     return out.cast("int")
+
+
+def poisson_edges() -> list[float]:
+    """The shares of Poisson(1) that are at most 0, 1, 2, ... as far as 32 bits tell them from all."""
+    edges, term = [], 0.36787944117144233
+    while not edges or 1 - edges[-1] > 2**-32:
+        edges.append((edges[-1] if edges else 0.0) + term)
+        term /= len(edges)
+    return edges

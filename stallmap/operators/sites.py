@@ -1,12 +1,12 @@
-"""Sites: called stops of replicates joined into islands, their support, coverage, verdict and picture."""
+"""Sites: called stops of replicates joined into islands, their support, coverage and picture."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallmap.constants import K_REPLICATES, KPDS_REPLICATES
-from stallmap.functions.intervals import islands, overlap_join
+from stallmap.constants import K_REPLICATES, KPDS_REPLICATES, PICTURE_LABEL, SHOWN_FLANK
+from stallmap.functions.intervals import islands, overlap_join, positions
 
 SITE = ["contig", "strand", "start", "end"]
 
@@ -39,12 +39,33 @@ def site_coverage(sites: DataFrame, hits: DataFrame, width: int = 64) -> DataFra
     return both.groupBy(*SITE).agg(F.bround(F.sum(F.col("cov_t") * n) / F.sum(n), 0).cast("long").alias("coverage"))
 
 
-def contained(start: Column, end: Column, intervals: Column) -> Column:
-    """Every position of [start, end) lies in one of the intervals (array of structs start, end)."""
-    return F.forall(F.sequence(start, end - 1), lambda p: F.exists(intervals, lambda i: (i["start"] <= p) & (p < i["end"])))
+def marks(sites: DataFrame, hits: DataFrame, width: int = 64) -> DataFrame:
+    """SITE with marks: for each sample that has called stops in it, a struct cond, rep, at (their positions). A site's positions
+    are few; hits of one sample don't overlap."""
+    h = hits.select("contig", "strand", "cond", "rep", "cov_t", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    both = overlap_join(sites.select(*SITE), h, width).where("cov_t > 0")
+    at = F.sequence(F.greatest("start", "r_start"), F.least("end", "r_end") - 1)
+    own = both.groupBy(*SITE, "cond", "rep").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(at)))).alias("at"))
+    return own.groupBy(*SITE).agg(F.array_sort(F.collect_list(F.struct("cond", "rep", "at"))).alias("marks"))
+
+
+def picture(parts: Column, after: Column, sequence: Column, flank: Column, strand: Column, lines: list[tuple[str, Column]]) -> Column:
+    """A site's picture: a line of the bases of its motif and the first of those after it, then for each of lines (label,
+    positions) * at the bases there and - elsewhere. Labels stand right-aligned in 16 columns."""
+    shown = F.concat(positions(parts, strand), F.slice(positions(after, strand), 1, SHOWN_FLANK))
+    draw = lambda at: F.array_join(F.transform(shown, lambda p: F.when(F.array_contains(at, p), "*").otherwise("-")), "")
+    rows = [F.concat(F.lit(f"{label:>16}"), draw(at)) for label, at in lines]
+    first = F.concat(F.lit(f"{'5' + chr(39) + '- ':>16}"), sequence, F.left(flank, F.lit(SHOWN_FLANK)), F.lit(" -3'"))
+    return F.concat_ws("\n", first, *rows)
+
+
+def picture_lines(conditions: list[str], replicates: list[int], breakdown: bool) -> list[tuple[str, Column]]:
+    """Label and positions of each line: one a condition, or one a condition and replicate."""
+    of = lambda test: F.flatten(F.transform(F.filter("marks", test), lambda m: m["at"]))
 
+    def line(cond: str, rep: int | None) -> tuple[str, Column]:
+        if rep is None:
+            return f"{PICTURE_LABEL}{cond} ", of(lambda m: m["cond"] == cond)
+        return f"{PICTURE_LABEL}{cond}-rep{rep}", of(lambda m: (m["cond"] == cond) & (m["rep"] == rep))
 
-def diagram(label: Column, start: Column, end: Column, marks: Column) -> Column:
-    """A line of the site's picture: the label in 16 columns, then * where marks (positions) has the base, else -."""
-    line = F.transform(F.sequence(start, end - 1), lambda p: F.when(F.array_contains(marks, p), "*").otherwise("-"))
-    return F.concat(F.lpad(label, 16, " "), F.lit(" "), F.array_join(line, ""))
+    return [line(c, r) for c in conditions for r in (replicates if breakdown else [None])]

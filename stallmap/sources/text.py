@@ -30,9 +30,15 @@ def gff(spark: SparkSession, path: str, contigs: list[str] | None = None) -> Dat
     return rows.select("contig", "type", (F.col("s") - 1).alias("start"), F.col("e").alias("end"), "strand", first.alias("attrs"))
 
 
+def bed_of(lines: DataFrame, line: str = "value") -> DataFrame:
+    """contig, start, end, strand, of lines of six fields."""
+    f = F.split(line, "\t")
+    return lines.select(f[0].alias("contig"), f[1].cast("int").alias("start"), f[2].cast("int").alias("end"), F.get(f, F.lit(5)).alias("strand"))
+
+
 def bed(spark: SparkSession, path: str) -> DataFrame:
     """contig, start, end, strand."""
-    return _tsv(spark, path, "contig string, start int, end int, name string, score string, strand string").select("contig", "start", "end", "strand")
+    return bed_of(spark.read.text(path).where("value != '' and not startswith(value, '#')"))
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:

@@ -1,12 +1,23 @@
-"""Where intermediate tables go."""
+"""Where intermediate tables go, and how they go away again."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: set[str] = set()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as Hadoop's file systems, and so Spark, understand it, with its scheme: what a library of another kind must be
+    given to find the same files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub(r"^file:/+", "file:///", full)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. It is the one in spark.checkpoint.dir; only a local
@@ -25,4 +36,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     executor."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _MADE.add(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _MADE.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing reads any more, such as those of a loop's last round."""
+    for t in tables:
+        if path := t.__dict__.get("stored_at"):
+            _delete(t.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that materialize() has written from this driver. For the end of a job, when its results are stored: data
+    frames that were made before can't be read afterwards."""
+    for path in list(_MADE):
+        _delete(spark, path)
