@@ -68,8 +68,8 @@ def passes(first_cutoff: Column | float, second_cutoff: Column | float) -> Colum
 
 def reversed_roles(signal: DataFrame) -> DataFrame:
     """Rows where the control stops more, with treatment and control exchanged: the search for stops of the control."""
-    swap = {"rss_t": "rss_c", "rss_c": "rss_t", "cov_t": "cov_c", "cov_c": "cov_t"}
-    return signal.where("decoy").withColumnsRenamed(swap).withColumn("decoy", F.lit(False))
+    swap = {"rss_t": "rss_c", "rss_c": "rss_t", "cov_t": "cov_c", "cov_c": "cov_t", "decoy": None}
+    return signal.where("decoy").select(*[F.lit(False).alias(c) if c == "decoy" else F.col(swap.get(c, c)).alias(c) for c in signal.columns])
 
 
 def next_base(signal: DataFrame, tiled: DataFrame) -> DataFrame:

@@ -186,4 +186,4 @@ def cutoff_of(texts: DataFrame, *more: str) -> DataFrame:
 
 
 def read_cutoff(spark: SparkSession, path: str) -> DataFrame:
-    return cutoff_of(spark.read.option("wholetext", True).text(path))
+    return cutoff_of(spark.read.text(path, wholetext=True))
