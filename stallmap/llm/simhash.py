@@ -4,15 +4,15 @@ Every distinct fingerprint emits all its variants within half the radius (for ra
 fingerprints one or two bits away, 2081). Two fingerprints at most radius bits apart have a variant in
 common, so a shuffle on variants brings each such pair together; what meets is made distinct and verified.
 
-2081 variants of 8 bytes for each fingerprint would be a large shuffle as rows, so they travel packed. A
-variant is named by a linear digest over GF(2) of just as many bits as the number of variants asks for:
-digest(fp ^ mask) = digest(fp) ^ digest(mask), and all masks have different digests. The receiver knows the
-fingerprint and so gets the mask, and the exact variant, back from the digest: digests that collide by
-chance are told apart there, none is lost. Sorted digests of a block of fingerprints are sent as differences,
-byte by byte, compressed: about 3 bytes a variant.
-
-Blocks have BLOCK fingerprints, and a receiving group has about GROUP variants, whatever the input. All
-fingerprints that have one variant are within the radius of each other, so each is linked to the least of
+The shuffle is on groups of variants, and what goes to a group is written short. The bits of a fingerprint are dealt into
+classes; a variant's group is the parity of each class. Which bits a variant flips then says how its group
+differs from the fingerprint's own: not at all, in one class, or in two. So a fingerprint goes once to each such group,
+with the difference, and the receiver flips the bits of those classes itself: it has just those variants that belong
+there, whole. With 2 ** t groups that is 1 + t + t (t - 1) / 2 entries for the 2081 variants, whatever the input:
+under half a byte a variant at 2 ** 14 groups. The number of groups follows the input, so that one holds about GROUP
+variants; entries of a block of fingerprints for one group travel as one row.
+
+All fingerprints that have one variant are within the radius of each other, so each is linked to the least of
 them only, and a group gives a spanning forest of its links: no pairs within a group of copies.
 """
 
@@ -25,7 +25,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +32,9 @@ from stallmap.llm.common import fresh, materialize
 from stallmap.llm.graph import components
 
 SEED = 42
-BLOCK_BITS = 11
-BLOCK = 1 << BLOCK_BITS
-GROUP = 8_000_000
-LEAST_BITS = 32
+BLOCK = 1 << 14
+GROUP = 4_000_000
+MOST_CLASSES = 24
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -103,69 +101,47 @@ def signatures(docs: DataFrame, text_col: str, out: str, shingle: int, words: in
     return docs.mapInArrow(batches, docs.withColumn(out, F.lit(b"")).schema)
 
 
-class Digest:
-    """The digest of variants: linear, then spread evenly over 2 ** bits by a one-to-one function."""
-
-    def __init__(self, variants: int, half: int, width: int, group_bits: int):
-        wanted = max(LEAST_BITS, math.ceil(math.log2(max(2, variants))) + 3, group_bits + 1)
-        # Short fingerprints are their own digests.
-        self.bits, self.plain = (width, True) if width <= wanted else (min(50, wanted), False)
-        masks = [sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(width), k)]
-        self.masks = np.array(masks, np.uint64)
-        seed = 1
-        while True:
-            self.tables = self._tables(seed)
-            sums = self.linear(self.masks)
-            if len(np.unique(sums)) == len(sums):
-                break
-            seed += 1
-        order = np.argsort(sums)
-        self.sums, self.by_sum, self.sorted_sums = sums, self.masks[order], sums[order]
-        self.low = np.uint64((1 << self.bits) - 1)
-        self.odd, self.shift = np.uint64(0x9E3779B97F4A7C15), np.uint64((self.bits + 1) // 2)
-        self.back = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-    def _tables(self, seed: int) -> np.ndarray:
-        """For each of the eight bytes of a fingerprint, the digest of each of its values."""
-        columns = [xxhash.xxh64_intdigest(f"{seed} {i}".encode()) >> (64 - self.bits) for i in range(64)]
-        tables = np.zeros((8, 256), np.uint64)
-        for i, c in enumerate(columns):
-            on = (np.arange(256) >> (i % 8)) & 1 == 1
-            tables[i // 8, on] ^= np.uint64(c)
-        return tables
-
-    def linear(self, fps: np.ndarray) -> np.ndarray:
-        if self.plain:
-            return fps.copy()
-        out = np.zeros(len(fps), np.uint64)
-        for k, column in enumerate(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8).T):
-            out ^= self.tables[k][column]
+class Classes:
+    """The classes of a fingerprint's bits, and the variants by the classes that they flip."""
+
+    def __init__(self, width: int, half: int, n: int):
+        self.t = n
+        # What a group differs in, and the masks of the variants that differ so.
+        by: dict[int, list[int]] = {}
+        for k in range(half + 1):
+            for bits in combinations(range(width), k):
+                delta = 0
+                for i in bits:
+                    delta ^= 1 << (i % n) if n else 0
+                by.setdefault(delta, []).append(sum(1 << i for i in bits))
+        self.deltas = np.array(sorted(by), np.uint32)
+        self.masks = [np.array(by[d], np.uint64) for d in sorted(by)]
+        self.bits = [np.uint64(sum(1 << i for i in range(c, width, n))) for c in range(n)]
+
+    @classmethod
+    def sized(cls, variants: int, width: int, half: int) -> Classes:
+        return cls(width, half, min(MOST_CLASSES, max(0, math.ceil(math.log2(max(1, variants / GROUP))))))
+
+    def parity(self, fps: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(fps), np.uint32)
+        for c, mask in enumerate(self.bits):
+            out |= (np.bitwise_count(fps & mask) & np.uint8(1)).astype(np.uint32) << np.uint32(c)
         return out
 
-    def spread(self, x: np.ndarray) -> np.ndarray:
-        x *= self.odd
-        x &= self.low
-        x ^= x >> self.shift
-        return x
+    def entries(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each group that a fingerprint goes to: the group, the fingerprint's place, the number of the difference; by group."""
+        groups = (self.parity(fps)[:, None] ^ self.deltas[None, :]).reshape(-1)
+        order = np.argsort(groups, kind="stable")
+        return groups[order], order // len(self.deltas), (order % len(self.deltas)).astype(np.uint16)
 
-    def gather(self, x: np.ndarray) -> np.ndarray:
-        x = x ^ (x >> self.shift)
-        return (x * self.back) & self.low
-
-    def variants(self, digests: np.ndarray, fps: np.ndarray) -> np.ndarray:
-        """The exact variants that have these digests, each one of its fingerprint."""
-        masks = self.gather(digests) ^ self.linear(fps)
-        return fps ^ self.by_sum[np.searchsorted(self.sorted_sums, masks)]
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """All lowest bytes, then all second ones, and so on: like bytes stand together and compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
-
-
-def _from_planes(data: bytes, n: int, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, n).T).view(kind).reshape(n)
+    def variants(self, fps: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The variants of fingerprints that came with these differences, and whose each is."""
+        found, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for d in np.unique(which).tolist():
+            at = np.flatnonzero(which == d)
+            found.append((fps[at][:, None] ^ self.masks[d][None, :]).reshape(-1))
+            whose.append(np.repeat(at, len(self.masks[d])))
+        return np.concatenate(found), np.concatenate(whose)
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,101 +162,70 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[inner]], nodes[inner]
 
 
-def ball_links(sigs: DataFrame, words: int, radius: int, width: int, limit: int) -> DataFrame:
-    """sigs: node (distinct longs), sig (binary of so many 64-bit words), materialised -> a, b: links of nodes.
+def _packed(sigs: DataFrame, classes: Classes, words: int, fields) -> DataFrame:
+    """sigs (node, sig) -> grp, entries: for each group of each word, what a block of nodes sends to it. fields(nodes, bits):
+    the fingerprints (nodes x words), and the columns that go with each entry."""
 
-    The low `width` bits of each word are a fingerprint; where those of two nodes are at most radius bits apart,
-    in any word, the nodes meet, and they are linked if all their bits together differ in at most limit. One word
-    of 64 bits is the node itself, and the links suffice to connect whatever all of them connect. With several words
-    they are candidates, none left out for what others connect: each node with the least one of its variant and with
-    its neighbour there.
-    """
-    half, n = (radius + 1) // 2, sigs.count()
-    each = sum(math.comb(width, k) for k in range(half + 1))
-    group_bits = max(0, math.ceil(math.log2(max(1, n * each / GROUP))))
-    digest = Digest(n * each, half, width, group_bits)
-    shift, low_bits = np.uint64(digest.bits - group_bits), np.uint64((1 << width) - 1)
-    id_bits, low_id = np.uint64(BLOCK_BITS), np.uint64(BLOCK - 1)
-    self_named = words == 1 and width == 64
-
-    def emit(nodes: np.ndarray) -> pa.RecordBatch:
-        """nodes: a row of node and sig words for each."""
-        rows, pack = [], zstandard.ZstdCompressor(level=1)
-        for word in range(words):
-            fp = nodes[:, 1 + word] & low_bits
-            keys = digest.spread((digest.linear(fp)[:, None] ^ digest.sums[None, :]).reshape(-1))
-            keys <<= id_bits
-            keys |= np.repeat(np.arange(len(fp), dtype=np.uint64), each)
-            keys.sort()
-            edges = np.searchsorted(keys, np.arange(1 << group_bits, dtype=np.uint64) << (shift + id_bits)).tolist() + [len(keys)]
-            for g, (s, e) in enumerate(zip(edges, edges[1:])):
-                if s == e:
-                    continue
-                ids, own = (keys[s:e] & low_id).astype(np.uint16), nodes
-                if e - s < len(fp):
-                    used, ids = np.unique(ids, return_inverse=True)
-                    ids, own = ids.astype(np.uint16), nodes[used]
-                steps = np.diff(keys[s:e] >> id_bits, prepend=np.uint64(g) << shift)
-                wide = int(steps.max()) >= 1 << 32
-                data = _planes(steps if wide else steps.astype(np.uint32))
-                own = np.ascontiguousarray(own[:, 1:] if self_named else own)
-                rows.append((word << group_bits | g, e - s, wide, own.tobytes(), pack.compress(data + _planes(ids))))
-        kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["grp", "n", "wide", "nodes", "packed"])
-
-    def balls(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait = np.zeros((0, 1 + words), np.uint64)
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            names = b.column(0).to_numpy().view(np.uint64)[:, None]
-            bits = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
-            wait = np.concatenate([wait, np.concatenate([names, bits], axis=1)])
-            while len(wait) >= BLOCK:
-                yield emit(wait[:BLOCK])
-                wait = wait[BLOCK:]
-        if len(wait):
-            yield emit(wait)
+            names = b.column(0).to_numpy().view(np.uint64)
+            bits = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(len(names), -1)
+            for start in range(0, len(names), BLOCK):
+                part = slice(start, start + BLOCK)
+                fps, columns = fields(names[part], bits[part])
+                rows = []
+                for word in range(words):
+                    groups, at, which = classes.entries(fps[:, word])
+                    cuts = np.flatnonzero(np.diff(groups, prepend=np.uint32(0xFFFFFFFF))) if len(groups) else []
+                    for s, e in zip(cuts, [*cuts[1:], len(groups)]):
+                        own = at[s:e]
+                        data = b"".join([which[s:e].tobytes(), *[np.ascontiguousarray((c[:, word] if c.ndim > 1 else c)[own]).tobytes() for c in columns]])
+                        rows.append((word << classes.t | int(groups[s]), data))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["grp", "entries"])
+
+    tasks = max(1, math.ceil(sigs.count() / BLOCK))
+    return sigs.select("node", "sig").repartition(tasks).mapInArrow(batches, "grp long, entries binary")
+
+
+def _unpacked(entries: list[bytes], kinds: list) -> list[np.ndarray]:
+    size = sum(np.dtype(k).itemsize for k in kinds)
+    parts: list[list] = [[] for _ in kinds]
+    for data in entries:
+        n, at = len(data) // size, 0
+        for own, k in zip(parts, kinds):
+            own.append(np.frombuffer(data, k, n, at))
+            at += n * np.dtype(k).itemsize
+    return [np.concatenate(x) for x in parts]
+
+
+def _meetings(variants: np.ndarray, order_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the variants that come more than once, by variant and order_by, and for each the place in this list where
+    its variant begins."""
+    order = np.argsort(variants)
+    ranked = variants[order]
+    same = ranked[1:] == ranked[:-1]
+    at = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) > 1 else order[:0]
+    at = at[np.lexsort((order_by[at], variants[at]))]
+    first = np.insert(variants[at][1:] != variants[at][:-1], 0, True)[: len(at)]
+    return at, np.maximum.accumulate(np.where(first, np.arange(len(at)), 0)) if len(at) else at
+
+
+def ball_links(sigs: DataFrame, radius: int, width: int = 64) -> DataFrame:
+    """sigs: node (distinct longs: the fingerprints themselves), sig (the same, binary), materialised -> a, b: links of nodes
+    at most radius bits apart that connect whatever all such links connect."""
+    half = (radius + 1) // 2
+    classes = Classes.sized(sigs.count() * sum(math.comb(width, k) for k in range(half + 1)), width, half)
+    packed = _packed(sigs, classes, 1, lambda names, bits: (bits, [names]))
 
     def meet(rows: pa.Table) -> pa.Table:
-        across, keys, found, before = (1 if self_named else 1 + words), [], [], 0
-        group, unpack = rows["grp"][0].as_py(), zstandard.ZstdDecompressor()
-        word, base = group >> group_bits, np.uint64(group & ((1 << group_bits) - 1)) << shift
-        own_bits = np.uint64(max(1, math.ceil(math.log2(sum(len(x) for x in rows["nodes"].to_pylist()) // (8 * across) + 1))))
-        for m, wide, own, packed in zip(*(rows[c].to_pylist() for c in ("n", "wide", "nodes", "packed"))):
-            size, data = (8 if wide else 4) * m, unpack.decompress(packed)
-            steps = _from_planes(data[:size], m, np.uint64 if wide else np.uint32).astype(np.uint64)
-            ids = _from_planes(data[size:], m, np.uint16).astype(np.uint64) + np.uint64(before)
-            # The first step is from the group's least digest, so the sum is what is above it.
-            keys.append((np.cumsum(steps) << own_bits) | ids)
-            found.append(np.frombuffer(own, np.uint64).reshape(-1, across))
-            before += len(found[-1])
-        nodes, keys_ = np.concatenate(found), np.concatenate(keys)
-        del keys, found
-        keys_.sort()
-        high = keys_ >> own_bits
-        same = high[1:] == high[:-1]
-        member = np.append(same, False) | np.insert(same, 0, False)
-        high, at = high[member] + base, (keys_[member] & np.uint64((1 << int(own_bits)) - 1)).astype(np.int64)
-        del keys_, same, member
-        name, sig = nodes[at, 0], nodes[at] if self_named else nodes[at, 1:]
-        variant = digest.variants(high, sig[:, word] & low_bits)
-        order = np.lexsort((name, variant))
-        name, sig, variant = name[order], sig[order], variant[order]
-        first = np.insert(variant[1:] != variant[:-1], 0, True)[: len(variant)]
-        here = np.arange(len(name))
-        a, b = [], []
-        # Each with the least node of its variant; with several words also with its neighbour, as the
-        # least one may have met it by chance.
-        for other in (np.maximum.accumulate(np.where(first, here, 0)), *([np.where(first, here, here - 1)] if words > 1 else ())):
-            near = (other != here) & (np.bitwise_count(sig ^ sig[other]).sum(axis=1, dtype=np.int64) <= limit)
-            a.append(name[other[near]])
-            b.append(name[near])
-        a, b = np.concatenate(a), np.concatenate(b)
-        # Candidates may fail, so none stands in for another.
-        a, b = spanning(a, b) if words == 1 else np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        which, fps = _unpacked(rows["entries"].to_pylist(), [np.uint16, np.uint64])
+        variants, whose = classes.variants(fps, which)
+        at, begin = _meetings(variants, fps[whose].view(np.int64))
+        name = fps[whose[at]]
+        near = np.bitwise_count(name ^ name[begin]) <= radius
+        a, b = spanning(name[begin][near], name[near])
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    tasks = max(1, math.ceil(n / BLOCK))
-    packed = sigs.select("node", "sig").repartition(tasks).mapInArrow(balls, "grp int, n int, wide boolean, nodes binary, packed binary")
     return packed.groupBy("grp").applyInArrow(meet, "a long, b long")
 
 
@@ -296,12 +241,12 @@ def link(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_
 
     Null and empty texts, and texts of white space, have fingerprint zero and are linked like any other.
     Repeated rows are copies of each other. Null ids keep their rows; a class of null ids only has a null id.
-    An empty table gives no rows. Other columns of docs are not looked at.
+    Very long texts are read whole. An empty table gives no rows. Other columns of docs are not looked at.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     slim = materialize(signatures(slim, "text", "sig", shingle).select("doc_id", "sig"), "simhash-docs")
     own = materialize(slim.groupBy("sig").agg(F.min("doc_id").alias("least")).withColumn("node", _node("sig")), "simhash-nodes")
-    roots = components(ball_links(own, 1, radius, 64, radius))
+    roots = components(ball_links(own, radius))
     own = own.withColumnRenamed("node", "n")
     rooted = materialize(own.join(roots, own.n == roots.node, "left").select("sig", "least", F.coalesce("root", "n").alias("root")), "simhash-rooted")
     names = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
@@ -310,10 +255,107 @@ def link(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_
 
 
 #: Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more. Such texts
-#: differ in up to 15 of 100 bits, 10 in 64: more than a ball can reach. So four fingerprints of 32 bits are hashed into
-#: balls of the same radius; texts that meet in any are candidates if at most LIMIT of all 256 bits differ (39 on average
-#: at a similarity of 0.8, with a deviation of 6), and the shingles themselves decide.
-WORDS, WIDTH, RADIUS, LIMIT, SIMILAR = 4, 32, 4, 64, 0.8
+#: differ in up to 15 of 100 bits, 10 in 64: more than a ball can reach. So their signature has 64 * SIG_WORDS bits, of which
+#: WORDS choices of WIDTH are fingerprints; texts whose balls meet in any of them are candidates unless more than LIMIT of
+#: the first 64 bits differ (10 on average at a similarity of 0.8, with a deviation of 3), and the shingles themselves
+#: decide. Of pairs at just 0.8 that finds 93 in 100, of pairs at 0.85 98, by simulation of independent bits.
+SIG_WORDS, WORDS, WIDTH, RADIUS, LIMIT, SIMILAR = 4, 32, 32, 2, 22, 0.8
+#: Members of a variant up to which all their pairs are looked at where they meet; those of larger ones are looked at once
+#: it is known which of them belong together, PIECE against PIECE.
+FEW, PIECE = 64, 4096
+
+
+def choices(words: int = WORDS, width: int = WIDTH, bits: int = 64 * SIG_WORDS) -> np.ndarray:
+    """The bits of each fingerprint: all bits in an order set by hashes, over and over."""
+    order = [i for k in range(-(-words * width // bits)) for i in sorted(range(bits), key=lambda i: xxhash.xxh64_intdigest(f"{k} {i}".encode()))]
+    return np.array(order[: words * width]).reshape(words, width)
+
+
+def chosen_bits(sig: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """sig (rows x 64-bit words) -> the fingerprints, rows x choices."""
+    bits = np.unpackbits(np.ascontiguousarray(sig).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    out = np.zeros((len(sig), len(which)), np.uint64)
+    for w, own in enumerate(which):
+        out[:, w] = np.ascontiguousarray(np.packbits(bits[:, own], axis=1, bitorder="little")).view("<u4")[:, 0]
+    return out
+
+
+def _pairs(name: np.ndarray, check: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members of variants (where each begins, and how many it has) -> pairs within LIMIT: all those of variants with FEW
+    members at most; of others each member with the least one and with the one before it."""
+    here, a, b = np.arange(len(name)), [], []
+
+    def put(x: np.ndarray, y: np.ndarray) -> None:
+        near = np.bitwise_count(check[x] ^ check[y]) <= LIMIT
+        a.append(name[x[near]])
+        b.append(name[y[near]])
+
+    small, large = np.flatnonzero(size <= FEW), np.flatnonzero(size > FEW)
+    for d in range(1, FEW):
+        small = small[here[small] - begin[small] >= d]
+        if not len(small):
+            break
+        put(small - d, small)
+    for other in (begin, here - 1):
+        own = large[here[large] > begin[large]]
+        put(other[own], own)
+    a, b = np.concatenate(a), np.concatenate(b)
+    # The same two may meet in many variants.
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+    return both[0], both[1]
+
+
+def meetings(sigs: DataFrame) -> DataFrame:
+    """sigs: node (distinct longs), sig (binary of SIG_WORDS 64-bit words), materialised -> a, b, check. Rows with a null check
+    are candidates. The others are the members b, with their first 64 bits, of variants a of more than FEW."""
+    half = (RADIUS + 1) // 2
+    classes = Classes.sized(sigs.count() * sum(math.comb(WIDTH, k) for k in range(half + 1)), WIDTH, half)
+    which_bits = choices()
+    fields = lambda names, bits: (fps := chosen_bits(bits, which_bits), [names, bits[:, 0], fps.astype(np.uint32)])
+    packed = _packed(sigs, classes, WORDS, fields)
+
+    def meet(rows: pa.Table) -> pa.Table:
+        which, name, check, fps = _unpacked(rows["entries"].to_pylist(), [np.uint16, np.int64, np.uint64, np.uint32])
+        variants, whose = classes.variants(fps.astype(np.uint64), which)
+        at, begin = _meetings(variants, name[whose])
+        size = np.bincount(begin, minlength=len(at))[begin] if len(at) else begin
+        own = whose[at]
+        a, b = _pairs(name[own], check[own], begin, size)
+        large = np.flatnonzero(size > FEW)
+        word = np.int64(rows["grp"][0].as_py() >> classes.t)
+        label = variants[at][large].view(np.int64) | (word << np.int64(WIDTH))
+        nothing = pa.nulls(len(a), pa.int64())
+        checks = pa.array(check[own][large].view(np.int64))
+        return pa.table({"a": np.concatenate([a, label]), "b": np.concatenate([b, name[own][large]]), "check": pa.chunked_array([nothing, checks])})
+
+    return packed.groupBy("grp").applyInArrow(meet, "a long, b long, check long")
+
+
+def across(crowds: DataFrame, roots: DataFrame) -> DataFrame:
+    """crowds (a: a variant of many, b: a member, check), roots (node, root: what belongs together already) -> a, b: the pairs
+    within LIMIT of members that don't belong together. Variants whose members all do, such as those of copies,
+    are passed over; those of the others are dealt into pieces, and each two pieces meet in a task of their own."""
+    named = crowds.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    named = materialize(named, "simhash-crowds")
+    mixed = named.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    dealt = named.join(mixed.select("a", pieces.alias("pieces")), "a").withColumn("own", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int"))
+    spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    spread = spread.select("a", "b", "check", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        name, check, root, own = (rows[c].to_numpy() for c in ("b", "check", "root", "own"))
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        left, right, a, b = np.flatnonzero(own == i), np.flatnonzero(own == j), [], []
+        for x in left.tolist():
+            near = right[(np.bitwise_count(check[right] ^ check[x]) <= LIMIT) & (root[right] != root[x])]
+            near = near[name[near] > name[x]] if i == j else near
+            a.append(np.minimum(name[near], name[x]))
+            b.append(np.maximum(name[near], name[x]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return spread.groupBy("a", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _named(docs: DataFrame, shingle: int) -> DataFrame:
@@ -322,7 +364,7 @@ def _named(docs: DataFrame, shingle: int) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = [x or b"" for x in b.column(1).cast(pa.large_binary()).to_pylist()]
-            sig = pa.array([signature(x, shingle, WORDS) for x in texts], pa.binary())
+            sig = pa.array([signature(x, shingle, SIG_WORDS) for x in texts], pa.binary())
             same = pa.array([xxhash.xxh3_128_digest(shingle_set(x, shingle).tobytes()) for x in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), sig, same], names=["id", "k1", "k2", "sig", "same"])
 
@@ -353,21 +395,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(batches, "a long, b long")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b: a < b) -> node, root: components of those that are similar enough. One pair of each node goes first;
-    of the others only those are looked at that don't lie within a component already."""
-    first = materialize(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets), "simhash-first")
+def similar(met: DataFrame, sets_of) -> DataFrame:
+    """met: meetings(), materialised -> node, root: components of the candidates that are similar enough. One pair of each node
+    goes first; of the others only those are looked at that don't lie within a component already, and so are the pairs
+    of variants of many. sets_of(pairs): node's sets of shingles (n, shingles)."""
+    pairs, crowds = met.where("check is null").select("a", "b").distinct(), met.where("check is not null")
+    first = materialize(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets_of(pairs)), "simhash-first")
     roots = components(first)
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    rest = _verified(apart.select("a", "b"), sets)
-    return components(first.unionByName(rest))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = apart.unionByName(across(crowds, roots)) if not crowds.isEmpty() else apart
+    rest = materialize(rest.distinct(), "simhash-rest")
+    return components(first.unionByName(_verified(rest, sets_of(rest))))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one of each group of near-duplicates, with just their columns: the least id, null
     ids last, then the least hash of the text. Groups are what pairs of a similarity of SIMILAR or more reach, of
-    those pairs that become candidates; texts with equal sets of shingles always do. Texts without words are copies of
+    those pairs that become candidates; texts with equal sets of shingles always do. Very long texts are read whole,
+    some thousand shingles at a time. Texts without words are copies of
     each other. Of repeated rows one stays. An empty table gives no rows."""
     k1, k2 = fresh(docs, "simhash_k1"), fresh(docs, "simhash_k2")
     keyed = docs.withColumn(k1, F.xxhash64(id_col, text_col)).withColumn(k2, F.hash(text_col, id_col))
@@ -377,13 +423,17 @@ def deduplicated(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
     order = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("k1"), F.col("k2"))
     own = slim.groupBy("same").agg(F.min(order).alias("least"), F.min("sig").alias("sig"))
     own = materialize(own.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
-    pairs = materialize(ball_links(own, WORDS, RADIUS, WIDTH, LIMIT).distinct(), "simhash-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = own.join(ends, "node", "left_semi").select(F.col("node").alias("n"), F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"))
-    sets = materialize(_sets(texts.join(ends, ["k1", "k2"]).select("n", "text").dropDuplicates(["n"]), shingle), "simhash-sets")
-    roots = similar(pairs, sets)
+    met = materialize(meetings(own), "simhash-met")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Of the texts that are in a pair, once each."""
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        ends = own.join(ends, "node", "left_semi").select(F.col("node").alias("n"), F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"))
+        return materialize(_sets(texts.join(ends, ["k1", "k2"]).select("n", "text").dropDuplicates(["n"]), shingle), "simhash-sets")
+
+    roots = similar(met, sets_of)
     own = own.select(F.col("node").alias("n"), "least")
     rooted = own.join(roots, own.n == roots.node, "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("least").alias("least"))
     winners = materialize(rooted.select(F.col("least.k1").alias(k1), F.col("least.k2").alias(k2)), "simhash-winners")
     # The keys of the semi join are those of the distinct, which so needs no exchange of its own.
-    return keyed.join(winners, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*docs.columns)
+    return keyed.join(winners, [k1, k2], "left_semi").dropDuplicates([k1, k2]).drop(k1, k2)

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -141,7 +142,25 @@ def test_simhash_link(spark, odd_docs, words):
     assert len({c for _, f, c in got}) < len({f for _, f, _ in got})
 
 
-def test_ball_links_find_all(spark):
+@pytest.mark.parametrize("width, half", [(64, 2), (32, 1)])
+@pytest.mark.parametrize("t", [0, 1, 6, 10, 14])
+def test_what_goes_to_groups_is_all_and_short(width, half, t):
+    """Every variant is made just once, in the group of its own parity; few bytes go for each, however many groups there are."""
+    r = random.Random(t)
+    classes = simhash.Classes(width, half, t)
+    fps = np.array([r.getrandbits(width) for _ in range(40)], np.uint64)
+    groups, at, which = classes.entries(fps)
+    variants, whose = classes.variants(fps[at], which)
+    assert (classes.parity(variants) == groups[whose]).all()
+    got = {(int(at[w]), int(v)) for v, w in zip(variants, whose)}
+    expected = {(i, int(f) ^ sum(1 << b for b in c)) for i, f in enumerate(fps) for k in range(half + 1) for c in combinations(range(width), k)}
+    assert got == expected and len(variants) == len(expected)
+    assert len(groups) * 10 <= 4 * len(variants) or half == 1
+
+
+@pytest.mark.parametrize("group", [4_000_000, 300_000])
+def test_ball_links_find_all(spark, group, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", group)
     r = random.Random(4)
     fps = [r.getrandbits(64) for _ in range(3000)]
     for f in fps[:400]:
@@ -151,7 +170,7 @@ def test_ball_links_find_all(spark):
     fps = sorted(set(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     sigs = spark.createDataFrame([(s, bytearray(f.to_bytes(8, "big"))) for s, f in zip(signed, fps)], "node long, sig binary")
-    roots = {x.node: x.root for x in graph.components(simhash.ball_links(sigs, 1, 4, 64, 4)).collect()}
+    roots = {x.node: x.root for x in graph.components(simhash.ball_links(sigs, 4)).collect()}
     classes = {}
     for s in signed:
         classes.setdefault(roots.get(s, s), set()).add(s % (1 << 64))
@@ -204,6 +223,35 @@ def test_deduplicated_verifies_similarity(spark, words):
     assert sum(b not in left for _, b, _ in over) >= 0.9 * len(over)
 
 
+def test_crowded_variants_lose_no_pair(spark, words, monkeypatch):
+    """A family of texts that share most of their words, far more than FEW in one variant: what is similar among
+    strangers is found all the same."""
+    monkeypatch.setattr(simhash, "FEW", 3)
+    monkeypatch.setattr(simhash, "PIECE", 7)
+    monkeypatch.setattr(simhash, "GROUP", 3000)
+    r = random.Random(31)
+    base, docs = [r.choice(words) for _ in range(300)], []
+    for k in range(60):
+        text = list(base)
+        for i in r.sample(range(300), 14):
+            text[i] = f"own{k}"
+        docs.append((2 * k, " ".join(text)))
+        text[r.randrange(300)] = "changed"
+        docs.append((2 * k + 1, " ".join(text)))
+    root = {i: i for i, _ in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, a), (j, b) in combinations(docs, 2):
+        if jaccard(a, b) >= 0.8:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    left = {x.doc_id for x in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert left == {find(i) for i, _ in docs} and len(left) > 40
+
+
 # ---- WARC ----
 
 
