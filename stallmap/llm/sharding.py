@@ -1,20 +1,22 @@
 """Sharding: contiguous shards of near-equal bytes, never splitting equal texts.
 
-Rows are ordered by a hash of their text, so that equal texts stand together, and the order is cut into
-CELLS cells of equal hash ranges. A cell is the atomic group: all rows of one text are in one cell. A
-binary search finds the smallest capacity with which filling shards greedily in that order needs no more
-shards than asked for; the cuts go as near to equal shares as this capacity allows.
+Rows are dealt by a hash of their text into CELLS cells of equal hash ranges. A cell is the atomic group: all rows of one
+text are in one cell. Cells are put in an order that allows near-equal cuts: from the largest down each goes to the
+lightest of as many stacks as there are shards, and the stacks stand one after another. Then a binary search finds the
+smallest capacity with which filling shards greedily in that order needs no more shards than asked for; the cuts
+go as near to equal shares as this capacity allows.
 
 Cells that alone hold more than a fair share (a text with a third of all rows, say) can't be made smaller
 without splitting equal texts. They stand first in the order, one shard each; the search is over the rest.
 
-What reaches the driver is the sizes of the cells, CELLS rows at most whatever the input. Slots are
-numbered in sub-cells of a bounded number of rows, so that a hot text is numbered by many tasks.
+What reaches the driver is the sizes of the cells, CELLS rows at most whatever the input, and what goes back is the shard
+of each cell. Slots are numbered in sub-cells of a bounded number of rows, so that a hot text is numbered by many tasks.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from heapq import heapify, heapreplace
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
@@ -72,19 +74,29 @@ def cut(sizes: list[int], shards: int) -> list[int]:
     return cuts
 
 
-def plan(cells: list[tuple[int, int]], shards: int) -> tuple[list[int], list[int]]:
-    """From (cell, bytes): the cells that get a shard of their own, and the first cells of the shards
-    after the first one of the rest."""
-    rest, alone = sorted(cells), []
-    while len(alone) < shards - 1 and rest:
-        left = shards - len(alone)
-        total, hot = sum(x[1] for x in rest), max(rest, key=lambda x: (x[1], -x[0]))
-        if hot[1] * left <= total or len(rest) == 1:
-            break
-        alone.append(hot[0])
-        rest.remove(hot)
-    starts = cut([x[1] for x in rest], shards - len(alone))
-    return alone, [rest[i][0] if i < len(rest) else CELLS for i in starts]
+def ordered(cells: list[tuple[int, int]], stacks: int) -> list[tuple[int, int]]:
+    """(cell, bytes) in the order of the shards: the largest first, each on the lightest stack; ties by cell."""
+    light = [(0, i) for i in range(stacks)]
+    heapify(light)
+    piles: list[list] = [[] for _ in range(stacks)]
+    for cell in sorted(cells, key=lambda x: (-x[1], x[0])):
+        held, i = light[0]
+        piles[i].append(cell)
+        heapreplace(light, (held + cell[1], i))
+    return [x for pile in piles for x in pile]
+
+
+def plan(cells: list[tuple[int, int]], shards: int) -> dict[int, int]:
+    """From (cell, bytes): the shard of each cell."""
+    rest, alone = sorted(cells, key=lambda x: (-x[1], x[0])), []
+    total = sum(x[1] for x in rest)
+    while len(alone) < shards - 1 and len(alone) < len(rest) - 1 and rest[len(alone)][1] * (shards - len(alone)) > total:
+        total -= rest[len(alone)][1]
+        alone.append(rest[len(alone)])
+    row = ordered(rest[len(alone) :], shards - len(alone))
+    starts = cut([x[1] for x in row], shards - len(alone))
+    of = {cell: k for k, (cell, _) in enumerate(alone)}
+    return of | {cell: len(alone) + bisect_right(starts, i) for i, (cell, _) in enumerate(row)}
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +104,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
 
     size: bytes of the text in UTF-8 plus ROW_BYTES. Null text: as an empty one, and in its group. Equal
     texts share a shard. slot: 0, 1, ... within each shard, without gaps. Repeated rows and null ids keep
-    a row and a slot each. An empty table gives no rows. Other columns of docs are not looked at.
+    a row and a slot each. Very long texts are rows like any other. An empty table gives no rows. Other columns of docs are not looked at.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(
@@ -107,23 +119,21 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
 
     cells = materialize(rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-cells")
     known = cells.collect()  # CELLS rows at most
-    alone, starts = plan([(r.cell, r.bytes) for r in known], shards)
-    by_start = F.size(F.filter(F.array(*[F.lit(s) for s in starts]).cast("array<int>"), lambda s: s <= F.col("cell")))
-    place = F.lit(len(alone)) + by_start
-    for k, cell in enumerate(alone):
-        place = F.when(F.col("cell") == cell, F.lit(k)).otherwise(place)
+    shard_of = plan([(r.cell, r.bytes) for r in known], shards)
+    # One number a cell, as a table made in the JVM.
+    numbers = F.lit(",".join(str(shard_of.get(c, 0)) for c in range(CELLS)))
+    place = docs.sparkSession.range(1).select(F.posexplode(F.split(numbers, ",")).alias("cell", "shard")).withColumn("shard", F.col("shard").cast("int"))
 
     # Sub-cells of at most about `most` rows: no more than CELLS * 1.25 of them.
     most = max(256, 4 * sum(r.n for r in known) // CELLS)
-    parts = cells.select("cell", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("parts"))
+    parts = cells.join(F.broadcast(place), "cell").select("cell", "shard", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("parts"))
     rows = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")).cast("int"))
     in_shard = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy("cell", "part")
+        rows.groupBy("shard", "cell", "part")
         .agg(F.count("*").alias("n"))
-        .withColumn("shard", place.cast("int"))
         .withColumn("offset", F.coalesce(F.sum("n").over(in_shard), F.lit(0)))
-        .select("cell", "part", "shard", "offset")
+        .select("cell", "part", "offset")
     )
     in_part = Window.partitionBy("cell", "part").orderBy("h", "doc_id", "size", "row")
     return (

@@ -111,6 +111,24 @@ def test_near_equal_shards(spark):
     assert len(sums) == 8 and max(sums) - min(sums) < 200
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_cells_are_dealt_near_equally(seed):
+    r = random.Random(seed)
+    cells = [(c, r.choice([50, 400, r.randint(16, 3000), 20_000 if r.random() < 0.02 else 80])) for c in r.sample(range(65536), 1000)]
+    held, of = Counter(), sharding.plan(cells, 40)
+    for c, n in cells:
+        held[of[c]] += n
+    total, largest = sum(held.values()), max(n for _, n in cells)
+    assert set(of) == {c for c, _ in cells} and len(held) == 40
+    if largest * 40 <= total:
+        assert max(held.values()) - min(held.values()) <= 0.01 * total / 40
+    # One cell with half of all: it stands alone, and the others share the rest equally.
+    of, held = sharding.plan([*cells, (70_000, total)], 40), Counter()
+    for c, n in cells:
+        held[of[c]] += n
+    assert of[70_000] not in held and len(held) == 39
+
+
 def brute_verdict(url, listed):
     host, path = "", ""
     if url and "://" in url:
