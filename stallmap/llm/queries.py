@@ -24,10 +24,11 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: addresses of the spam hosts, as canonical URLs."""
+    """The list: addresses that feeds carry (a page of theirs is linked with utm_source), as canonical URLs. It grows with
+    the pages, and blocks all pages of such an address that no rule speaks of."""
     pages = table(spark, sf_dir, "pages")
     host, path = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
-    listed = pages.where(F.startswith(host, F.lit("spam"))).select(url_filter.canonical(host, path).alias("url"))
+    listed = pages.where(F.contains("url", F.lit("utm_source="))).select(url_filter.canonical(host, path).alias("url"))
     return url_filter.judge(pages, listed)
 
 
@@ -69,7 +70,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_url_filter": r"""
         WITH parts AS (
-            SELECT page_id,
+            SELECT page_id, url,
                    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
             FROM pages
@@ -77,7 +78,7 @@ ORACLES: dict[str, str] = {
             SELECT *, regexp_replace(regexp_replace(host, ':\d*$', ''), '^www\.', '')
                       || regexp_replace(regexp_replace(path, '/index\.html?$', ''), '/+$', '') AS canonical
             FROM parts
-        ), listed AS (SELECT DISTINCT canonical FROM named WHERE starts_with(host, 'spam')),
+        ), listed AS (SELECT DISTINCT canonical FROM named WHERE contains(url, 'utm_source=')),
         rules(verdict, h, p) AS (
             VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
         ), fits AS (
