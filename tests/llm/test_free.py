@@ -46,6 +46,23 @@ def test_best_fit_is_that_of_brute_force(seed):
     assert all(a[0] != b[0] or a[2] == b[1] for a, b in zip(spans, spans[1:]))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_lengths_are_chosen_together(seed):
+    r = random.Random(seed)
+    lengths = (512, 1024, 4096)
+    sizes = sorted((r.choice([300, 480, 700, 1000, r.randint(1, 1024), r.randint(1, 4096) if seed % 2 else 5]) for _ in range(r.choice([3, 40]))), reverse=True)
+    total = lambda got: sum(map(packing.cost, got[2]))
+    got = packing.least_cost(sizes, lengths)
+    ways = [packing.best_fit(sizes, own, lengths) for n in (1, 2, 3) for own in combinations(lengths, n) if own[-1] >= sizes[0]]
+    assert total(got) == min(map(total, ways)) <= total(packing.best_fit(sizes, lengths))
+    held = Counter()
+    for b, s in zip(got[0], sizes):
+        held[b] += s
+    assert all(held[b] <= c and not any(held[b] <= x < c for x in lengths) for b, c in enumerate(got[2]))
+    # Pieces of which two fill a short length go there, and not into longer ones that they leave half empty.
+    assert set(packing.least_cost([300, 200] * 2, (512, 4096))[2]) == {512}
+
+
 def test_pack_is_whole(odd_docs, no_docs):
     rows = packing.pack(odd_docs, group=15).collect()
     assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter(r.doc_id for r in odd_docs.collect())
@@ -64,11 +81,11 @@ def test_pack_is_whole(odd_docs, no_docs):
 
 def brute_top(rows, every, k):
     out = []
-    ok = [(i, v, [int(np.floor(1024.0 * float(x))) for x in e]) for i, (v, e) in enumerate(rows) if e and all(x is not None and np.isfinite(x) for x in e)]
+    ok = [(i, v, [int(np.floor(1024.0 * float(x))) for x in e]) for i, (v, e) in enumerate(rows) if e is not None and all(x is not None and np.isfinite(x) for x in e)]
     for i, v, a in ok:
         if v is not None and v % every == 0:
             found = sorted((-sum(x * y for x, y in zip(a, b)), w is None, w or 0) for j, w, b in ok if j != i and len(a) == len(b))[:k]
-            out += [(v, n + 1, None if null else w, -s) for n, (s, null, w) in enumerate(found)]
+            out += [(v, n + 1, None if null else w, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, null, w) in enumerate(found)]
     return Counter(out)
 
 
@@ -80,6 +97,10 @@ def test_topk(spark):
     exact = [(x.vec_id, x.embedding) for x in df.collect()]
     got = Counter(tuple(x) for x in topk.top(df, every=35, k=10).select("query_id", "rank", "vec_id", "score").collect())
     assert got == brute_top(exact, 35, 10)
+    # Finite vectors of any length take part: their products are longer than a long, and ranked as whole numbers.
+    huge = spark.createDataFrame([(35 * i, [r.choice([3e38, -3e38, 1e20, 1e17, 5.0]) for _ in range(6)], 1, 2.0) for i in range(40)] + [(7000, [], 1, 2.0), (7035, [], 1, 2.0)], df.schema)
+    both = df.where("vec_id < 50").unionByName(huge)
+    assert Counter(tuple(x) for x in topk.top(both, 35, 10).collect()) == brute_top([(x.vec_id, x.embedding) for x in both.collect()], 35, 10)
     few = df.where("vec_id < 4 or vec_id = 70")
     assert Counter(tuple(x) for x in topk.top(few, 35, 10).collect()) == brute_top([(x.vec_id, x.embedding) for x in few.collect()], 35, 10)
     assert topk.top(df.limit(0)).count() == 0
@@ -87,8 +108,8 @@ def test_topk(spark):
 
 def test_pruned_search_is_exact():
     rng = np.random.default_rng(2)
-    p = np.floor(1024 * rng.normal(size=(3000, 8)) * rng.lognormal(size=(3000, 1))).astype(np.int64)
-    norm = np.sqrt((p.astype(float) ** 2).sum(1))
+    p = np.floor(1024 * rng.normal(size=(3000, 8)) * rng.lognormal(size=(3000, 1)))
+    norm = np.sqrt((p**2).sum(1))
     order = np.argsort(-norm)
     p, norm = p[order], norm[order]
     q = p[::100]
