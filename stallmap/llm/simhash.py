@@ -43,7 +43,7 @@ def _hash64(shingle: bytes) -> bytes:
 
 
 def _hash256(shingle: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(shingle) + xxhash.xxh64_digest(shingle) + xxhash.xxh64_digest(shingle, SEED)
+    return xxhash.xxh3_128_digest(shingle) + xxhash.xxh3_128_digest(shingle, SEED)
 
 
 def _shingles(data: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
@@ -76,16 +76,22 @@ def signature(data: bytes, shingle: int, words: int = 1) -> bytes:
     """SimHash of the word shingles of a text in UTF-8: one big-endian word of 64 bits, or four. A bit is 1 if
     it is set in over half of the shingles' hashes (for one word, their XXH64). Fewer words of text than a
     shingle: the whole sequence is the one shingle. No word: all bits are 0."""
+    return _signed(data, shingle, words)[0]
+
+
+def _signed(data: bytes, shingle: int, words: int) -> tuple[bytes, np.ndarray]:
+    """signature(), and the first 64 bits of the hashes of all shingles."""
     line, starts, ends = _shingles(data, shingle)
     if not starts:
-        return bytes(8 * words)
-    n, of = len(starts), _hash64 if words == 1 else _hash256
+        return bytes(8 * words), np.zeros(0, np.uint64)
+    n, of, firsts = len(starts), _hash64 if words == 1 else _hash256, []
     votes = np.zeros(64 * words, np.int64)
     for k in range(0, n, 1 << 15):
         part = b"".join([of(line[s:e]) for s, e in zip(starts[k : k + (1 << 15)], ends[k : k + (1 << 15)])])
-        bits = np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > n, bitorder="little").view("<u8").astype(">u8").tobytes()
+        hashes = np.frombuffer(part, np.uint8).reshape(-1, 8 * words)
+        votes += np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        firsts.append(hashes.view(np.uint64)[:, 0])
+    return np.packbits(2 * votes > n, bitorder="little").view("<u8").astype(">u8").tobytes(), np.concatenate(firsts)
 
 
 def signatures(docs: DataFrame, text_col: str, out: str, shingle: int, words: int = 1) -> DataFrame:
@@ -364,8 +370,9 @@ def _named(docs: DataFrame, shingle: int) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = [x or b"" for x in b.column(1).cast(pa.large_binary()).to_pylist()]
-            sig = pa.array([signature(x, shingle, SIG_WORDS) for x in texts], pa.binary())
-            same = pa.array([xxhash.xxh3_128_digest(shingle_set(x, shingle).tobytes()) for x in texts], pa.binary())
+            both = [_signed(x, shingle, SIG_WORDS) for x in texts]
+            sig = pa.array([x for x, _ in both], pa.binary())
+            same = pa.array([xxhash.xxh3_128_digest(np.unique(x).tobytes()) for _, x in both], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), sig, same], names=["id", "k1", "k2", "sig", "same"])
 
     return docs.mapInArrow(batches, f"id {dict(docs.dtypes)['id']}, k1 long, k2 int, sig binary, same binary")
