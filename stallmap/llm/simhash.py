@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallmap.llm.common import fresh, materialize
@@ -263,12 +263,17 @@ def link(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_
 #: Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more. Such texts
 #: differ in up to 15 of 100 bits, 10 in 64: more than a ball can reach. So their signature has 64 * SIG_WORDS bits, of which
 #: WORDS choices of WIDTH are fingerprints; texts whose balls meet in any of them are candidates unless more than LIMIT of
-#: the first 64 bits differ (10 on average at a similarity of 0.8, with a deviation of 3), and the shingles themselves
-#: decide. Of pairs at just 0.8 that finds 93 in 100, of pairs at 0.85 98, by simulation of independent bits.
-SIG_WORDS, WORDS, WIDTH, RADIUS, LIMIT, SIMILAR = 4, 32, 32, 2, 22, 0.8
-#: Members of a variant up to which all their pairs are looked at where they meet; those of larger ones are looked at once
-#: it is known which of them belong together, PIECE against PIECE.
-FEW, PIECE = 64, 4096
+#: 56 bits differ (9 on average at a similarity of 0.8, with a deviation of 3) or the numbers of their shingles rule a
+#: similarity of SIMILAR out, and the shingles themselves decide. Of pairs at just 0.8 that finds 93 in 100, of pairs at
+#: 0.85 98, by simulation of independent bits.
+SIG_WORDS, WORDS, WIDTH, RADIUS, LIMIT, SIMILAR = 4, 32, 32, 2, 20, 0.8
+#: Members of a variant up to which all their pairs are looked at where they meet. Of larger ones each member first gets the
+#: nearest of WINDOW others; the rest are looked at once it is known which belong together, PIECE against PIECE.
+FEW, WINDOW, PIECE = 16, 16, 4096
+#: How many of a text's nearest candidates are verified in a round, before all that still are apart.
+NEAREST = (1, 16)
+#: Steps of the number of shingles in which two texts of a similarity of SIMILAR differ at most, and a distance that is too far.
+SIZE_STEPS, FAR = 4, 255
 
 
 def choices(words: int = WORDS, width: int = WIDTH, bits: int = 64 * SIG_WORDS) -> np.ndarray:
@@ -286,39 +291,64 @@ def chosen_bits(sig: np.ndarray, which: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(name: np.ndarray, check: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Members of variants (where each begins, and how many it has) -> pairs within LIMIT: all those of variants with FEW
-    members at most; of others each member with the least one and with the one before it."""
-    here, a, b = np.arange(len(name)), [], []
+def _size_step(n: int) -> int:
+    """The number of shingles on a scale of 8 bits whose SIZE_STEPS steps are a factor of 1 / SIMILAR."""
+    return min(255, int(SIZE_STEPS * math.log(max(1, n)) / -math.log(SIMILAR)))
 
-    def put(x: np.ndarray, y: np.ndarray) -> None:
-        near = np.bitwise_count(check[x] ^ check[y]) <= LIMIT
+
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the 56 bits of checks differ; FAR if more than LIMIT, or if the numbers of shingles differ too much."""
+    bits = np.bitwise_count((x ^ y) >> np.uint64(8))
+    steps = np.abs((x & np.uint64(255)).astype(np.int16) - (y & np.uint64(255)).astype(np.int16))
+    return np.where((bits <= LIMIT) & (steps <= SIZE_STEPS), bits, FAR).astype(np.int16)
+
+
+def _pairs(name: np.ndarray, check: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of variants (where each begins, and how many it has) -> pairs that aren't far, and their distances: all
+    those of variants with FEW members at most; of others each member with the nearest of the least one and the WINDOW
+    before it."""
+    here, a, b, away = np.arange(len(name)), [], [], []
+
+    def put(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> None:
+        near = d < FAR
         a.append(name[x[near]])
         b.append(name[y[near]])
+        away.append(d[near])
 
     small, large = np.flatnonzero(size <= FEW), np.flatnonzero(size > FEW)
-    for d in range(1, FEW):
-        small = small[here[small] - begin[small] >= d]
+    for k in range(1, FEW):
+        small = small[here[small] - begin[small] >= k]
         if not len(small):
             break
-        put(small - d, small)
-    for other in (begin, here - 1):
-        own = large[here[large] > begin[large]]
-        put(other[own], own)
-    a, b = np.concatenate(a), np.concatenate(b)
+        put(small - k, small, _distance(check[small - k], check[small]))
+    best, partner = np.full(len(large), FAR, np.int16), large.copy()
+    for k in range(WINDOW + 1):
+        other = large - k if k else begin[large]
+        own = np.flatnonzero((other >= begin[large]) & (other < large))
+        d = _distance(check[other[own]], check[large[own]])
+        better = d < best[own]
+        best[own[better]], partner[own[better]] = d[better], other[own[better]]
+    put(partner, large, best)
+    a, b, away = np.concatenate(a), np.concatenate(b), np.concatenate(away)
     # The same two may meet in many variants.
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-    return both[0], both[1]
+    both, first = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True) if len(a) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+    return both[0], both[1], away[first]
 
 
 def meetings(sigs: DataFrame) -> DataFrame:
-    """sigs: node (distinct longs), sig (binary of SIG_WORDS 64-bit words), materialised -> a, b, check. Rows with a null check
-    are candidates. The others are the members b, with their first 64 bits, of variants a of more than FEW."""
+    """sigs: node (distinct longs), sig (binary of SIG_WORDS 64-bit words), size (its _size_step), materialised -> a, b, check, away. Rows
+    with a null check are candidates, at a distance. The others are the members b, with their checks, of variants a of
+    more than FEW. A check is the first 56 bits of the signature and the size."""
     half = (RADIUS + 1) // 2
     classes = Classes.sized(sigs.count() * sum(math.comb(WIDTH, k) for k in range(half + 1)), WIDTH, half)
     which_bits = choices()
-    fields = lambda names, bits: (fps := chosen_bits(bits, which_bits), [names, bits[:, 0], fps.astype(np.uint32)])
-    packed = _packed(sigs, classes, WORDS, fields)
+
+    def fields(names: np.ndarray, bits: np.ndarray) -> tuple:
+        fps = chosen_bits(bits[:, :SIG_WORDS], which_bits)
+        return fps, [names, bits[:, 0] >> np.uint64(8) << np.uint64(8) | bits[:, SIG_WORDS], fps.astype(np.uint32)]
+
+    sized = sigs.select("node", F.concat("sig", F.unhex(F.lpad(F.hex("size"), 16, "0"))).alias("sig"))
+    packed = _packed(sized, classes, WORDS, fields)
 
     def meet(rows: pa.Table) -> pa.Table:
         which, name, check, fps = _unpacked(rows["entries"].to_pylist(), [np.uint16, np.int64, np.uint64, np.uint32])
@@ -326,20 +356,20 @@ def meetings(sigs: DataFrame) -> DataFrame:
         at, begin = _meetings(variants, name[whose])
         size = np.bincount(begin, minlength=len(at))[begin] if len(at) else begin
         own = whose[at]
-        a, b = _pairs(name[own], check[own], begin, size)
+        a, b, away = _pairs(name[own], check[own], begin, size)
         large = np.flatnonzero(size > FEW)
         word = np.int64(rows["grp"][0].as_py() >> classes.t)
         label = variants[at][large].view(np.int64) | (word << np.int64(WIDTH))
-        nothing = pa.nulls(len(a), pa.int64())
-        checks = pa.array(check[own][large].view(np.int64))
-        return pa.table({"a": np.concatenate([a, label]), "b": np.concatenate([b, name[own][large]]), "check": pa.chunked_array([nothing, checks])})
+        checks = pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(check[own][large].view(np.int64))])
+        away = np.concatenate([away, np.zeros(len(large), np.int16)])
+        return pa.table({"a": np.concatenate([a, label]), "b": np.concatenate([b, name[own][large]]), "check": checks, "away": away})
 
-    return packed.groupBy("grp").applyInArrow(meet, "a long, b long, check long")
+    return packed.groupBy("grp").applyInArrow(meet, "a long, b long, check long, away short")
 
 
-def across(crowds: DataFrame, roots: DataFrame) -> DataFrame:
-    """crowds (a: a variant of many, b: a member, check), roots (node, root: what belongs together already) -> a, b: the pairs
-    within LIMIT of members that don't belong together. Variants whose members all do, such as those of copies,
+def across(crowds: DataFrame, roots: DataFrame, nearest: int | None) -> DataFrame:
+    """crowds (a: a variant of many, b: a member, check), roots (node, root: what belongs together already) -> a, b, away:
+    the pairs that aren't far of members that don't belong together, or of each member only so many of the nearest in a piece. Variants whose members all do, such as those of copies,
     are passed over; those of the others are dealt into pieces, and each two pieces meet in a task of their own."""
     named = crowds.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     named = materialize(named, "simhash-crowds")
@@ -352,30 +382,35 @@ def across(crowds: DataFrame, roots: DataFrame) -> DataFrame:
     def meet(rows: pa.Table) -> pa.Table:
         name, check, root, own = (rows[c].to_numpy() for c in ("b", "check", "root", "own"))
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        left, right, a, b = np.flatnonzero(own == i), np.flatnonzero(own == j), [], []
+        left, right, check = np.flatnonzero(own == i), np.flatnonzero(own == j), check.view(np.uint64)
+        a, b, away = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
         for x in left.tolist():
-            near = right[(np.bitwise_count(check[right] ^ check[x]) <= LIMIT) & (root[right] != root[x])]
-            near = near[name[near] > name[x]] if i == j else near
-            a.append(np.minimum(name[near], name[x]))
-            b.append(np.maximum(name[near], name[x]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+            d = np.where(root[right] != root[x], _distance(check[right], check[x]), FAR)
+            at = np.flatnonzero(d < FAR)
+            if nearest:
+                at = at[np.argsort(d[at], kind="stable")[:nearest]]
+            a.append(np.minimum(name[right[at]], name[x]))
+            b.append(np.maximum(name[right[at]], name[x]))
+            away.append(d[at].astype(np.int16))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "away": np.concatenate(away)})
 
-    return spread.groupBy("a", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    return spread.groupBy("a", "i", "j").applyInArrow(meet, "a long, b long, away short").distinct()
 
 
 def _named(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs (id, text, k1, k2) -> id, k1, k2, sig, same: binary, alike for equal sets of shingles."""
+    """docs (id, text, k1, k2) -> id, k1, k2, sig, same: binary, alike for equal sets of shingles, size: their _size_step."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = [x or b"" for x in b.column(1).cast(pa.large_binary()).to_pylist()]
             both = [_signed(x, shingle, SIG_WORDS) for x in texts]
             sig = pa.array([x for x, _ in both], pa.binary())
-            same = pa.array([xxhash.xxh3_128_digest(np.unique(x).tobytes()) for _, x in both], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), sig, same], names=["id", "k1", "k2", "sig", "same"])
+            sets = [np.unique(x) for _, x in both]
+            same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            size = pa.array([_size_step(len(x)) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), sig, same, size], names=["id", "k1", "k2", "sig", "same", "size"])
 
-    return docs.mapInArrow(batches, f"id {dict(docs.dtypes)['id']}, k1 long, k2 int, sig binary, same binary")
+    return docs.mapInArrow(batches, f"id {dict(docs.dtypes)['id']}, k1 long, k2 int, sig binary, same binary, size long")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -402,18 +437,34 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(batches, "a long, b long")
 
 
+def _nearest(pairs: DataFrame, most: int) -> DataFrame:
+    """Of pairs (a, b, away) so many of the nearest ones of each end."""
+    place = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy("away", y)) <= most
+    of = lambda x, y: pairs.withColumn("chosen", place(x, y)).where("chosen").select("a", "b")
+    return of("a", "b").unionByName(of("b", "a")).distinct()
+
+
 def similar(met: DataFrame, sets_of) -> DataFrame:
-    """met: meetings(), materialised -> node, root: components of the candidates that are similar enough. One pair of each node
-    goes first; of the others only those are looked at that don't lie within a component already, and so are the pairs
-    of variants of many. sets_of(pairs): node's sets of shingles (n, shingles)."""
-    pairs, crowds = met.where("check is null").select("a", "b").distinct(), met.where("check is not null")
-    first = materialize(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets_of(pairs)), "simhash-first")
-    roots = components(first)
-    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    rest = apart.unionByName(across(crowds, roots)) if not crowds.isEmpty() else apart
-    rest = materialize(rest.distinct(), "simhash-rest")
-    return components(first.unionByName(_verified(rest, sets_of(rest))))
+    """met: meetings(), materialised -> node, root: components of the candidates that are similar enough. A round each verifies
+    NEAREST pairs of each node; then all pairs that don't lie within a component already, so that a large group of near copies
+    doesn't make all its pairs. sets_of(pairs): node's sets of shingles (n, shingles)."""
+    pairs, crowds = met.where("check is null").select("a", "b", "away").distinct(), met.where("check is not null")
+    crowded = not crowds.isEmpty()
+
+    def verified(chosen: DataFrame) -> DataFrame:
+        chosen = materialize(chosen, "simhash-chosen")
+        return materialize(_verified(chosen, sets_of(chosen)), "simhash-links")
+
+    def apart(roots: DataFrame, nearest: int | None) -> DataFrame:
+        of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        own = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "away")
+        return own.unionByName(across(crowds, roots, nearest)).distinct() if crowded else own
+
+    links = verified(_nearest(pairs, NEAREST[0]))
+    for most in NEAREST[1:]:
+        links = links.unionByName(verified(_nearest(apart(components(links), max(1, most // 4)), most)))
+    links = links.unionByName(verified(apart(components(links), None).select("a", "b")))
+    return components(links)
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -428,7 +479,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
     texts = slim
     slim = materialize(_named(slim, shingle), "simhash-docs")
     order = F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("k1"), F.col("k2"))
-    own = slim.groupBy("same").agg(F.min(order).alias("least"), F.min("sig").alias("sig"))
+    own = slim.groupBy("same").agg(F.min(order).alias("least"), F.min("sig").alias("sig"), F.min("size").alias("size"))
     own = materialize(own.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
     met = materialize(meetings(own), "simhash-met")
 

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -410,3 +411,29 @@ def test_components(spark):
     got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_size_steps_rule_out_no_similar_pair():
+    """Of sets with a similarity of SIMILAR or more, the smaller has at least that share of the larger one's members."""
+    for n in [*range(1, 3000), 10**5, 10**7]:
+        least = math.ceil(n * simhash.SIMILAR)
+        assert simhash._size_step(n) - simhash._size_step(least) <= simhash.SIZE_STEPS
+    x = np.array([5 << 8 | simhash._size_step(100)], np.uint64)
+    assert simhash._distance(x, np.array([4 << 8 | simhash._size_step(81)], np.uint64))[0] == 1
+    assert simhash._distance(x, np.array([4 << 8 | simhash._size_step(40)], np.uint64))[0] == simhash.FAR
+    assert simhash._distance(x, x ^ np.uint64((1 << 56) - 256))[0] == simhash.FAR
+
+
+def test_crowded_variants_give_each_member_a_near_one_and_small_ones_all_pairs():
+    rng = np.random.default_rng(4)
+    few, many = simhash.FEW, 50 * simhash.FEW
+    begin = np.repeat([0, few], [few, many])
+    size = np.repeat([few, many], [few, many])
+    name = np.arange(few + many)
+    base = np.uint64(rng.integers(1 << 40)) << np.uint64(8)
+    check = base ^ (np.uint64(1) << rng.integers(8, 64, few + many).astype(np.uint64))
+    a, b, away = simhash._pairs(name, check, begin, size)
+    got = set(zip(a.tolist(), b.tolist()))
+    assert {(i, j) for j in range(few) for i in range(j)} <= got and (away <= 2).all()
+    crowd = {(i, j) for i, j in got if j >= few}
+    assert {j for _, j in crowd} == set(range(few + 1, few + many)) and len(crowd) == many - 1 and all(i >= few for i, _ in crowd)
