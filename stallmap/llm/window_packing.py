@@ -10,17 +10,21 @@ task holds in memory (GROUP windows of ids at most), and their number grows with
 windows of each group.
 
 Texts are encoded word by word: none of the tokenizer's steps looks across white space, so the ids of a text are those of its
-words, and a worker keeps those of the short words it has met, of two generations of about KNOWN. The tests hold this equal to
-encoding whole texts.
+words, and a worker keeps those of the short words it has met, of two generations of about KNOWN. Words of Latin letters, also with
+marks behind them, go to the tokenizer's model at once if probes show that it cuts off marks and makes one and the same of each letter
+everywhere. The tests hold all this equal to encoding whole texts.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,10 @@ SEPARATOR = 1
 GROUP = 16_384
 #: Words whose ids a worker keeps, and the length in bytes from which a word is not kept.
 KNOWN, LONG_WORD = 300_000, 48
+#: Where letters end that may be looked at one by one, and the marks that may stand behind them.
+LATIN, _MARKS = 0x250, ".,;:!?#$%&*"
 #: Documents that are encoded before their ids go on.
-AT_ONCE = 512
+AT_ONCE = 1024
 
 
 class Capacities:
@@ -93,31 +99,85 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
-
-    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        self.model, self.letters, self.marks = self.tokenizer.model, self._letters(), {"": b""}
+        ascii_marks = "".join(m for m in _MARKS if self._parts(f"ab{m}{m}") == ["ab", m + m])
+        other = "".join(map(chr, self.letters))
+        #: Letters that the model can be given at once, and marks that stand behind them.
+        self.plain = re.compile(f"([{re.escape(other)}]+)([{re.escape(ascii_marks)}]{{0,{LONG_WORD}}})") if other and ascii_marks else None
+
+    def _parts(self, text: str) -> list[str] | None:
+        """What comes to the model, one by one."""
+        text = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+        return [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] if self.tokenizer.pre_tokenizer else None
+
+    def _letters(self) -> dict[int, str]:
+        """What comes to the model of a Latin letter within a word, of those letters for which that is one thing. None, if a special
+        token is a word of letters. (Letters that are composed of others, as in Hangul, lie beyond LATIN.)"""
+        if any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return {}
+        found = {}
+        for c in filter(str.isalpha, map(chr, range(LATIN))):
+            own = self._parts(c)
+            if own and len(own) == 1 and all(self._parts(x.format(c)) == [x.format(own[0])] for x in ("{}z", "z{}", "z{}z", "{0}{0}")):
+                found[ord(c)] = own[0]
+        return found
+
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Different words and their ids. They are encoded as one text, whose ids the offsets deal out again."""
-        texts = [w.decode() for w in words]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        cuts = [0, *(4 * np.searchsorted([s for s, _ in found.offsets], ends)).tolist()]
+        line = b" ".join(words)
+        found = self.tokenizer.encode(line.decode(), add_special_tokens=False)
+        ends = np.cumsum([len(w) + 1 for w in words] if line.isascii() else [len(w.decode()) + 1 for w in words])
+        cuts = (4 * np.searchsorted([s for s, _ in found.offsets], ends)).tolist()
         ids = np.array(found.ids, "<u4").tobytes()
-        return ((w, ids[s:e]) for w, s, e in zip(words, cuts, cuts[1:]))
+        return {w: ids[s:e] for w, s, e in zip(words, [0, *cuts], cuts)}
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        words = {w for own in split for w in own}
-        if len(self.known) > KNOWN:
-            self.known, self.before = {}, self.known
-        known = self.known
-        if new := words - known.keys():
-            old = {w: self.before[w] for w in new & self.before.keys()}
-            known.update(old)
-            known.update(self._encoded(sorted(new - old.keys())))
-        out = [b"".join([known[w] for w in own]) for own in split]
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words that aren't known, and their ids."""
+        if not self.plain:
+            return self._encoded(words)
+        known, marks, tokens, letters, match, rest, own = self.known, self.marks, self.model.tokenize, self.letters, self.plain.fullmatch, [], {}
         for w in words:
-            if len(w) >= LONG_WORD:
-                del known[w]
-        return out
+            found = match(w.decode())
+            if not found:
+                rest.append(w)
+                continue
+            stem, mark = found.groups()
+            ids = mark and known.get(stem.encode()) or array("I", [t.id for t in tokens(stem.translate(letters))]).tobytes()
+            if mark not in marks:
+                marks[mark] = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<u4").tobytes()
+            own[w] = ids + marks[mark]
+        if len(marks) > KNOWN:
+            self.marks = {"": b""}
+        return own | self._encoded(rest) if rest else own
+
+    def _of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of different words."""
+        known, before = self.known, self.before
+        known[b""] = b""
+        found = list(map(known.get, words))
+        lost = [k for k, x in enumerate(found) if x is None]
+        old = list(map(before.get, [words[k] for k in lost]))
+        own = {words[k]: x for k, x in zip(lost, old) if x is not None}
+        own.update(self._new([words[k] for k, x in zip(lost, old) if x is None]) if len(own) < len(lost) else ())
+        for k in lost:
+            found[k] = own[words[k]]
+        known.update((w, x) for w, x in own.items() if len(w) < LONG_WORD)
+        if len(known) > KNOWN:
+            self.known, self.before = {}, known
+        return found
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Each different word of the texts is looked up once, and its ids are put wherever it stands."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        known = self._of(coded.dictionary.cast(pa.large_binary()).to_pylist())
+        taken = pa.array(known, pa.large_binary()).take(coded.indices)
+        if not len(taken):
+            return [b""] * len(texts)
+        _, ends, data = taken.buffers()
+        cuts = np.frombuffer(ends, np.int64)[taken.offset + split.offsets.to_numpy()].tolist()
+        data = memoryview(data) if data else b""
+        return [bytes(data[s:e]) for s, e in zip(cuts, cuts[1:])]
 
 
 @lru_cache(1)
