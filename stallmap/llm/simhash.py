@@ -272,6 +272,10 @@ SIG_WORDS, WORDS, WIDTH, RADIUS, LIMIT, SIMILAR = 4, 32, 32, 2, 20, 0.8
 FEW, WINDOW, PIECE = 16, 16, 4096
 #: How many of a text's nearest candidates are verified in a round, before all that still are apart.
 NEAREST = (1, 16)
+#: Bits of the whole signature in which texts of a similarity of 0.8 differ at most: 38 of 256 on average, with a deviation of 6.
+WHOLE_LIMIT = 60
+#: Members up to which a component is met text by text; of larger ones all members of a PART at once.
+SINGLE, PART = 4, 512
 #: Steps of the number of shingles in which two texts of a similarity of SIMILAR differ at most, and a distance that is too far.
 SIZE_STEPS, FAR = 4, 255
 
@@ -367,9 +371,9 @@ def meetings(sigs: DataFrame) -> DataFrame:
     return packed.groupBy("grp").applyInArrow(meet, "a long, b long, check long, away short")
 
 
-def across(crowds: DataFrame, roots: DataFrame, nearest: int | None) -> DataFrame:
+def across(crowds: DataFrame, roots: DataFrame, nearest: int) -> DataFrame:
     """crowds (a: a variant of many, b: a member, check), roots (node, root: what belongs together already) -> a, b, away:
-    the pairs that aren't far of members that don't belong together, or of each member only so many of the nearest in a piece. Variants whose members all do, such as those of copies,
+    of each member so many of the nearest ones in a piece that it doesn't belong together with. Variants whose members all do, such as those of copies,
     are passed over; those of the others are dealt into pieces, and each two pieces meet in a task of their own."""
     named = crowds.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     named = materialize(named, "simhash-crowds")
@@ -387,8 +391,7 @@ def across(crowds: DataFrame, roots: DataFrame, nearest: int | None) -> DataFram
         for x in left.tolist():
             d = np.where(root[right] != root[x], _distance(check[right], check[x]), FAR)
             at = np.flatnonzero(d < FAR)
-            if nearest:
-                at = at[np.argsort(d[at], kind="stable")[:nearest]]
+            at = at[np.argsort(d[at], kind="stable")[:nearest]]
             a.append(np.minimum(name[right[at]], name[x]))
             b.append(np.maximum(name[right[at]], name[x]))
             away.append(d[at].astype(np.int16))
@@ -397,6 +400,89 @@ def across(crowds: DataFrame, roots: DataFrame, nearest: int | None) -> DataFram
     return spread.groupBy("a", "i", "j").applyInArrow(meet, "a long, b long, away short").distinct()
 
 
+def asking(pairs: DataFrame, crowds: DataFrame, sigs: DataFrame, sized: DataFrame) -> DataFrame:
+    """pairs (a, b), crowds (a: a variant of many, b: a member, check), sigs (node, sig), sized (node, root, size: its component and how many
+    that has) -> node, root: the components that a text may belong to, as it comes near one of their texts. Of two components the texts of the
+    smaller one ask. So a text near many of a large component asks once."""
+    of = lambda x: sized.select(F.col("node").alias(x), F.struct(F.col("size"), F.col("root")).alias(f"of_{x}"))
+    alone = lambda x: F.coalesce(f"of_{x}", F.struct(F.lit(1).cast("long").alias("size"), F.col(x).alias("root")))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", alone("a").alias("of_a"), alone("b").alias("of_b")).where("of_a.root != of_b.root")
+    less = F.col("of_a") < F.col("of_b")
+    own = both.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(less, F.col("of_b.root")).otherwise(F.col("of_a.root")).alias("root")).distinct()
+    if crowds.isEmpty():
+        return own
+    named = crowds.select("a", "b", "check").join(of("b"), "b", "left").select("a", "b", "check", alone("b").alias("of"))
+    named = materialize(named.select("a", "b", "check", "of.root", "of.size"), "simhash-crowds")
+    mixed = named.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    dealt = named.join(mixed.select("a", pieces.alias("pieces")), "a").withColumn("own", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int"))
+    dealt = dealt.join(sigs.select(F.col("node").alias("b"), "sig"), "b")
+    spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    spread = spread.select("a", "b", "check", "root", "size", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        name, check, root, size, own = (rows[c].to_numpy() for c in ("b", "check", "root", "size", "own"))
+        sig, check = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint64).reshape(len(name), -1), check.view(np.uint64)
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        node, target, asked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
+        for x in left.tolist():
+            near = right[(root[right] != root[x]) & (_distance(check[right], check[x]) < FAR)]
+            near = near[np.bitwise_count(sig[near] ^ sig[x]).sum(axis=1, dtype=np.int64) <= WHOLE_LIMIT]
+            larger = (size[near] > size[x]) | (size[near] == size[x]) & (root[near] > root[x])
+            to = np.unique(root[near[larger]])
+            node.append(np.full(len(to), name[x]))
+            target.append(to)
+            if not larger.all():
+                asked.setdefault(int(root[x]), np.zeros(len(name), bool))[near[~larger]] = True
+        for to, who in asked.items():
+            node.append(name[who])
+            target.append(np.full(int(who.sum()), to))
+        return pa.table({"node": np.concatenate(node), "root": np.concatenate(target)})
+
+    return own.unionByName(spread.groupBy("a", "i", "j").applyInArrow(meet, "node long, root long")).distinct()
+
+
+def _closest(texts: list[np.ndarray], members: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """For each of the texts that is similar enough to a member: its place, and that of the most similar one. Over an index of all
+    the members' shingles, so that a text is compared with all of them at once."""
+    sizes = np.array([len(m) for m in members])
+    shingles, owner = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    for k, x in enumerate(texts):
+        first = np.searchsorted(shingles, x, side="left")
+        n = np.searchsorted(shingles, x, side="right") - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(members))
+        alike = both / np.maximum(len(x) + sizes - both, 1)
+        best = int(np.argmax(alike))
+        if alike[best] >= SIMILAR:
+            yield k, best
+
+
+def joined(asks: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """asks (node, root), members (root, node), sets (n, shingles) -> a, b: each asking text with the most similar member of each part of the
+    component that it asks, if that is similar enough. Members and askers of a component are dealt into parts, and each part of the
+    members meets each of the askers in a task of its own: there is a row for a text and part, none for a pair."""
+    count = lambda rows, n: rows.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias(n))
+    grid = count(members, "m_parts").join(count(asks, "a_parts"), "root")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = members.join(grid, "root").select("root", "node", F.lit(False).alias("asks"), place("m_parts").alias("m"), each("a_parts").alias("a"))
+    other = asks.join(grid, "root").select("root", "node", F.lit(True).alias("asks"), each("m_parts").alias("m"), place("a_parts").alias("a"))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        name, asks = rows["node"].to_numpy(), rows["asks"].to_numpy()
+        found = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        pairs = list(_closest([found[k] for k in left], [found[k] for k in right])) if len(left) and len(right) else []
+        a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        return pa.table({"a": name[left[a]], "b": name[right[b]]})
+
+    return own.unionByName(other).join(sets.withColumnRenamed("n", "node"), "node").groupBy("root", "m", "a").applyInArrow(meet, "a long, b long")
+
+
 def _named(docs: DataFrame, shingle: int) -> DataFrame:
     """docs (id, text, k1, k2) -> id, k1, k2, sig, same: binary, alike for equal sets of shingles, size: their _size_step."""
 
@@ -444,10 +530,11 @@ def _nearest(pairs: DataFrame, most: int) -> DataFrame:
     return of("a", "b").unionByName(of("b", "a")).distinct()
 
 
-def similar(met: DataFrame, sets_of) -> DataFrame:
-    """met: meetings(), materialised -> node, root: components of the candidates that are similar enough. A round each verifies
-    NEAREST pairs of each node; then all pairs that don't lie within a component already, so that a large group of near copies
-    doesn't make all its pairs. sets_of(pairs): node's sets of shingles (n, shingles)."""
+def similar(met: DataFrame, sigs: DataFrame, sets_of) -> DataFrame:
+    """met: meetings(), materialised; sigs: its input -> node, root: components of the candidates that are similar enough. A round each
+    verifies NEAREST pairs of each node. What then still is apart is settled between texts and components: a text asks each component
+    near which it comes, and is held against all its members, so that neither a large group of near copies nor what lies just outside it makes pairs.
+    sets_of(pairs): node's sets of shingles (n, shingles)."""
     pairs, crowds = met.where("check is null").select("a", "b", "away").distinct(), met.where("check is not null")
     crowded = not crowds.isEmpty()
 
@@ -455,7 +542,7 @@ def similar(met: DataFrame, sets_of) -> DataFrame:
         chosen = materialize(chosen, "simhash-chosen")
         return materialize(_verified(chosen, sets_of(chosen)), "simhash-links")
 
-    def apart(roots: DataFrame, nearest: int | None) -> DataFrame:
+    def apart(roots: DataFrame, nearest: int) -> DataFrame:
         of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
         own = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "away")
         return own.unionByName(across(crowds, roots, nearest)).distinct() if crowded else own
@@ -463,7 +550,19 @@ def similar(met: DataFrame, sets_of) -> DataFrame:
     links = verified(_nearest(pairs, NEAREST[0]))
     for most in NEAREST[1:]:
         links = links.unionByName(verified(_nearest(apart(components(links), max(1, most // 4)), most)))
-    links = links.unionByName(verified(apart(components(links), None).select("a", "b")))
+    roots = components(links)
+    sized = materialize(roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", "root", "size"), "simhash-sized")
+    asks = materialize(asking(pairs.select("a", "b"), crowds, sigs, sized), "simhash-asks")
+    # Components that aren't in `sized` are single texts.
+    few = asks.join(sized.where(F.col("size") > SINGLE).select("root").distinct(), "root", "left_anti")
+    few = few.join(sized.select(F.col("node").alias("b"), "root"), "root", "left").select(F.col("node").alias("a"), F.coalesce("b", "root").alias("b"))
+    links = links.unionByName(verified(few))
+    many = sized.where(F.col("size") > SINGLE).join(asks.select("root").distinct(), "root", "left_semi")
+    own = materialize(asks.join(many.select("root").distinct(), "root", "left_semi"), "simhash-askers")
+    if not own.isEmpty():
+        members = materialize(many.select("root", "node"), "simhash-members")
+        ends = own.select(F.col("node").alias("a"), F.col("node").alias("b")).unionByName(members.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        links = links.unionByName(materialize(joined(own, members, sets_of(ends)), "simhash-links"))
     return components(links)
 
 
@@ -489,7 +588,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
         ends = own.join(ends, "node", "left_semi").select(F.col("node").alias("n"), F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"))
         return materialize(_sets(texts.join(ends, ["k1", "k2"]).select("n", "text").dropDuplicates(["n"]), shingle), "simhash-sets")
 
-    roots = similar(met, sets_of)
+    roots = similar(met, own.select("node", "sig"), sets_of)
     own = own.select(F.col("node").alias("n"), "least")
     rooted = own.join(roots, own.n == roots.node, "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("least").alias("least"))
     winners = materialize(rooted.select(F.col("least.k1").alias(k1), F.col("least.k2").alias(k2)), "simhash-winners")
