@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stallmap.llm.common import materialize
+from stallmap.storage import discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One pass. Large: every vertex links its larger neighbours to the least of it and its neighbours.
     Small: every vertex links itself and its smaller neighbours to the least of those. The minimum is a
-    partial aggregate and the neighbours stay rows, so a vertex with many of them never is one group."""
+    partial aggregate and the neighbours stay rows, so a vertex with many of them never is one group. The edges that
+    went in, materialised, are deleted."""
     both = edges.select(F.col("a").alias("v"), F.col("b").alias("u"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
@@ -23,7 +25,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = linked.where("u > v").select(F.col("u").alias("a"), F.col("m").alias("b"))
     else:
         out = linked.select(F.col("u").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("v").alias("a"), F.col("m").alias("b")))
-    return materialize(out.where("a != b").distinct(), "cc-edges")
+    out = materialize(out.where("a != b").distinct(), "cc-edges")
+    discard(edges, least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,4 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return materialize(nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct(), "cc-nodes")
+    out = materialize(nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct(), "cc-nodes")
+    discard(edges)
+    return out

@@ -43,6 +43,7 @@ from pyspark.sql.datasource import (
 )
 
 from stallmap.llm.common import shared_dir, small
+from stallmap.storage import qualified
 
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_length long, refers_to string, headers map<string,string>, payload binary"
 FILE_BYTES = 64 << 20
@@ -362,7 +363,8 @@ def page_records(pages: DataFrame, folder: str | None = None, **how) -> DataFram
     """Writes pages as archives and reads them back: page_id, payload_bytes, payload_digest, record_type,
     refers_to. Responses are measured on the payload that was read; of revisits only headers are read."""
     spark = pages.sparkSession
-    path = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    # Archives are written by another library than Spark's, which must find the same folder.
+    path = qualified(spark, folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     archive(pages, path, **how)
     read = lambda payload: spark.read.format("warc").option("path", path).option("payload", payload).load()
     page = lambda c: F.regexp_extract(F.col(c), r"^urn:page:(-?\d+)$", 1)
