@@ -86,6 +86,24 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*SAMPLE).agg(F.count("*").alias("reads"), F.sum("n").alias("copies"))
 
 
+BOOTSTRAPS = 3
+
+
+@query(f"WITH {lens.BLOCKS} SELECT cond, rep, CAST(b AS INT) AS bootstrap, count(*) AS copies FROM blocks, (SELECT unnest(range(1, {BOOTSTRAPS + 1})) AS b) GROUP BY ALL")
+def bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: draws with replacement, as many as a sample has reads in each bootstrap."""
+    drawn = pileup.bootstrap_draws(lens.blocks(spark, sf_dir).select("cond", "rep", "read_id"), BOOTSTRAPS)
+    return drawn.groupBy("cond", "rep", "bootstrap").agg(F.sum("copies").alias("copies"))
+
+
+@query()
+def bootstrap_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 carried through the pile-up and the first stage: in how many of the bootstraps each position is a stop."""
+    blocks = materialize(pileup.bootstrapped(lens.blocks(spark, sf_dir), BOOTSTRAPS), "bootstrapped")
+    rows = signal.signal_rows(signal.pairs_of_blocks(blocks, ["contig", "strand", "rep", "bootstrap"], weight="copies"), False)
+    return rows.where("not decoy").groupBy("contig", "strand", "rep", "cond", "pos").agg(F.count("*").alias("n"), F.min("first_alpha").alias("strictest"), F.max("first_alpha").alias("loosest"))
+
+
 @query(
     f"""WITH {lens.PILEUP}, contigs AS (SELECT DISTINCT contig, cond FROM pileup)
     SELECT t.contig, t.cond FROM contigs t WHERE t.cond <> 'Li' AND t.contig IN (SELECT contig FROM contigs WHERE cond = 'Li')"""
@@ -358,8 +376,8 @@ _LABELLED = (
     SELECT cond, rep, k, alpha, CAST(sum(CASE WHEN positive THEN 1 ELSE 0 END) AS BIGINT) AS p, CAST(sum(CASE WHEN positive THEN 0 ELSE 1 END) AS BIGINT) AS n FROM labelled GROUP BY ALL
 ), curve AS (
     SELECT cond, rep, k, alpha, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, n_neg / (n_pos + n_neg) AS fdr FROM (
-        SELECT *, sum(p) OVER w AS n_pos, sum(n) OVER w AS n_neg FROM points WINDOW w AS (PARTITION BY cond, rep, k ORDER BY alpha)
-    ) WHERE n > 0
+        SELECT *, sum(p) OVER w AS n_pos, sum(n) OVER w AS n_neg, sum(p) OVER (PARTITION BY cond, rep, k) AS positives FROM points WINDOW w AS (PARTITION BY cond, rep, k ORDER BY alpha)
+    ) WHERE n > 0 AND positives > 0
 ), best AS (
     SELECT cond, rep, k, alpha, n_pos, n_neg, fdr FROM (
         SELECT *, row_number() OVER (PARTITION BY cond, rep, k ORDER BY CASE WHEN fdr <= 0.2 THEN 0 ELSE 1 END, CASE WHEN fdr <= 0.2 THEN -n_pos ELSE 0 END, CASE WHEN fdr <= 0.2 THEN 0 ELSE fdr END, alpha DESC) AS nth FROM curve

@@ -424,7 +424,39 @@ def motif_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motif.clusters(_candidates(spark, sf_dir))
 
 
-@query()
+def _owners(seqs: str, id_: str, found: str, out: str) -> str:
+    """SQL for the candidates that keep a cell of their sequence (needs WITH RECURSIVE): candidates from the right end on, each with the cells that are held
+    as far as it, or a later one, can reach; those beyond are settled.
+    low to top: the cells that it may claim; stop: the last of them that an equal or better one holds; more: how many Gs follow that it takes over."""
+    run = lambda x: f"length({x}) - length(rtrim({x}, 'G'))"
+    return f"""claims AS MATERIALIZED (
+    SELECT f.id, f.e, f.priority AS rank, row_number() OVER (PARTITION BY f.id ORDER BY f.e DESC) AS k, greatest(f.e - 1 - ({run("left(s.seq, f.e - 1)")}), 0) AS low, least(f.e + 1, length(s.seq) - 1) AS top,
+           {run("left(s.seq, f.e + 2)")} AS run, length(substr(s.seq, f.e + 3)) - length(ltrim(substr(s.seq, f.e + 3), 'G')) AS behind
+    FROM {found} f JOIN {seqs} s ON f.id = s.{id_}
+), steps AS MATERIALIZED (
+    SELECT *, coalesce(lead(e + 1 + behind) OVER (PARTITION BY id ORDER BY k), -1) AS reach FROM claims
+), walk AS (
+    SELECT id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(p INT, e INT, rank INT)[]) AS cells, CAST([] AS INT[]) AS settled FROM (SELECT DISTINCT id FROM claims)
+    UNION ALL
+    SELECT id, k, list_filter(held, lambda c: c.p <= reach), list_distinct(list_transform(list_filter(held, lambda c: c.p > reach), lambda c: c.e))
+    FROM (
+        SELECT *, list_concat(list_filter(cells, lambda c: c.p <= stop OR c.p > top + more), list_transform(range(stop + 1, top + more + 1), lambda i: {{'p': CAST(i AS INT), 'e': CAST(e AS INT), 'rank': CAST(rank AS INT)}})) AS held
+        FROM (
+            SELECT *, CASE WHEN top = e + 1 AND len(list_filter(cells, lambda c: c.p > stop AND c.p <= top AND c.p >= e + 1 - run)) > 0 THEN behind ELSE 0 END AS more
+            FROM (
+                SELECT s.*, w.cells, coalesce(list_max(list_transform(list_filter(w.cells, lambda c: c.p >= s.low AND c.p <= s.top AND c.rank <= s.rank), lambda c: c.p)), s.low - 1) AS stop
+                FROM walk w JOIN steps s ON s.id = w.id AND s.k = w.k + 1
+            )
+        )
+    )
+), {out} AS (SELECT DISTINCT id, unnest(settled) AS e FROM walk)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CANDIDATES}, {_owners('genome', 'contig', 'candidates', 'owners')}
+    SELECT c.id, c.e, c.start, c.priority, c.far, CAST(greatest(c.start - 50, 0) AS INT) AS flank_start, CAST(least(c.e + 50, length(g.seq) - 1) AS INT) AS flank_end
+    FROM candidates c JOIN owners o ON c.id = o.id AND c.e = o.e JOIN genome g ON g.contig = c.id"""
+)
 def motif_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3, W9."""
     return motif.retained(lens.genome(spark, sf_dir)).select("id", "e", "start", "priority", "far", "flank_start", "flank_end")
@@ -438,21 +470,7 @@ def _motif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.motifs_of(_known(spark, sf_dir), _spliced(spark, sf_dir))
 
 
-@query()
-def motif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retained motifs of transcripts with where they and their flanks lie on the genome."""
-    text = lambda c: F.to_json(c).alias(c)
-    return _motif_rows(spark, sf_dir).select(*[text(c) if c in ("pieces", "left", "right", "transcripts") else c for c in ("contig", "start", "end", "name", "strand", "class", "sequence", "pieces", "flank_sequence", "transcripts", "left", "right", "priority")])
-
-
-@query()
-def parse_motif_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The motif table as lines of text and back."""
-    back = tables.motifs_of(_motif_rows(spark, sf_dir).select(tables.motif_line().alias("value")))
-    return back.select(*[F.to_json(c).alias(c) if c in ("pieces", "left", "right", "transcripts") else c for c in back.columns])
-
-
-# Clusters of genes: the exons of a gene's transcripts, joined where they overlap.
+# The overlap of intervals of one gene, shown on the exons of its transcripts.
 _NODES = f"{lens.GENES}, places AS (SELECT gene_id, contig, strand, transcript_id || '#' || CAST(e AS VARCHAR) AS node, st, en FROM exons)"
 
 
@@ -462,7 +480,7 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_NODES} SELECT a.node AS a, b.node AS b FROM places a JOIN places b ON a.gene_id = b.gene_id AND a.contig = b.contig AND a.strand = b.strand AND a.st < b.en AND b.st < a.en AND a.node < b.node")
 def cluster_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J9."""
+    """Overlaps within a gene, on exons; J9 itself is motif_cluster_pairs."""
     return motif.overlapping_clusters(_places(spark, sf_dir))
 
 
@@ -473,14 +491,14 @@ _ROOTS = f"""RECURSIVE {_NODES}, pairs_ AS (
 
 @query(f"WITH {_ROOTS} SELECT node, root FROM roots")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A16."""
+    """Components within a gene, on exons; A16 itself is motif_cluster_components."""
     places = materialize(_places(spark, sf_dir), "places")
     return motif.component_roots(places.select("node"), motif.overlapping_clusters(places))
 
 
 @query(f"WITH {_ROOTS} SELECT r.root, min(p.st) AS start, max(p.en) AS \"end\", CASE WHEN count(DISTINCT p.strand) > 1 THEN '.' ELSE min(p.strand) END AS strand, count(*) AS n FROM roots r JOIN places p ON r.node = p.node GROUP BY r.root")
 def group_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A17."""
+    """Bounds of components within a gene, on exons; A17 itself is motif_cluster_groups."""
     places = materialize(_places(spark, sf_dir), "places")
     roots = motif.component_roots(places.select("node"), motif.overlapping_clusters(places))
     strand = F.when(F.min("strand") != F.max("strand"), ".").otherwise(F.min("strand"))
@@ -495,12 +513,50 @@ _ORDER = "CASE WHEN strand = '-' THEN -s ELSE s END"
 def _pieces_sql(name: str, a: str, b: str) -> str:
     """SQL for where [a, b) of each motif lies, touching parts joined: motif_id, i (from 1, 5' to 3'), s, e_."""
     return f"""{name}_cut AS (
-    SELECT m.motif_id, x.contig, x.strand, {_PARTS.format(a=a, b=b)} FROM tx_motifs m JOIN (SELECT *, 80 * (e - 1) AS o FROM exons) x ON m.id = x.transcript_id WHERE {a} < o + 80 AND {b} > o
+    SELECT m.motif_id, x.contig, x.strand, {_PARTS.format(a=a, b=b)} FROM tx_motifs m JOIN (SELECT *, 80 * (e - 1) AS o FROM exons) x ON m.id = x.transcript_id WHERE {a} < o + 80 AND {b} > o AND {a} < {b}
 ), {name} AS (
     SELECT *, row_number() OVER (PARTITION BY motif_id ORDER BY {_ORDER}) AS i, count(*) OVER (PARTITION BY motif_id) AS n FROM {name}_cut
 )"""
 
 
+def _json_sql(name: str) -> str:
+    return f"""(SELECT motif_id, '[' || string_agg(concat('{{"start":', CAST(s AS VARCHAR), ',"end":', CAST(e_ AS VARCHAR), '}}'), ',' ORDER BY i) || ']' AS pieces, min(s) AS first, max(e_) AS last FROM {name} GROUP BY motif_id)"""
+
+
+_MOTIF_ROWS = f"""WITH RECURSIVE {_SPLICED}, {_search('spliced', 'transcript_id', 'tx_found')}, {_owners('spliced', 'transcript_id', 'tx_found', 'owners')}, tx_motifs AS (
+    SELECT f.*, f.id || '#' || CAST(f.e AS VARCHAR) AS motif_id, greatest(f.start - 50, 0) AS flank_start, least(f.e + 50, length(s.seq) - 1) AS flank_end, s.seq
+    FROM tx_found f JOIN owners o ON f.id = o.id AND f.e = o.e JOIN spliced s ON f.id = s.transcript_id
+), {_pieces_sql('body', 'm.start', 'm.e')}, {_pieces_sql('before', 'm.flank_start', 'm.start')}, {_pieces_sql('after', 'm.e', 'm.flank_end')}, {_UTR.replace(lens.GENES + ", ", "")}, regions AS (
+    SELECT transcript_id, region, st, en FROM utr UNION ALL SELECT transcript_id, 'CDS', st, en FROM cds
+), met AS (
+    SELECT b.motif_id, list_sort(list_distinct(list(r.region))) AS names FROM body b JOIN tx_motifs m ON b.motif_id = m.motif_id JOIN regions r ON r.transcript_id = m.id AND b.s < r.en AND r.st < b.e_ GROUP BY b.motif_id
+), flat AS (
+    SELECT t.gene_id, t.gene_name, t.contig, t.strand, m.priority, b.pieces, b.first, b.last, coalesce(l.pieces, '[]') AS "left", coalesce(r.pieces, '[]') AS "right", m.id,
+           '[' || coalesce((SELECT string_agg('"' || x || '"', ',') FROM (SELECT unnest(n.names) AS x)), '') || ']' AS names,
+           substr(m.seq, m.start + 1, m.e - m.start) AS motif, substr(m.seq, m.flank_start + 1, m.start - m.flank_start) AS seq5, substr(m.seq, m.e + 1, m.flank_end - m.e) AS seq3
+    FROM tx_motifs m JOIN transcripts t ON m.id = t.transcript_id JOIN {_json_sql('body')} b ON b.motif_id = m.motif_id
+    LEFT JOIN {_json_sql('before')} l ON l.motif_id = m.motif_id LEFT JOIN {_json_sql('after')} r ON r.motif_id = m.motif_id LEFT JOIN met n ON n.motif_id = m.motif_id
+)
+SELECT contig, CAST(first AS INT) AS start, CAST(last AS INT) AS "end", gene_name || '|' || gene_id AS name, strand,
+       CASE priority WHEN 1 THEN 'canonical/G3L1-7' WHEN 2 THEN 'longloop' WHEN 3 THEN 'bulges' ELSE 'two-quartet' END AS class, min(motif) AS sequence, pieces, min(seq5) || '|' || min(motif) || '|' || min(seq3) AS flank_sequence,
+       '[' || string_agg(DISTINCT '{{"id":"' || id || '","regions":' || names || '}}', ',' ORDER BY '{{"id":"' || id || '","regions":' || names || '}}') || ']' AS transcripts, "left", "right", priority
+FROM flat GROUP BY contig, first, last, gene_id, gene_name, strand, priority, "left", "right", pieces"""
+
+
+@query(_MOTIF_ROWS)
+def motif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retained motifs of transcripts with where they and their flanks lie on the genome."""
+    text = lambda c: F.to_json(c).alias(c)
+    return _motif_rows(spark, sf_dir).select(*[text(c) if c in ("pieces", "left", "right", "transcripts") else c for c in ("contig", "start", "end", "name", "strand", "class", "sequence", "pieces", "flank_sequence", "transcripts", "left", "right", "priority")])
+
+
+@query(_MOTIF_ROWS)
+def parse_motif_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The motif table as lines of text and back."""
+    back = tables.motifs_of(_motif_rows(spark, sf_dir).select(tables.motif_line().alias("value")))
+    return back.select(*[F.to_json(c).alias(c) if c in ("pieces", "left", "right", "transcripts") else c for c in back.columns])
+
+
 _NEAR = f"""{_ISLANDS}, {_SPLICED}, {_search('spliced', 'transcript_id', 'tx_found')}, tx_motifs AS (
     SELECT f.*, f.id || '#' || CAST(f.e AS VARCHAR) AS motif_id, least(f.e + 50, length(s.seq) - 1) AS flank_end FROM tx_found f JOIN spliced s ON f.id = s.transcript_id
 ), {_pieces_sql('body', 'm.start', 'm.e')}, {_pieces_sql('flank', 'm.e', 'm.flank_end')}, zones AS (
@@ -534,6 +590,72 @@ _NEAR = f"""{_ISLANDS}, {_SPLICED}, {_search('spliced', 'transcript_id', 'tx_fou
 )"""
 
 
+# Clusters of candidates on spliced transcripts, and which of a gene overlap on the genome.
+_CLUSTERS = f"""{_SPLICED}, {_search('spliced', 'transcript_id', 'tx_found')}, tops AS (
+    SELECT *, max(e) OVER (PARTITION BY id ORDER BY far, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM tx_found
+), marked_ AS (
+    SELECT *, sum(CASE WHEN far > top THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY far, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM tops
+), clusters_ AS (
+    SELECT id, min(far) AS start, max(e) AS e, CAST(row_number() OVER (PARTITION BY id ORDER BY min(far)) AS INT) AS cluster FROM marked_ GROUP BY id, g
+), parts AS (
+    SELECT x.gene_id, x.contig, x.strand, m.id, m.cluster, m.id || '#' || CAST(m.cluster AS VARCHAR) AS node, {_PARTS.format(a='m.start', b='m.e')}
+    FROM clusters_ m JOIN (SELECT *, 80 * (e - 1) AS o FROM exons) x ON m.id = x.transcript_id WHERE m.start < o + 80 AND m.e > o
+), nodes AS (
+    SELECT gene_id, contig, strand, id, cluster, node, min(s) AS first, max(e_) AS last, string_agg(concat(contig, ':', CAST(s AS VARCHAR), '-', CAST(e_ AS VARCHAR), ':', strand), ',' ORDER BY {_ORDER}) AS pieces FROM parts GROUP BY ALL
+), reps AS (
+    SELECT node, min(node) OVER (PARTITION BY gene_id, contig, strand, pieces) AS rep FROM nodes
+), meet AS (
+    SELECT DISTINCT a.node AS a, b.node AS b FROM parts a JOIN parts b ON a.gene_id = b.gene_id AND a.contig = b.contig AND a.strand = b.strand AND a.s < b.e_ AND b.s < a.e_
+)"""
+_GROUPS = f"""RECURSIVE {_CLUSTERS}, reach AS (SELECT a, b FROM meet UNION SELECT r.a, p.b FROM reach r JOIN meet p ON r.b = p.a), roots AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a)"""
+
+
+def _cluster_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = annotation.spliced(_exons(spark, sf_dir)).withColumnRenamed("transcript_id", "id").join(lens.transcripts(spark, sf_dir).select(F.col("transcript_id").alias("id"), "gene_id"), "id")
+    return materialize(motif.cluster_places(motif.candidates(_spliced(spark, sf_dir), "transcript_id"), tx), "cluster-places")
+
+
+@query(f"WITH {_CLUSTERS} SELECT gene_id, contig, strand, id, cluster, node, pieces FROM nodes")
+def motif_cluster_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10 on transcripts: each cluster of candidates where it lies on the genome, in pieces if it crosses a junction."""
+    rows = _cluster_places(spark, sf_dir)
+    return rows.withColumn("pieces", intervals.pieces_as_text(F.col("contig"), F.col("pieces"), F.col("strand")))
+
+
+@query(f"WITH {_CLUSTERS}, own AS (SELECT DISTINCT rep FROM reps) SELECT a, b FROM meet WHERE a < b AND a IN (SELECT rep FROM own) AND b IN (SELECT rep FROM own)")
+def motif_cluster_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of a gene any pieces of which overlap; of clusters with equal pieces the first stands for all."""
+    return motif.overlapping_clusters(_cluster_places(spark, sf_dir))
+
+
+@query(f"WITH {_CLUSTERS} SELECT node, rep FROM reps")
+def motif_cluster_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which cluster stands for those with equal pieces."""
+    return motif.alike_clusters(_cluster_places(spark, sf_dir))
+
+
+@query(f"WITH {_GROUPS} SELECT node, root FROM roots")
+def motif_cluster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of a gene that overlap, directly or through others."""
+    places = _cluster_places(spark, sf_dir)
+    return motif.component_roots(places.select("node"), motif.cluster_links(places))
+
+
+@query(
+    f"""WITH {_GROUPS}, bounds AS (
+        SELECT n.gene_id, n.contig, r.root, min(n.first) AS start, max(n.last) AS "end", CASE WHEN min(n.strand) <> max(n.strand) THEN '.' ELSE min(n.strand) END AS strand, count(*) AS n,
+               string_agg(n.id || '|' || n.pieces, ';' ORDER BY n.node) AS members
+        FROM nodes n JOIN roots r ON n.node = r.node GROUP BY ALL
+    ) SELECT gene_id, contig, start, "end", CAST(row_number() OVER (PARTITION BY gene_id ORDER BY start, "end", root) - 1 AS INT) AS "group", strand, root, n, members FROM bounds"""
+)
+def motif_cluster_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups with their bounds and what they are made of."""
+    places = _cluster_places(spark, sf_dir)
+    groups = motif.cluster_groups(places, motif.component_roots(places.select("node"), motif.cluster_links(places)))
+    text = lambda m: F.concat(m["id"], F.lit("|"), intervals.pieces_as_text(F.col("contig"), m["pieces"], F.col("strand")))
+    return groups.withColumn("members", F.array_join(F.transform("members", text), ";"))
+
+
 def _motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates of spliced transcripts on the genome, so that SQL can follow; jobs take the retained ones."""
     seqs = _spliced(spark, sf_dir)

@@ -91,14 +91,21 @@ def junction_windows(exons: DataFrame, sequences: DataFrame, width: int = WINDOW
     """Windows of `width` bases over the spliced sequence (transcript_id, seq) for each of the `width` positions that follow
     a junction: transcript_id, contig, strand, stop (the position in the transcript), pos (on the genome), window (the bases
     before it). Exons shorter than a window are crossed as a chain. A position needs `width` bases before it."""
-    tx = spliced(exons).where(F.size("exons") > 1)
-    length = lambda x: x["end"] - x["start"]
-    cuts = F.transform(F.slice("exons", 1, F.size("exons") - 1), lambda x, i: F.aggregate(F.slice("exons", 1, i + 1), F.lit(0), lambda a, y: a + length(y)))
-    stops = F.array_distinct(F.flatten(F.transform(cuts, lambda c: F.sequence(c, c + width - 1))))
-    rows = tx.withColumn("stops", stops).join(sequences.select("transcript_id", "seq"), "transcript_id")
-    rows = rows.select("*", F.explode("stops").alias("stop")).where((F.col("stop") >= width) & (F.col("stop") < F.length("seq")))
-    at = pieces(F.col("exons"), F.col("stop"), F.col("stop") + 1, F.col("strand"))[0]["start"]
-    return rows.select("transcript_id", "contig", "strand", "stop", at.alias("pos"), F.substring("seq", F.col("stop") - width + 1, F.lit(width)).alias("window"))
+    order = Window.partitionBy("transcript_id").orderBy("number")
+    before = F.sum(F.col("end") - F.col("start")).over(order.rowsBetween(Window.unboundedPreceding, -1)).cast("int")
+    # A position that follows a junction by less than `width` follows that of its own exon so, too.
+    own = exons.select("transcript_id", "contig", "strand", "start", "end", before.alias("o")).where("o > 0")
+    tx = own.groupBy("transcript_id", "contig", "strand").agg(F.collect_list(F.struct("o", "start", "end")).alias("parts"))
+    # What is needed of the sequence is cut out before there is a row for each exon and position.
+    first = lambda x: F.greatest(x["o"] - width, F.lit(0))
+    near = lambda x: F.struct(x["o"].alias("o"), x["start"].alias("start"), x["end"].alias("end"), first(x).alias("first"), F.substring("seq", first(x) + 1, x["o"] + width - first(x)).alias("near"))
+    rows = tx.join(sequences.select("transcript_id", "seq"), "transcript_id")
+    rows = rows.select("transcript_id", "contig", "strand", F.length("seq").alias("n"), F.transform("parts", near).alias("parts"))
+    rows = rows.select("transcript_id", "contig", "strand", "n", F.inline("parts"))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.lit(width), F.col("end") - F.col("start")) - 1))).withColumn("stop", F.col("o") + F.col("i"))
+    at = F.when(F.col("strand") == "-", F.col("end") - 1 - F.col("i")).otherwise(F.col("start") + F.col("i"))
+    window = F.substring("near", F.col("stop") - width - F.col("first") + 1, F.lit(width))
+    return rows.where(F.col("stop") >= width).where("stop < n").select("transcript_id", "contig", "strand", "stop", at.cast("int").alias("pos"), window.alias("window"))
 
 
 def transcript_sequences(exons: DataFrame, tiled: DataFrame) -> DataFrame:

@@ -246,13 +246,65 @@ def rows(motifs: DataFrame) -> DataFrame:
     )
 
 
-def overlapping_clusters(places: DataFrame, width: int = 256) -> DataFrame:
-    """places (gene_id, contig, strand, node, start, end) -> a, b: different nodes of a gene that overlap."""
-    other = places.withColumnsRenamed({"node": "r_node", "start": "r_start", "end": "r_end"})
-    both = overlap_join(places, other, width, ("gene_id", "contig", "strand")).where("node < r_node")
+def cluster_places(found: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """The clusters of candidates on transcripts (id, far, e) on the genome: gene_id, contig, strand, id, cluster, node (id#cluster),
+    pieces. A cluster over a junction has several pieces. transcripts: as in placed(), with gene_id."""
+    joined = clusters(found).join(transcripts, "id")
+    node = F.concat("id", F.lit("#"), F.col("cluster").cast("string")).alias("node")
+    more = [c for c in ("gene_name", "regions") if c in transcripts.columns]
+    return joined.select("gene_id", "contig", "strand", "id", "cluster", node, pieces(F.col("exons"), F.col("start"), F.col("end"), F.col("strand")).alias("pieces"), *more)
+
+
+LOCUS = ["gene_id", "contig", "strand"]
+#: Bases of a bin in which pieces of clusters are looked at together.
+CLUSTER_BIN = 256
+
+
+def alike_clusters(places: DataFrame) -> DataFrame:
+    """node, rep: of the nodes of a gene with equal pieces, the least one. Transcripts of a gene mostly have the same clusters."""
+    reps = places.groupBy(*LOCUS, "pieces").agg(F.min("node").alias("rep"))
+    return places.select(*LOCUS, "pieces", "node").join(reps, [*LOCUS, "pieces"]).select("node", "rep")
+
+
+def overlapping_clusters(places: DataFrame, width: int = CLUSTER_BIN) -> DataFrame:
+    """places (gene_id, contig, strand, node, and start, end or pieces) -> a, b: different nodes of a gene, a before b, any pieces of
+    which overlap. Of nodes with equal pieces only the least one is in pairs (alike_clusters() says whose it is), so that
+    the transcripts of a gene don't make all their pairs."""
+    if "pieces" not in places.columns:
+        places = places.withColumn("pieces", F.array(F.struct("start", "end")))
+    own = places.groupBy(*LOCUS, "pieces").agg(F.min("node").alias("node")).select(*LOCUS, "node", F.inline("pieces"))
+    other = own.withColumnsRenamed({"node": "r_node", "start": "r_start", "end": "r_end"})
+    both = overlap_join(own, other, width, LOCUS).where("node < r_node")
     return both.select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct()
 
 
+def cluster_links(places: DataFrame, width: int = CLUSTER_BIN) -> DataFrame:
+    """places (gene_id, contig, strand, node, pieces) -> a, b: links that connect just the nodes that overlaps connect, no more than a few for
+    each piece. Each node is linked to the least node with that piece, and of different pieces, in each bin of bases, each to the one
+    that reaches farthest of those before it, if they overlap. A crowded gene is as many tasks as it has bins."""
+    flat = places.select(*LOCUS, "node", F.inline("pieces"))
+    same = flat.groupBy(*LOCUS, "start", "end").agg(F.min("node").alias("rep"))
+    star = flat.join(same, [*LOCUS, "start", "end"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)))
+    cut = same.withColumn("bin", bins).withColumn("low", F.greatest("start", F.col("bin") * width)).withColumn("high", F.least("end", (F.col("bin") + 1) * width))
+    order = Window.partitionBy(*LOCUS, "bin").orderBy("low", "high", "rep")
+    far = F.max(F.struct("high", "rep")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chain = cut.withColumn("far", far).where(F.col("low") < F.col("far.high")).select(F.col("rep").alias("a"), F.col("far.rep").alias("b"))
+    return star.unionByName(chain).where("a != b").distinct()
+
+
+def cluster_groups(places: DataFrame, roots: DataFrame) -> DataFrame:
+    """places (gene_id, contig, strand, node, pieces, and id, regions if known) with roots (node, root) -> a row for each group of clusters that overlap,
+    directly or through others: gene_id, contig, start, end, group (from 0 in each gene), strand ("." if not all have one), n, members. Start and
+    end bound all pieces, whatever lies between. members: id, regions and pieces of each cluster, by node."""
+    member = F.struct("node", *[c for c in ("id", "regions") if c in places.columns], "pieces")
+    strand = F.when(F.min("strand") != F.max("strand"), ".").otherwise(F.min("strand"))
+    both = places.join(roots, "node").groupBy("gene_id", "contig", "root")
+    bounds = both.agg(F.min(F.array_min("pieces.start")).alias("start"), F.max(F.array_max("pieces.end")).alias("end"), strand.alias("strand"), F.count("*").alias("n"), F.array_sort(F.collect_list(member)).alias("members"))
+    number = F.row_number().over(Window.partitionBy("gene_id").orderBy("start", "end", "root")) - 1
+    return bounds.select("gene_id", "contig", "start", "end", number.alias("group"), "strand", "root", "n", "members")
+
+
 def component_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, root: the least node reachable. Labels spread along edges and jump to the label of their label until none
     changes; each round is written out, so that the plan stays short, and the round before is deleted."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +91,51 @@ def poisson_edges() -> list[float]:
         edges.append((edges[-1] if edges else 0.0) + term)
         term /= len(edges)
     return edges
+
+
+#: Reads of a sample that are drawn from together, about.
+DRAW_GROUP = 50_000
+
+
+def bootstrap_draws(reads: DataFrame, n: int, sample: Sequence[str] = ("cond", "rep"), id_col: str = "read_id", seed: int = 2018, group: int = DRAW_GROUP) -> DataFrame:
+    """reads (sample, id_col: each read once) -> sample, bootstrap (from 1 to n), id_col, copies: as many draws with replacement as a sample has
+    reads, for each bootstrap; reads that aren't drawn have no row.
+
+    Reads are dealt into groups by a hash of their id. How many draws a group gets is drawn first, group by group, as the binomial share of
+    what is left; then the reads within it. Together that is one multinomial draw of just as many reads as there are. All depends
+    on hashes and the seed alone, not on how rows are partitioned. A task holds one group, and one number for each group of a sample."""
+    keys, kinds = list(sample), dict(reads.dtypes)
+    fields = "".join(f"{c} {kinds[c]}, " for c in keys)
+    sizes = reads.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / group))
+    named = F.xxhash64(F.lit(seed), *keys)
+    dealt = reads.select(*keys, id_col).join(sizes.select(*keys, "groups"), keys).select(*keys, id_col, F.pmod(F.xxhash64(id_col, F.lit(seed)), F.col("groups")).alias("grp"), named.alias("stream"))
+    counted = dealt.groupBy(*keys, "grp").agg(F.count("*").alias("k"), F.first("stream").alias("stream")).withColumn("bootstrap", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    numbers = lambda *parts: np.random.default_rng([int(x) & (1 << 64) - 1 for x in parts])
+
+    def share(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("grp")
+        r, left, draws, out = numbers(rows["stream"].iloc[0], rows["bootstrap"].iloc[0], 0), int(rows["k"].sum()), int(rows["k"].sum()), []
+        for k in rows["k"].tolist():
+            out.append(int(r.binomial(draws, k / left)))
+            left, draws = left - k, draws - out[-1]
+        return rows.assign(draws=out)[[*keys, "grp", "bootstrap", "draws"]]
+
+    shares = counted.groupBy(*keys, "bootstrap").applyInPandas(share, f"{fields}grp long, bootstrap int, draws long")
+    asked = shares.groupBy(*keys, "grp").agg(F.array_sort(F.collect_list(F.struct("bootstrap", "draws"))).alias("asked"))  # n at most
+
+    def draw(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        rows, out = rows.sort_values(id_col), []
+        for x in own["asked"].iloc[0]:
+            r = numbers(rows["stream"].iloc[0], x["bootstrap"], key[-1] + 1)
+            copies = np.bincount(r.integers(0, len(rows), x["draws"]), minlength=len(rows))
+            at = np.flatnonzero(copies)
+            out.append(rows.iloc[at][[*keys, id_col]].assign(bootstrap=x["bootstrap"], copies=copies[at]))
+        return pd.concat(out)[[*keys, "bootstrap", id_col, "copies"]]
+
+    return dealt.groupBy(*keys, "grp").cogroup(asked.groupBy(*keys, "grp")).applyInPandas(draw, f"{fields}bootstrap int, {id_col} {kinds[id_col]}, copies int")
+
+
+def bootstrapped(blocks: DataFrame, n: int, sample: Sequence[str] = ("cond", "rep"), id_col: str = "read_id", seed: int = 2018) -> DataFrame:
+    """blocks of bootstrap_draws(): with bootstrap and copies. Take bootstrap among the keys of pile-ups and pairs, and copies as the weight."""
+    reads = blocks.select(*sample, id_col).distinct()
+    return blocks.join(bootstrap_draws(reads, n, sample, id_col, seed), [*sample, id_col])

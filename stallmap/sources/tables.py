@@ -15,10 +15,41 @@ from stallmap.functions.intervals import as_text, from_text, pieces_as_text, pie
 SIGNAL_FIELDS = 8
 
 
+#: Folders that a writer adds and its reader takes away again; callers' own columns can't be called so.
+_FOLDERS = ("contig_", "strand_")
+
+
 def _write(lines: DataFrame, path: str, gz: bool = True, by: tuple[str, ...] = ()) -> None:
     lines.write.partitionBy(*by).option("compression", "gzip" if gz else "none").text(path)
 
 
+def in_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """rows in order over all partitions: dealt by ranges of all of `order`, whose bounds Spark samples, so a contig with many rows is many
+    partitions, and sorted within each. Spark names files by partition, so the files of a folder, by name, are in order, too."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _own(by: tuple[str, ...]) -> tuple[str, ...]:
+    if clash := {c.lower() for c in by} & {*_FOLDERS, "line", "value"}:
+        raise ValueError(f"columns can't be called {', '.join(sorted(clash))} here")
+    return by
+
+
+def manifest(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The data files of a stored table, (path below its folder, bytes), in the order of their rows: folder by folder, and in
+    each by name. Joined in this order, the files of one folder are one sorted file (zipped ones, too)."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    root, out = fs.makeQualified(top).toString().rstrip("/"), []
+    files = fs.listFiles(top, True)
+    while files.hasNext():
+        x = files.next()
+        name = x.getPath().toString().removeprefix(root).lstrip("/")
+        if not any(part.startswith(("_", ".")) for part in name.split("/")):
+            out.append((name, x.getLen()))
+    return sorted(out, key=lambda x: (x[0].rpartition("/")[0], x[0]))
+
+
 def _tab(*cols: Column | str) -> Column:
     return F.concat_ws("\t", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]).alias("line")
 
@@ -42,8 +73,8 @@ def blocks_of(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def write_blocks(blocks: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
-    """A folder for each of `by` (sample columns) and contig; in each file by start and end."""
-    rows = blocks.repartition(*by, "contig").sortWithinPartitions(*by, "contig", "start", "end")
+    """A folder for each of `by` (sample columns) and contig; in each, over its files, by start and end."""
+    rows = in_ranges(blocks, *_own(by), "contig", "start", "end")
     _write(rows.select(*by, F.col("contig").alias("contig_"), block_line()), path, by=(*by, "contig_"))
 
 
@@ -83,8 +114,8 @@ def pileup_of(lines: DataFrame, line: str = "value", *more: str) -> DataFrame:
 
 
 def write_pileup(piled: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
-    """A folder for each of `by` and strand; in each file by contig and position."""
-    rows = piled.repartition(*by, "strand", "contig").sortWithinPartitions(*by, "strand", "contig", "pos")
+    """A folder for each of `by` and strand; in each, over its files, by contig and position."""
+    rows = in_ranges(piled, *_own(by), "strand", "contig", "pos")
     _write(rows.select(*by, F.col("strand").alias("strand_"), pileup_line()), path, by=(*by, "strand_"))
 
 
@@ -116,7 +147,8 @@ def signal_of(lines: DataFrame, line: str = "value", swapped: bool = False, *mor
 
 
 def write_signal(signal: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
-    rows = signal.repartition(*by, "strand", "contig").sortWithinPartitions(*by, "strand", "contig", "pos")
+    """A folder for each of `by` and strand; in each, over its files, by contig and position."""
+    rows = in_ranges(signal, *_own(by), "strand", "contig", "pos")
     _write(rows.select(*by, F.col("strand").alias("strand_"), signal_line()), path, by=(*by, "strand_"))
 
 
@@ -133,7 +165,8 @@ def bed_line() -> Column:
 
 
 def write_bed(runs: DataFrame, path: str) -> None:
-    _write(runs.repartition("contig").sortWithinPartitions("contig", "strand", "start").select(bed_line()), path)
+    """Over all files by contig, strand and start."""
+    _write(in_ranges(runs, "contig", "strand", "start").select(bed_line()), path)
 
 
 def motif_line() -> Column:
@@ -157,16 +190,48 @@ def motifs_of(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def write_motifs(motifs: DataFrame, path: str) -> None:
-    """Sorted by all fields, within contig and strand."""
+    """Over all files by all fields, contig and strand first."""
     order = ["contig", "strand", "start", "end", "name", "class", "sequence", "flank_sequence", "line"]
-    rows = motifs.withColumn("line", motif_line()).repartition("contig", "strand").sortWithinPartitions(*order)
-    _write(rows.select("line"), path)
+    _write(in_ranges(motifs.withColumn("line", motif_line()), *order).select("line"), path)
 
 
 def read_motifs(spark: SparkSession, path: str) -> DataFrame:
     return motifs_of(spark.read.text(path))
 
 
+# ---- groups of clusters ----
+
+
+def cluster_line() -> Column:
+    """Seven fields: contig, start, end, gene_name|gene_id, group, strand, clusters (transcript|regions|pieces;...)."""
+    strand = F.col("strand")
+    who = lambda m: F.concat_ws("|", m["id"], F.array_join(m["regions"], ","), pieces_as_text(F.col("contig"), m["pieces"], strand))
+    return _tab("contig", "start", "end", F.concat_ws("|", "gene_name", "gene_id"), "group", "strand", F.array_join(F.transform("members", who), ";"))
+
+
+def write_clusters(groups: DataFrame, path: str) -> None:
+    """Over all files by contig, strand and start."""
+    order = ["contig", "strand", "start", "end", "gene_id", "group"]
+    _write(in_ranges(groups, *order).select(cluster_line()), path)
+
+
+def clusters_of(lines: DataFrame, line: str = "value") -> DataFrame:
+    """contig, start, end, name, group, strand, members (id, regions, pieces)."""
+    _, at = _fields(line)
+
+    def member(x: Column) -> Column:
+        f = F.split(x, r"\|")
+        regions = F.filter(F.split(F.get(f, F.lit(1)), ","), lambda r: r != "")
+        return F.struct(F.get(f, F.lit(0)).alias("id"), regions.alias("regions"), pieces_from_text(F.get(f, F.lit(2))).alias("pieces"))
+
+    members = F.transform(F.filter(F.split(at(6), ";"), lambda x: x != ""), member)
+    return lines.select(at(0).alias("contig"), at(1, "int").alias("start"), at(2, "int").alias("end"), at(3).alias("name"), at(4, "int").alias("group"), at(5).alias("strand"), members.alias("members"))
+
+
+def read_clusters(spark: SparkSession, path: str) -> DataFrame:
+    return clusters_of(spark.read.text(path))
+
+
 # ---- cutoff ----
 
 
@@ -179,6 +244,12 @@ def write_cutoff(chosen: DataFrame, path: str) -> None:
     _write(cutoff_lines(chosen).coalesce(1), path, gz=False)
 
 
+def write_curve(points: DataFrame, path: str) -> None:
+    """The points of cutoff.curve(), a folder for each sample: first alpha's number, alpha, positives, negatives, rate; in order."""
+    rows = in_ranges(points, "cond", "rep", "k", "alpha")
+    _write(rows.select("cond", "rep", _tab("k", "alpha", "n_pos", "n_neg", "fdr")), path, gz=False, by=("cond", "rep"))
+
+
 def cutoff_of(texts: DataFrame, *more: str) -> DataFrame:
     """texts (value: a whole file) -> first_alpha, second_alpha."""
     a = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")

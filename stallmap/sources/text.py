@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """contig (the header up to its first space), seq. Records are split at >, so a file of many is read in parts."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    """contig (the header up to its first space), seq: a row for each record. Records are split at lines that begin with >, so a file
+    of many is read in parts. Long contigs of unzipped files are better read by sources.fasta.tiles."""
+    records = spark.read.option("lineSep", "\n>").text(path)
+    # The first record of a file still has its mark.
+    records = records.select(F.regexp_replace("value", r"\A\s*>", "").alias("value")).where(F.length(F.trim("value")) > 0)
     parts = F.split("value", "\n", 2)
-    return records.select(F.regexp_extract(parts[0], r"^(\S+)", 1).alias("contig"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
+    return records.select(F.regexp_extract(parts[0], r"^\s*(\S*)", 1).alias("contig"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
 
 
-def _tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("comment", "#").option("quote", "").schema(schema).csv(path)
+def gff_lines(spark: SparkSession, path: str, contigs: list[str] | None = None) -> DataFrame:
+    """value: the lines of features, of the named contigs only. Which contig a line is on is told from its start, so lines of others
+    are never split. Files may be zipped, also in several members."""
+    lines = spark.read.text(path).where("value != '' and not startswith(value, '#')")
+    return lines if contigs is None else lines.where(F.substring_index("value", "\t", 1).isin(contigs))
 
 
 def gff(spark: SparkSession, path: str, contigs: list[str] | None = None) -> DataFrame:
     """contig, type, start (from 0), end, strand, attrs (a map; of GFF3 or of GTF, told apart by each row)."""
-    rows = _tsv(spark, path, "contig string, source string, type string, s int, e int, score string, strand string, phase string, attr string")
-    if contigs is not None:
-        rows = rows.where(F.col("contig").isin(contigs))
+    f = F.split("value", "\t")
+    field = lambda i, kind="string": F.nullif(F.get(f, F.lit(i)), F.lit("")).try_cast(kind)
+    rows = gff_lines(spark, path, contigs).select(field(0).alias("contig"), field(2).alias("type"), field(3, "int").alias("s"), field(4, "int").alias("e"), field(6).alias("strand"), field(8).alias("attr"))
     rows = rows.where("contig is not null and s is not null")
     pairs = F.regexp_extract_all("attr", F.lit(r'\s*([^=;\s]+)[=\s]"?[^";]*"?'), F.lit(0))
     one = lambda x: F.struct(F.regexp_extract(x, r"^\s*([^=;\s]+)", 1).alias("k"), F.regexp_extract(x, r'^\s*[^=;\s]+[=\s]"?([^";]*)', 1).alias("v"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: set[str] = set()
+#: The tables of the job at hand; None outside of jobs.
+_MADE: ContextVar[set[str] | None] = ContextVar("made", default=None)
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -36,7 +40,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     executor."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _MADE.add(path)
+    if (made := _MADE.get()) is not None:
+        made.add(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
@@ -45,7 +50,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _MADE.discard(path)
+    if (made := _MADE.get()) is not None:
+        made.discard(path)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -55,8 +61,15 @@ def discard(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all that materialize() has written from this driver. For the end of a job, when its results are stored: data
-    frames that were made before can't be read afterwards."""
-    for path in list(_MADE):
-        _delete(spark, path)
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Within it, tables of materialize() belong to this job, and are deleted at its end, also after an error: its results must be
+    stored by then. Tables of other jobs, of a job around it, and of other threads stay."""
+    before, made = _MADE.get(), set()
+    _MADE.set(made)
+    try:
+        yield
+    finally:
+        for path in list(made):
+            _delete(spark, path)
+        _MADE.set(before)

@@ -13,7 +13,7 @@ from stallmap.jobs import pipeline
 from stallmap.operators import report
 from stallmap.sources import tables, text
 from stallmap.sources.bam import Bam
-from stallmap.storage import discard, materialize
+from stallmap.storage import discard, job, materialize
 from stallmap.streaming.pileup import running_pileup
 
 
@@ -105,12 +105,12 @@ def test_whole_job(spark, tmp_path):
     # The first base after the junction; its motif-less window is the genome's, whatever was spliced.
     assert rows["600"].rG4_structural_class == "Unknown" and rows["600"].rG4_intervals == "c1:541-601:+" and rows["600"].refseq_coding_regions == "3UTR"
     broken = {x.start: x.sequence_diagram.split("\n") for x in report.read_csv(spark, written[1]).collect()}
-    assert [x[:16] for x in broken["315"][1:]] == ["  rG4seq-K-rep1", "  rG4seq-K-rep2", "rG4seq-KPDS-rep1", "rG4seq-KPDS-rep2"] or len(broken["315"]) == 5
-    # The stored stages give the same sites again.
-    again = pipeline.Config(config.genome, config.annotations, config.samples, folder=config.folder, omit=("whitelister", "fsr_precompute"))
-    again.name, old = "sample", report.read_csv(spark, written[0]).collect()
-    got = pipeline.run(spark, pipeline.Config(again.genome, again.annotations, again.samples, omit=(), folder=None)).report()
-    assert {tuple(map(str, x)) for x in got.collect()} == {tuple(x) for x in old}
+    assert [x[:16] for x in broken["315"][1:]] == [f"{n:>16}" for n in ("rG4seq-K-rep1", "rG4seq-K-rep2", "rG4seq-KPDS-rep1", "rG4seq-KPDS-rep2")]
+    old = {tuple(x) for x in report.read_csv(spark, written[0]).collect()}
+    # The stored stages give the same sites again, and so does a run that stores none.
+    for more in ({"folder": config.folder, "omit": ("whitelister", "fsr_precompute")}, {"folder": None}):
+        got = pipeline.run(spark, pipeline.Config(config.genome, config.annotations, config.samples, **more)).report()
+        assert {tuple(map(str, x)) for x in got.collect()} == old
 
 
 def test_stages_are_read_again(spark, tmp_path):
@@ -194,6 +194,15 @@ def test_tables_between_stages_go(spark, tmp_path):
     assert os.path.isdir(folder)
     discard(df)
     assert not os.path.isdir(folder)
+    there = lambda x: os.path.isdir(x.stored_at.removeprefix("file://"))
+    other = materialize(spark.range(3), "x")
+    with pytest.raises(ZeroDivisionError), job(spark):
+        outer = materialize(spark.range(3), "x")
+        with job(spark):
+            inner = materialize(spark.range(3), "x")
+        assert there(outer) and not there(inner)
+        1 / 0
+    assert there(other) and not there(outer)  # what isn't the job's own stays
 
 
 def test_stream(spark, tmp_path):
