@@ -152,7 +152,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score,
     detections (start, stop, label, confidence; in order of start).
 
-    Null text: as an empty one. Without a detection: n_base 0, null first and last word, empty labels, score 0.
+    Very long texts are scanned whole. Null text: as an empty one. Without a detection: n_base 0, null first and last word, empty labels, score 0.
     score: the confidence of the surest detection that stays. Ties in place and priority go to the earlier
     rule. Repeated rows and null ids keep a row each. An empty table gives no rows. Other columns of docs are
     not looked at.

@@ -125,7 +125,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row for each row of docs: doc_id, source, size, source_size, target, taken, copies.
 
     size: words of the text, 0 for null. Null sources are one source, the last one. A source without words
-    has target 0. Repeated rows count each by itself; which of them gets a copy doesn't show in the result.
+    has target 0. Repeated rows count each by itself; which of them gets a copy doesn't show in the result. Of equal ranks
+    the smaller row number comes first. Very long texts are counted whole, and never move.
     An empty table gives no rows. Other columns of docs are not looked at.
     """
     rows = materialize(docs.select(row(id_col, text_col, source_col).alias("r")), "mix-rows")
@@ -138,9 +139,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **how) -> DataFrame:
     """The mix itself: each row of docs, with just its columns, as often as mix() allots it. Null and empty
-    cases are as there. Row numbers decide only between rows alike in id and size; docs should come from
+    cases are as there; very long texts move with their row. Row numbers decide only between rows alike in id and size; docs should come from
     stored files, so that these numbers stay the same from one read to the next."""
     rows = materialize(docs.select(row(id_col, text_col, source_col).alias("r")), "mix-rows")
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), row(id_col, text_col, source_col).alias("r"))
+    packed = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("doc"), row(id_col, text_col, source_col).alias("r"))
     got = allot(packed, "r", plan(rows, seed=seed, **how), seed).where("copies > 0")
     return got.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("nth")).select("doc.*")

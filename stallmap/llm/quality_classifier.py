@@ -90,7 +90,12 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model, from labels (doc_id, quality 0 or 1; other values and nulls don't count)."""
+    """The model, from labels (doc_id, quality 0 or 1; other values and nulls don't count).
+
+    Null and empty texts, and those of over FIT_CHARS characters, take no part; nor do null ids. Of more rows than FIT_ROWS a class those
+    with the least hashes are taken, so ties are broken alike on every run; repeated rows may be taken twice. Empty tables, and labels of
+    one class, give a model with one score for all. Other columns are not looked at.
+    """
     marks = labels.select(F.col("doc_id").alias("its"), F.col("quality").alias("mark")).where("its is not null and mark in (0, 1)")
     marks = marks.where(~held_out(F.col("its"))).distinct()
     chosen = [marks.where(F.col("mark") == c).orderBy(F.xxhash64("its"), "its").limit(2 * FIT_ROWS) for c in (0, 1)]
@@ -115,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted (1 if score >= CUT).
 
-    Null text: as an empty one, which has no difference in size and gets the curve's value at 0. Without
+    Very long texts are scored whole. Null text: as an empty one, which has no difference in size and gets the curve's value at 0. Without
     labels of both classes all scores are alike. Repeated rows and null ids keep a row each. An empty table
     gives no rows. Other columns of docs are not looked at.
     """
@@ -131,7 +136,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs with a score of CUT or more, with all their columns and no others."""
+    """The rows of docs with a score of CUT or more, with all their columns and no others. Null and empty texts are scored as in
+    score(); very long ones are scored whole, piece by piece. Repeated rows stay or go together. An empty table gives no rows."""
     at = docs.columns.index(text_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -108,7 +108,7 @@ def log_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
 def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: doc_id, the counts of features(), base_failed, ratio, kept.
 
-    Null text: as an empty one, without words, so it fails. Without any trusted document every ratio is 0 and
+    Null text: as an empty one, without words, so it fails. Very long texts are counted whole. A ratio equal to the threshold stays. Without any trusted document every ratio is 0 and
     the counts alone decide. Repeated rows and null ids keep a row each. An empty table gives no rows. Other
     columns of docs are not looked at.
     """
@@ -130,7 +130,8 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def kept(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns and no others; documents aren't shuffled."""
+    """The rows of docs that judge() keeps, with all their columns and no others; documents aren't shuffled.
+    Nulls, ties, long texts and empty tables are as in judge(); columns of any name stay."""
     weights = log_weights(docs, trusted, id_col, text_col).astype(np.float32)
     at = docs.columns.index(text_col)
 

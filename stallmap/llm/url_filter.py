@@ -85,7 +85,8 @@ def judge(
 
     listed: a column url of canonical URLs; nulls and repeats in it don't count. The verdict is that of the
     longest fitting rule, else block for a listed URL, else allow. Null URLs and those without :// have an
-    empty host and path, fit no rule, and are allowed unless '' is listed. Repeated rows keep a row each.
+    empty host and path, fit no rule, and are allowed unless '' is listed. Of rules that fit equally long there are none, as a host and path are one rule. Repeated rows
+    keep a row each. Very long URLs are looked at whole. An empty table gives no rows. Other columns of pages are not looked at.
     """
     listed = materialize(listed.select("url").where("url is not null").distinct(), "url-list")
     blocks = min(MAX_BLOCKS, max(1, -(-listed.count() * BITS_A_URL // (64 * WORDS))))

@@ -361,7 +361,8 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "pa
 
 def page_records(pages: DataFrame, folder: str | None = None, **how) -> DataFrame:
     """Writes pages as archives and reads them back: page_id, payload_bytes, payload_digest, record_type,
-    refers_to. Responses are measured on the payload that was read; of revisits only headers are read."""
+    refers_to. Responses are measured on the payload that was read; of revisits only headers are read.
+    Nulls, ties, repeated rows and empty tables are as in archive(); a very long payload is one record, which a task holds."""
     spark = pages.sparkSession
     # Archives are written by another library than Spark's, which must find the same folder.
     path = qualified(spark, folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")

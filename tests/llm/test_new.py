@@ -10,10 +10,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stallmap.llm import fill_middle, hard_negatives, queries, window_packing
+from stallmap.llm import fill_middle, hard_negatives, quality_classifier, queries, window_packing
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -271,3 +272,32 @@ def test_a_very_long_text_is_cut_into_windows(spark):
     docs = spark.createDataFrame([(1, "of the " * 200_000), (2, "x"), (3, "z" * 300_000)], "doc_id long, text string")
     rows = window_packing.pack(docs, VOCABULARY).withColumn("ids_crc32", F.crc32("ids")).collect()
     check_packing(rows, [(r.doc_id, r.text) for r in docs.collect()], 2048)
+
+
+# ---- quality classifier ----
+
+
+def test_scores_are_those_of_plain_compression(spark, odd_docs, words):
+    """Scores from the definition: sizes under both dictionaries, piece by piece, then the logistic curve, whose fit is checked by its slope of loss."""
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice(words) for _ in range(60))) if i % 3 else (i, " ".join(r.choice("#|!%") * 3 + r.choice(words).upper() for _ in range(50))) for i in range(400)]
+    docs += [(900, "x" * 1_500_000), (901, "word é " * 200_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id long, quality int")
+    model = quality_classifier.fit(df, labels)
+
+    def size(data: bytes, dictionary: bytes) -> int:
+        press = zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False, write_checksum=False)
+        step = quality_classifier.PIECE
+        return sum(len(press.compress(data[k : k + step])) for k in range(0, len(data), step))
+
+    def brute(text: str | None) -> float:
+        data = (text or "").encode()
+        x = (size(data, model.bad) - size(data, model.good)) / max(1, len(data))
+        return 1 / (1 + math.exp(-(model.slope * x + model.offset)))
+
+    own = {x.doc_id: x for x in quality_classifier.score(df, model).collect()}
+    for i, t in docs[::7] + docs[-2:]:
+        assert own[i].score == pytest.approx(brute(t), abs=1e-9) and own[i].predicted == int(own[i].score >= 0.7) and own[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    odd = Counter((x.doc_id, round(x.score, 9)) for x in quality_classifier.score(odd_docs, model).collect())
+    assert odd == Counter((x.doc_id, round(brute(x.text), 9)) for x in odd_docs.collect())
