@@ -32,29 +32,31 @@ LEAST, MOST = 50, 95
 #: Candidates of a part (fewer if they have many components), and anchors of a block.
 PART, PART_BYTES, BLOCK = 4096, 8 << 20, 1024
 BUCKETS = 64
-#: Components that are multiplied in one go; primes stay below 2 * sqrt(2 ** 24 / COLUMNS).
-COLUMNS = 256
+#: Components that are multiplied in one go; primes stay below 2 * sqrt(2 ** 24 / columns). With few columns there are more
+#: primes, enough for the products of any doubles.
+COLUMNS, FEW_COLUMNS = 256, 16
 _LIMIT = (1 << 63) - 1
 _NONE = -(1 << 63)
 _ROW = "row long, vec_id long, label int, dim int, norm double, v binary"
 
 
-def primes(most: int = 2 * math.isqrt((1 << 24) // COLUMNS)) -> list[int]:
-    """Primes below most, largest first: 97 of them below 512, whose product has over 650 bits."""
+def primes(columns: int = COLUMNS) -> list[int]:
+    """Odd primes, largest first, whose residues' products over so many columns float32 adds up exactly."""
+    most = 2 * math.isqrt((1 << 24) // columns)
     return [n for n in range(most - 1, 2, -1) if all(n % d for d in range(2, math.isqrt(n) + 1))]
 
 
-def _needed(bound: float) -> list[int]:
-    """Primes whose product is over twice the bound."""
-    product, out, whole = 1, [], 2 * int(bound * (1 + 1e-9)) + 3
-    for p in primes():
-        if product > whole:
-            return out or [p]
-        product *= p
-        out.append(p)
-    if product <= whole:
-        raise OverflowError("vectors are too long for the primes at hand")
-    return out
+def _needed(bound: float) -> tuple[list[int], int]:
+    """Primes whose product is over twice the bound, and the columns that they allow."""
+    whole = 2 * int(bound * (1 + 1e-9) if isinstance(bound, float) else bound) + 3
+    for columns in (COLUMNS, FEW_COLUMNS):
+        product, out = 1, []
+        for p in primes(columns):
+            product *= p
+            out.append(p)
+            if product > whole:
+                return out, columns
+    raise OverflowError("no product of doubles is that long")
 
 
 def residues(a: np.ndarray, p: int) -> np.ndarray:
@@ -68,13 +70,13 @@ def residues(a: np.ndarray, p: int) -> np.ndarray:
 def products(q: np.ndarray, p: np.ndarray, bound: float) -> np.ndarray:
     """Exact inner products of all rows of q and p, whole numbers in doubles, none above the bound: longs, or integers of any
     length as objects where the primes that the bound needs don't fit in 62 bits."""
-    base, out, digits = _needed(bound), None, []
+    (base, columns), out, digits = _needed(bound), None, []
     wide = math.prod(base).bit_length() > 62
     for k, prime in enumerate(base):
         total = np.zeros((len(q), len(p)), np.int32)
         a, b = residues(q, prime), residues(p, prime)
-        for at in range(0, q.shape[1], COLUMNS):
-            total += (a[:, at : at + COLUMNS] @ b[:, at : at + COLUMNS].T).astype(np.int32) % prime
+        for at in range(0, q.shape[1], columns):
+            total += (a[:, at : at + columns] @ b[:, at : at + columns].T).astype(np.int32) % prime
         digit = total.astype(np.int64)
         # What the digits so far leave of the residue, in units of the primes so far.
         for own, d in zip(base[:k], digits):

@@ -37,8 +37,8 @@ GROUP = 16_384
 KNOWN, LONG_WORD = 300_000, 48
 #: Where letters end that may be looked at one by one, and the marks that may stand behind them.
 LATIN, _MARKS = 0x250, ".,;:!?#$%&*"
-#: Documents that are encoded before their ids go on.
-AT_ONCE = 1024
+#: Documents, and about how many bytes of their texts, that are encoded before their ids go on.
+AT_ONCE, BYTES_AT_ONCE = 1024, 8 << 20
 
 
 class Capacities:
@@ -196,8 +196,11 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, step = _encoder(tokenizer), 4 * window
         for whole in it:
-            for at in range(0, whole.num_rows, AT_ONCE):
-                b = whole.slice(at, AT_ONCE)
+            size, at = np.cumsum(pc.fill_null(pc.binary_length(whole.column(2)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            while at < whole.num_rows:
+                most = np.searchsorted(size, (size[at - 1] if at else 0) + BYTES_AT_ONCE, side="right")
+                b = whole.slice(at, max(1, min(AT_ONCE, int(most) - at)))
+                at += b.num_rows
                 texts = [x or b"" for x in b.column(2).cast(pa.large_binary()).to_pylist()]
                 of, start, ids, total = [], [], [], []
                 for k, found in enumerate(encoder.ids(texts)):

@@ -77,24 +77,31 @@ def test_scores_longer_than_a_long(spark):
     assert any(x[4] == 2**63 - 1 for x in got)
 
 
-@pytest.mark.parametrize("most", [1, 300, 40_000, 2**31, 2**52, 2.0**90])
+@pytest.mark.parametrize("most", [1, 300, 40_000, 2**31, 2**52, 2.0**90, 2.0**1022])
 def test_products_of_residues_are_exact(most):
     rng = np.random.default_rng(int(most) % 97)
     q, p = (np.floor(rng.uniform(-most, most, size=(n, 700))) for n in (4, 9))
     q[0], p[0], p[1] = most, most, -most  # the largest and smallest scores that there are
     exact = [[sum(int(x) * int(y) for x, y in zip(a, b)) for b in p] for a in q]
-    bound = float(np.linalg.norm(q, axis=1).max() * np.linalg.norm(p, axis=1).max())
+    bound = float(np.linalg.norm(q, axis=1).max() * np.linalg.norm(p, axis=1).max()) if most < 1e30 else 700 * int(most) ** 2
     assert hard_negatives.products(q, p, bound).tolist() == exact
 
 
 def test_sums_of_residues_fit_float32():
-    assert all(hard_negatives.COLUMNS * (p // 2) ** 2 < 1 << 24 for p in hard_negatives.primes())
+    assert all(n * (p // 2) ** 2 < 1 << 24 for n in (hard_negatives.COLUMNS, hard_negatives.FEW_COLUMNS) for p in hard_negatives.primes(n))
     a = np.array([[-1e300, 1e300, -513.0, 513.0, 2.0**60 + 2**10]])
     for p in hard_negatives.primes()[:4]:
         own = hard_negatives.residues(a, p)[0]
         assert all(abs(x) <= p // 2 and (int(x) - int(y)) % p == 0 for x, y in zip(own, a[0]))
 
 
+def test_doubles_of_any_size_take_part(spark):
+    r = random.Random(5)
+    rows = [(i, [r.choice([1e305, 1e100, 5.0]) * r.uniform(0.2, 1) for _ in range(4)], i % 3) for i in range(40)] + [(40, [1.7e308] * 4, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert mined(df, 10) == brute_negatives(rows[:-1], 10, 7, 10, 5, 3)  # the last row's scaled components are beyond a double
+
+
 def test_exceeding_scores_sort_as_numbers():
     scores = sorted([2**63 - 1, 2**63, 2**64, 10**30, 10**30 + 1, 9 * 10**29])
     texts = [hard_negatives._exceeding(s) for s in scores]
@@ -255,7 +262,8 @@ def check_packing(rows, docs, window):
 
 
 @pytest.mark.parametrize("group", [15, 10_000])
-def test_window_packing(spark, odd_docs, no_docs, group):
+def test_window_packing(spark, odd_docs, no_docs, group, monkeypatch):
+    monkeypatch.setattr(window_packing, "BYTES_AT_ONCE", group)
     odd = odd_docs.withColumns({"row": F.lit(1), "length": F.lit("x"), "grp": F.lit(None), "ids": F.lit(2)})
     got = window_packing.pack(odd, VOCABULARY, window=256, group=group).withColumn("ids_crc32", F.crc32("ids"))
     check_packing(got.collect(), [(r.doc_id, r.text) for r in odd_docs.collect()], 256)
