@@ -72,12 +72,12 @@ def sorted_pileup(blocks: DataFrame, sample: Sequence[str] = ("cond", "rep")) ->
 
     def put(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames))
-        ends, rows = rows["contig"].isna().any(), rows[rows["contig"].notna()]
+        ends, rows = rows["contig"].isna().any(), rows[rows["contig"].notna()].assign(minus=lambda x: x["strand"] == "-")
         rank, contig, front, held = state.get if state.exists else (-1, None, 0, b"")
         kept = np.frombuffer(held, np.int64).reshape(-1, len(_NUMBERS))
         if len(rows):
             first = rows.sort_values(["rank", "at"]).iloc[0]
-            if (first["rank"], first["at"]) < (rank, front) if contig is not None else False:
+            if contig is not None and (first["rank"], first["at"]) < (rank, front):
                 raise ValueError(f"{key}: a read at {first['contig']}:{first['at']} comes after {contig}:{front}")
         found = []
 
@@ -90,9 +90,9 @@ def sorted_pileup(blocks: DataFrame, sample: Sequence[str] = ("cond", "rep")) ->
             if contig is not None and r != rank:
                 give(contig, settled(kept, None)[0])
                 kept = kept[:0]
-            minus = (own["strand"] == "-").to_numpy()
-            begin = np.where(own["ord"] == 1, np.where(minus, own["end"] - 1, own["start"]), _GIVEN)
-            new = np.stack([own["start"], own["end"], begin, minus], axis=1).astype(np.int64)
+            start, end, minus = (own[c].to_numpy().astype(np.int64) for c in ("start", "end", "minus"))
+            begin = np.where(own["ord"] == 1, np.where(minus == 1, end - 1, start), np.int64(_GIVEN))
+            new = np.stack([start, end, begin, minus], axis=1)
             rank, contig, front = int(r), own["contig"].iloc[0], int(own["at"].max())
             done, kept = settled(np.concatenate([kept, new]), front)
             give(contig, done)
