@@ -125,8 +125,8 @@ class Classes:
         self.bits = [np.uint64(sum(1 << i for i in range(c, width, n))) for c in range(n)]
 
     @classmethod
-    def sized(cls, variants: int, width: int, half: int) -> Classes:
-        return cls(width, half, min(MOST_CLASSES, max(0, math.ceil(math.log2(max(1, variants / GROUP))))))
+    def sized(cls, variants: int, width: int, half: int, group: int | None = None) -> Classes:
+        return cls(width, half, min(MOST_CLASSES, max(0, math.ceil(math.log2(max(1, variants / (group or GROUP)))))))
 
     def parity(self, fps: np.ndarray) -> np.ndarray:
         out = np.zeros(len(fps), np.uint32)
@@ -268,8 +268,11 @@ def link(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_
 #: 0.85 98, by simulation of independent bits.
 SIG_WORDS, WORDS, WIDTH, RADIUS, LIMIT, SIMILAR = 4, 32, 32, 2, 20, 0.8
 #: Members of a variant up to which all their pairs are looked at where they meet. Of larger ones each member first gets the
-#: nearest of WINDOW others; the rest are looked at once it is known which belong together, PIECE against PIECE.
-FEW, WINDOW, PIECE = 16, 16, 4096
+#: nearest of WINDOW others; the rest are looked at once it is known which belong together, about PIECE texts in a group.
+FEW, WINDOW, PIECE = 16, 16, 1 << 14
+#: Candidates of a text in a group up to which all of them are rows; pairs that are held against each other at once; single texts
+#: that a text asks one by one.
+PAIRS, AT_ONCE, ASKED = 3, 1 << 20, 64
 #: How many of a text's nearest candidates are verified in a round, before all that still are apart.
 NEAREST = (1, 16)
 #: Bits of the whole signature in which texts of a similarity of 0.8 differ at most: 38 of 256 on average, with a deviation of 6.
@@ -309,8 +312,8 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _pairs(name: np.ndarray, check: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Members of variants (where each begins, and how many it has) -> pairs that aren't far, and their distances: all
-    those of variants with FEW members at most; of others each member with the nearest of the least one and the WINDOW
-    before it."""
+    those of variants with FEW members at most; of others each member, once, with the nearest of the least one and the WINDOW
+    before it in any of them."""
     here, a, b, away = np.arange(len(name)), [], [], []
 
     def put(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> None:
@@ -332,27 +335,55 @@ def _pairs(name: np.ndarray, check: np.ndarray, begin: np.ndarray, size: np.ndar
         d = _distance(check[other[own]], check[large[own]])
         better = d < best[own]
         best[own[better]], partner[own[better]] = d[better], other[own[better]]
-    put(partner, large, best)
+    # A member of a family is in most of its variants with the same others.
+    order = np.lexsort((best, name[large]))
+    order = order[np.insert(np.diff(name[large][order]) != 0, 0, True)[: len(order)]]
+    put(partner[order], large[order], best[order])
     a, b, away = np.concatenate(a), np.concatenate(b), np.concatenate(away)
     # The same two may meet in many variants.
     both, first = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True) if len(a) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
     return both[0], both[1], away[first]
 
 
-def meetings(sigs: DataFrame) -> DataFrame:
-    """sigs: node (distinct longs), sig (binary of SIG_WORDS 64-bit words), size (its _size_step), materialised -> a, b, check, away. Rows
-    with a null check are candidates, at a distance. The others are the members b, with their checks, of variants a of
-    more than FEW. A check is the first 56 bits of the signature and the size."""
+def _width() -> tuple[int, int]:
+    """Half the radius of the choices' balls, and the number of variants in one."""
     half = (RADIUS + 1) // 2
-    classes = Classes.sized(sigs.count() * sum(math.comb(WIDTH, k) for k in range(half + 1)), WIDTH, half)
+    return half, sum(math.comb(WIDTH, k) for k in range(half + 1))
+
+
+def _with_words(*numbers: str) -> Column:
+    """sig, and numbers as further words of 64 bits."""
+    return F.concat("sig", *[F.unhex(F.lpad(F.hex(n), 16, "0")) for n in numbers]).alias("sig")
+
+
+def _thinned(a: np.ndarray, b: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs a group puts out, and the texts whose others it doesn't: all pairs of texts with PAIRS at most, and the nearest
+    one of any text. What is left out is between two texts of the second kind."""
+    if not len(a):
+        return np.zeros(0, bool), a
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    busy = np.bincount(at, minlength=len(names)) > PAIRS
+    keep = ~(busy[x] & busy[y])
+    order = np.lexsort((np.tile(away, 2), at))
+    keep[order[np.insert(np.diff(at[order]) != 0, 0, True)] % len(a)] = True
+    return keep, names[busy]
+
+
+def meetings(sigs: DataFrame) -> DataFrame:
+    """sigs: node (distinct longs), sig (binary of SIG_WORDS 64-bit words), size (its _size_step), materialised -> a, b, away:
+    candidates and their distances. Rows with a null distance name, as a and b, a text of variants of more than FEW or with more than PAIRS
+    candidates: a row for each group that it comes to, none for a variant. Candidates that aren't rows are between two such texts, and
+    crossing() finds them again. A check is the first 56 bits of the signature and the size."""
+    half, ball = _width()
+    classes = Classes.sized(sigs.count() * ball, WIDTH, half)
     which_bits = choices()
 
     def fields(names: np.ndarray, bits: np.ndarray) -> tuple:
         fps = chosen_bits(bits[:, :SIG_WORDS], which_bits)
         return fps, [names, bits[:, 0] >> np.uint64(8) << np.uint64(8) | bits[:, SIG_WORDS], fps.astype(np.uint32)]
 
-    sized = sigs.select("node", F.concat("sig", F.unhex(F.lpad(F.hex("size"), 16, "0"))).alias("sig"))
-    packed = _packed(sized, classes, WORDS, fields)
+    packed = _packed(sigs.select("node", _with_words("size")), classes, WORDS, fields)
 
     def meet(rows: pa.Table) -> pa.Table:
         which, name, check, fps = _unpacked(rows["entries"].to_pylist(), [np.uint16, np.int64, np.uint64, np.uint32])
@@ -361,47 +392,104 @@ def meetings(sigs: DataFrame) -> DataFrame:
         size = np.bincount(begin, minlength=len(at))[begin] if len(at) else begin
         own = whose[at]
         a, b, away = _pairs(name[own], check[own], begin, size)
-        large = np.flatnonzero(size > FEW)
-        word = np.int64(rows["grp"][0].as_py() >> classes.t)
-        label = variants[at][large].view(np.int64) | (word << np.int64(WIDTH))
-        checks = pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(check[own][large].view(np.int64))])
-        away = np.concatenate([away, np.zeros(len(large), np.int16)])
-        return pa.table({"a": np.concatenate([a, label]), "b": np.concatenate([b, name[own][large]]), "check": checks, "away": away})
-
-    return packed.groupBy("grp").applyInArrow(meet, "a long, b long, check long, away short")
-
-
-def across(crowds: DataFrame, roots: DataFrame, nearest: int) -> DataFrame:
-    """crowds (a: a variant of many, b: a member, check), roots (node, root: what belongs together already) -> a, b, away:
-    of each member so many of the nearest ones in a piece that it doesn't belong together with. Variants whose members all do, such as those of copies,
-    are passed over; those of the others are dealt into pieces, and each two pieces meet in a task of their own."""
-    named = crowds.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    named = materialize(named, "simhash-crowds")
-    mixed = named.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    dealt = named.join(mixed.select("a", pieces.alias("pieces")), "a").withColumn("own", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int"))
+        keep, busy = _thinned(a, b, away)
+        a, b, away = a[keep], b[keep], away[keep]
+        crowd = np.unique(np.concatenate([name[own[size > FEW]], busy]))
+        away = pa.chunked_array([pa.array(away, pa.int16()), pa.nulls(len(crowd), pa.int16())])
+        return pa.table({"a": np.concatenate([a, crowd]), "b": np.concatenate([b, crowd]), "away": away})
+
+    return packed.groupBy("grp").applyInArrow(meet, "a long, b long, away short")
+
+
+def _different(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Columns without repeated rows."""
+    order = np.lexsort(columns)
+    columns = tuple(c[order] for c in columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return tuple(c[new] for c in columns)
+
+
+def crossing(crowd: DataFrame) -> DataFrame:
+    """crowd (node, sig, size: the texts that meetings() names, root, members: the component and how many that has), materialised -> node,
+    root: those that come near a text of another component, and that component, as in asking(). The texts meet anew by their
+    variants, within a task. In small variants all pairs are looked at; in large ones each component but the largest is held against the
+    rest, once for variants of the same texts. Groups of far more texts than PIECE are dealt into pieces, and each two
+    pieces meet in a task of their own."""
+    half, ball = _width()
+    classes = Classes.sized(crowd.count() * ball, WIDTH, half, PIECE * ball)
+    which_bits, kind = choices(), f"V{8 * (SIG_WORDS + 3)}"
+
+    def fields(names: np.ndarray, bits: np.ndarray) -> tuple:
+        return chosen_bits(bits[:, :SIG_WORDS], which_bits), [names, np.ascontiguousarray(bits).view(kind)[:, 0]]
+
+    packed = materialize(_packed(crowd.select("node", _with_words("size", "root", "members")), classes, WORDS, fields), "simhash-crowds")
+    entry = 2 + 8 + np.dtype(kind).itemsize
+    pieces = packed.groupBy("grp").agg(F.ceil(F.sum(F.length("entries")) / (2 * PIECE * entry)).cast("int").alias("pieces"))
+    dealt = packed.join(pieces, "grp").withColumn("own", F.pmod(F.xxhash64("entries"), F.col("pieces")).cast("int"))
     spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-    spread = spread.select("a", "b", "check", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    spread = spread.select("grp", "entries", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def meet(rows: pa.Table) -> pa.Table:
-        name, check, root, own = (rows[c].to_numpy() for c in ("b", "check", "root", "own"))
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        left, right, check = np.flatnonzero(own == i), np.flatnonzero(own == j), check.view(np.uint64)
-        a, b, away = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
-        for x in left.tolist():
-            d = np.where(root[right] != root[x], _distance(check[right], check[x]), FAR)
-            at = np.flatnonzero(d < FAR)
-            at = at[np.argsort(d[at], kind="stable")[:nearest]]
-            a.append(np.minimum(name[right[at]], name[x]))
-            b.append(np.maximum(name[right[at]], name[x]))
-            away.append(d[at].astype(np.int16))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "away": np.concatenate(away)})
-
-    return spread.groupBy("a", "i", "j").applyInArrow(meet, "a long, b long, away short").distinct()
-
-
-def asking(pairs: DataFrame, crowds: DataFrame, sigs: DataFrame, sized: DataFrame) -> DataFrame:
-    """pairs (a, b), crowds (a: a variant of many, b: a member, check), sigs (node, sig), sized (node, root, size: its component and how many
+        entries = rows["entries"].to_pylist()
+        own = np.repeat(rows["own"].to_numpy(), [len(x) // entry for x in entries])
+        one = rows["i"][0].as_py() == rows["j"][0].as_py()
+        which, name, bits = _unpacked(entries, [np.uint16, np.int64, kind])
+        bits = bits.view(np.uint64).reshape(len(name), -1)
+        sig, check = bits[:, :SIG_WORDS], bits[:, 0] >> np.uint64(8) << np.uint64(8) | bits[:, SIG_WORDS]
+        root, members = bits[:, SIG_WORDS + 1].astype(np.int64), bits[:, SIG_WORDS + 2].astype(np.int64)
+        word = rows["grp"][0].as_py() >> classes.t
+        variants, whose = classes.variants(chosen_bits(sig, which_bits[word : word + 1])[:, 0], which)
+        at, begin = _meetings(variants, whose)
+        who, here = whose[at], np.arange(len(at))
+        size = np.bincount(begin, minlength=len(at))[begin] if len(at) else begin
+        node, target, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            found = (root[a] != root[b]) & (_distance(check[a], check[b]) < FAR)
+            return found if one else found & (own[a] != own[b])  # those of one piece meet in another task
+
+        def put(a: np.ndarray, b: np.ndarray) -> None:
+            less = (members[a] < members[b]) | (members[a] == members[b]) & (root[a] < root[b])
+            found = _different(np.where(less, name[a], name[b]), np.where(less, root[b], root[a]))
+            node.append(found[0])
+            target.append(found[1])
+            if len(node) > 256:
+                node[:], target[:] = ([x] for x in _different(np.concatenate(node), np.concatenate(target)))
+
+        small = np.flatnonzero(size <= FEW)
+        for k in range(1, FEW):
+            small = small[here[small] - begin[small] >= k]
+            for start in range(0, len(small), AT_ONCE):
+                x = small[start : start + AT_ONCE]
+                a, b = who[x - k], who[x]
+                found = near(a, b)
+                put(a[found], b[found])
+        for s in np.flatnonzero((begin == here) & (size > FEW)).tolist():
+            m = who[s : s + size[s]]
+            key = xxhash.xxh3_128_digest(m.tobytes())
+            roots, n = np.unique(root[m], return_counts=True)
+            if len(roots) == 1 or key in seen:
+                continue
+            seen.add(key)
+            left = m[root[m] != roots[np.argmax(n)]]
+            step = max(1, AT_ONCE // len(m))
+            for k in range(0, len(left), step):
+                x = left[k : k + step]
+                a, b = np.nonzero(near(x[:, None], m[None, :]))
+                a, b = x[a], m[b]
+                found = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int64) <= WHOLE_LIMIT
+                put(a[found], b[found])
+        node, target = _different(np.concatenate(node), np.concatenate(target))
+        return pa.table({"node": node, "root": target})
+
+    return spread.groupBy("grp", "i", "j").applyInArrow(meet, "node long, root long")
+
+
+def asking(pairs: DataFrame, crowd: DataFrame, sigs: DataFrame, sized: DataFrame) -> DataFrame:
+    """pairs (a, b), crowd (node: the texts that meetings() names), sigs (node, sig, size), sized (node, root, size: its component and how many
     that has) -> node, root: the components that a text may belong to, as it comes near one of their texts. Of two components the texts of the
     smaller one ask. So a text near many of a large component asks once."""
     of = lambda x: sized.select(F.col("node").alias(x), F.struct(F.col("size"), F.col("root")).alias(f"of_{x}"))
@@ -409,53 +497,29 @@ def asking(pairs: DataFrame, crowds: DataFrame, sigs: DataFrame, sized: DataFram
     both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", alone("a").alias("of_a"), alone("b").alias("of_b")).where("of_a.root != of_b.root")
     less = F.col("of_a") < F.col("of_b")
     own = both.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(less, F.col("of_b.root")).otherwise(F.col("of_a.root")).alias("root")).distinct()
-    if crowds.isEmpty():
-        return own
-    named = crowds.select("a", "b", "check").join(of("b"), "b", "left").select("a", "b", "check", alone("b").alias("of"))
-    named = materialize(named.select("a", "b", "check", "of.root", "of.size"), "simhash-crowds")
-    mixed = named.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    dealt = named.join(mixed.select("a", pieces.alias("pieces")), "a").withColumn("own", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int"))
-    dealt = dealt.join(sigs.select(F.col("node").alias("b"), "sig"), "b")
-    spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-    spread = spread.select("a", "b", "check", "root", "size", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rooted = sigs.join(crowd, "node", "left_semi").join(of("node"), "node", "left").select("node", "sig", "size", alone("node").alias("of"))
+    rooted = materialize(rooted.select("node", "sig", "size", "of.root", F.col("of.size").alias("members")), "simhash-crowd")
+    return own if rooted.isEmpty() else own.unionByName(crossing(rooted)).distinct()
 
-    def meet(rows: pa.Table) -> pa.Table:
-        name, check, root, size, own = (rows[c].to_numpy() for c in ("b", "check", "root", "size", "own"))
-        sig, check = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint64).reshape(len(name), -1), check.view(np.uint64)
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        node, target, asked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
-        for x in left.tolist():
-            near = right[(root[right] != root[x]) & (_distance(check[right], check[x]) < FAR)]
-            near = near[np.bitwise_count(sig[near] ^ sig[x]).sum(axis=1, dtype=np.int64) <= WHOLE_LIMIT]
-            larger = (size[near] > size[x]) | (size[near] == size[x]) & (root[near] > root[x])
-            to = np.unique(root[near[larger]])
-            node.append(np.full(len(to), name[x]))
-            target.append(to)
-            if not larger.all():
-                asked.setdefault(int(root[x]), np.zeros(len(name), bool))[near[~larger]] = True
-        for to, who in asked.items():
-            node.append(name[who])
-            target.append(np.full(int(who.sum()), to))
-        return pa.table({"node": np.concatenate(node), "root": np.concatenate(target)})
-
-    return own.unionByName(spread.groupBy("a", "i", "j").applyInArrow(meet, "node long, root long")).distinct()
 
-
-def _closest(texts: list[np.ndarray], members: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """For each of the texts that is similar enough to a member: its place, and that of the most similar one. Over an index of all
-    the members' shingles, so that a text is compared with all of them at once."""
+def _alike(texts: list[np.ndarray], members: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each of the texts its similarity to all members, over an index of the members' shingles, so that a text is compared with all
+    of them at once."""
     sizes = np.array([len(m) for m in members])
     shingles, owner = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
     order = np.argsort(shingles, kind="stable")
     shingles, owner = shingles[order], owner[order]
-    for k, x in enumerate(texts):
+    for x in texts:
         first = np.searchsorted(shingles, x, side="left")
         n = np.searchsorted(shingles, x, side="right") - first
         at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
         both = np.bincount(owner[at], minlength=len(members))
-        alike = both / np.maximum(len(x) + sizes - both, 1)
+        yield both / np.maximum(len(x) + sizes - both, 1)
+
+
+def _closest(texts: list[np.ndarray], members: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """For each of the texts that is similar enough to a member: its place, and that of the most similar one."""
+    for k, alike in enumerate(_alike(texts, members)):
         best = int(np.argmax(alike))
         if alike[best] >= SIMILAR:
             yield k, best
@@ -483,6 +547,41 @@ def joined(asks: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     return own.unionByName(other).join(sets.withColumnRenamed("n", "node"), "node").groupBy("root", "m", "a").applyInArrow(meet, "a long, b long")
 
 
+def families(few: DataFrame) -> DataFrame:
+    """few (a, b): texts that ask single ones -> node, family: those of the asks of texts with over ASKED of them, by component. The others are in
+    proportion to the texts."""
+    ends = few.select(F.col("a").alias("node")).unionByName(few.select(F.col("b").alias("node")))
+    busy = materialize(ends.groupBy("node").count().where(F.col("count") > ASKED).select("node"), "simhash-busy")
+    if busy.isEmpty():
+        return busy.select("node", F.col("node").alias("family"))
+    of = lambda x: few.join(busy.withColumnRenamed("node", x), x, "left_semi").select("a", "b")
+    return components(of("a").unionByName(of("b"))).withColumnRenamed("root", "family")
+
+
+def within(kin: DataFrame, sets: DataFrame) -> DataFrame:
+    """kin (node, family), sets (n, shingles) -> a, b: links that connect whatever the pairs of a family that are similar enough connect. A family
+    is dealt into parts, and each two parts meet in a task of their own: there is a row for a text and part, none for a pair."""
+    grid = kin.groupBy("family").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = kin.join(grid, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    spread = spread.select("family", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        name, own = rows["node"].to_numpy(), rows["own"].to_numpy()
+        found = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+        left, right = np.flatnonzero(own == rows["i"][0].as_py()), np.flatnonzero(own == rows["j"][0].as_py())
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(left) and len(right):
+            for k, alike in zip(left.tolist(), _alike([found[k] for k in left], [found[k] for k in right])):
+                near = right[alike >= SIMILAR]
+                a.append(np.full(len(near), name[k]))
+                b.append(name[near])
+        a, b = spanning(np.concatenate(a), np.concatenate(b))
+        return pa.table({"a": a, "b": b})
+
+    return spread.join(sets.withColumnRenamed("n", "node"), "node").groupBy("family", "i", "j").applyInArrow(meet, "a long, b long")
+
+
 def _named(docs: DataFrame, shingle: int) -> DataFrame:
     """docs (id, text, k1, k2) -> id, k1, k2, sig, same: binary, alike for equal sets of shingles, size: their _size_step."""
 
@@ -534,28 +633,33 @@ def similar(met: DataFrame, sigs: DataFrame, sets_of) -> DataFrame:
     """met: meetings(), materialised; sigs: its input -> node, root: components of the candidates that are similar enough. A round each
     verifies NEAREST pairs of each node. What then still is apart is settled between texts and components: a text asks each component
     near which it comes, and is held against all its members, so that neither a large group of near copies nor what lies just outside it makes pairs.
+    Single texts that ask many others are held against their whole family.
     sets_of(pairs): node's sets of shingles (n, shingles)."""
-    pairs, crowds = met.where("check is null").select("a", "b", "away").distinct(), met.where("check is not null")
-    crowded = not crowds.isEmpty()
+    pairs, crowd = materialize(met.where("away is not null").distinct(), "simhash-pairs"), met.where("away is null").select(F.col("a").alias("node"))
 
     def verified(chosen: DataFrame) -> DataFrame:
         chosen = materialize(chosen, "simhash-chosen")
         return materialize(_verified(chosen, sets_of(chosen)), "simhash-links")
 
-    def apart(roots: DataFrame, nearest: int) -> DataFrame:
+    def apart(roots: DataFrame) -> DataFrame:
         of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-        own = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "away")
-        return own.unionByName(across(crowds, roots, nearest)).distinct() if crowded else own
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "away")
 
     links = verified(_nearest(pairs, NEAREST[0]))
     for most in NEAREST[1:]:
-        links = links.unionByName(verified(_nearest(apart(components(links), max(1, most // 4)), most)))
+        links = links.unionByName(verified(_nearest(apart(components(links)), most)))
     roots = components(links)
     sized = materialize(roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", "root", "size"), "simhash-sized")
-    asks = materialize(asking(pairs.select("a", "b"), crowds, sigs, sized), "simhash-asks")
+    asks = materialize(asking(pairs.select("a", "b"), crowd, sigs, sized), "simhash-asks")
     # Components that aren't in `sized` are single texts.
     few = asks.join(sized.where(F.col("size") > SINGLE).select("root").distinct(), "root", "left_anti")
     few = few.join(sized.select(F.col("node").alias("b"), "root"), "root", "left").select(F.col("node").alias("a"), F.coalesce("b", "root").alias("b"))
+    few = materialize(few, "simhash-few")
+    kin = materialize(families(few), "simhash-kin")
+    if not kin.isEmpty():
+        links = links.unionByName(materialize(within(kin, sets_of(kin.select(F.col("node").alias("a"), F.col("node").alias("b")))), "simhash-links"))
+        of = lambda x: kin.select(F.col("node").alias(x), F.col("family").alias(f"of_{x}"))
+        few = few.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not coalesce(of_a = of_b, false)").select("a", "b")
     links = links.unionByName(verified(few))
     many = sized.where(F.col("size") > SINGLE).join(asks.select("root").distinct(), "root", "left_semi")
     own = materialize(asks.join(many.select("root").distinct(), "root", "left_semi"), "simhash-askers")
@@ -588,7 +692,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
         ends = own.join(ends, "node", "left_semi").select(F.col("node").alias("n"), F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"))
         return materialize(_sets(texts.join(ends, ["k1", "k2"]).select("n", "text").dropDuplicates(["n"]), shingle), "simhash-sets")
 
-    roots = similar(met, own.select("node", "sig"), sets_of)
+    roots = similar(met, own.select("node", "sig", "size"), sets_of)
     own = own.select(F.col("node").alias("n"), "least")
     rooted = own.join(roots, own.n == roots.node, "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("least").alias("least"))
     winners = materialize(rooted.select(F.col("least.k1").alias(k1), F.col("least.k2").alias(k2)), "simhash-winners")
