@@ -425,10 +425,12 @@ def crossing(crowd: DataFrame) -> DataFrame:
     def fields(names: np.ndarray, bits: np.ndarray) -> tuple:
         return chosen_bits(bits[:, :SIG_WORDS], which_bits), [names, np.ascontiguousarray(bits).view(kind)[:, 0]]
 
-    packed = materialize(_packed(crowd.select("node", _with_words("size", "root", "members")), classes, WORDS, fields), "simhash-crowds")
+    # Not stored: readers of Parquet take thousands of rows at once, and these are long.
+    packed = _packed(crowd.select("node", _with_words("size", "root", "members")), classes, WORDS, fields)
     entry = 2 + 8 + np.dtype(kind).itemsize
-    pieces = packed.groupBy("grp").agg(F.ceil(F.sum(F.length("entries")) / (2 * PIECE * entry)).cast("int").alias("pieces"))
-    dealt = packed.join(pieces, "grp").withColumn("own", F.pmod(F.xxhash64("entries"), F.col("pieces")).cast("int"))
+    most = 2 * PIECE * len(classes.deltas) * entry  # twice what a group has on average
+    pieces = materialize(packed.groupBy("grp").agg(F.ceil(F.sum(F.length("entries")) / most).cast("int").alias("pieces")), "simhash-pieces")
+    dealt = packed.join(F.broadcast(pieces), "grp").withColumn("own", F.pmod(F.xxhash64("entries"), F.col("pieces")).cast("int"))
     spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
     spread = spread.select("grp", "entries", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 

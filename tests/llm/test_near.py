@@ -84,7 +84,7 @@ def test_what_is_near_a_large_group_makes_no_pairs(spark, words, monkeypatch):
     assert sum(pairs) < 160 * 17 + 40 * 39
 
 
-@pytest.mark.parametrize("block, piece", [(1 << 14, 1 << 14), (16, 8)])
+@pytest.mark.parametrize("block, piece", [(1 << 14, 1 << 14), (16, 2)])
 def test_a_family_meets_in_few_rows_and_loses_no_pair(spark, monkeypatch, block, piece):
     """Signatures some bits from one another: what meetings() puts out grows with the texts, not with their variants or pairs, and
     the pairs that it leaves out come from crossing()."""
