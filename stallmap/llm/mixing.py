@@ -94,7 +94,7 @@ def plan(rows: DataFrame, share: float = SHARE, most: int = MOST_COPIES, weights
         counted = rest.groupBy("its", low).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         run = Window.partitionBy("its").orderBy("low")
         counted = counted.withColumn("upto", F.sum("words").over(run)).withColumn("before", F.col("upto") - F.col("words"))
-        ended = counted.join(small(ends, MANY_SOURCES), of).where("before < lacks and upto >= lacks")
+        ended = counted.join(small(ends.select("of", "base", "lacks"), MANY_SOURCES), of).where("before < lacks and upto >= lacks")
         ends = ended.select(F.col("its").alias("of"), F.col("low").alias("base"), (F.col("lacks") - F.col("before")).alias("lacks"), "n")
         ends = materialize(ends, "mix-ends")
         inside = (F.col("place") >= F.col("base")) & (F.col("place") < F.col("base") + F.lit(1 << bits))

@@ -56,6 +56,19 @@ def test_mix_many_rows_hit_the_target(spark):
         assert abs(r["sum(taken)"] - r["max(target)"]) <= 7
 
 
+def test_mix_ends_its_sample_in_a_later_pass(spark, monkeypatch):
+    """A bucket of more than LAST rows is looked at in another pass; the sample is the same."""
+    docs = spark.range(1500).selectExpr("id doc_id", "repeat('a ', CAST(1 + id % 5 AS INT)) text", "CAST(id % 2 AS STRING) source")
+    once = {r.doc_id: r for r in mixing.mix(docs, share=0.5).collect()}
+    monkeypatch.setattr(mixing, "LAST", 0)
+    monkeypatch.setattr(mixing, "SPLIT_BITS", 20)
+    often = {r.doc_id: r for r in mixing.mix(docs, share=0.5).collect()}
+    assert once == often
+    for source in "01":
+        own = [r for r in often.values() if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5
+
+
 def test_mixed_rows_are_those_allotted(odd_docs):
     got = mixing.mixed(odd_docs)
     assert got.columns == odd_docs.columns
