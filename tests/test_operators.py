@@ -442,3 +442,11 @@ def test_no_exchange_on_contig_alone(spark):
             assert re.search(r"hashpartitioning\(contig#\d+, tile#\d+", plan) and not re.search(r"hashpartitioning\(contig#\d+, \d+\)", plan)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_blocks_are_shuffled_once_and_bases_never(spark):
+    """Pile-ups and pairs deal out blocks by keys and bin; what follows stays where it is."""
+    df = spark.range(10).selectExpr("concat('c', id % 3) contig", "IF(id % 5 = 0, '-', '+') strand", "IF(id % 2 = 0, 'Li', 'K') cond", "CAST(id % 2 AS INT) rep", "CAST(id AS INT) start", "CAST(id + 5 AS INT) end", "1 ord")
+    for out in (pileup.pileup(df, ["contig", "strand", "cond", "rep"]), signal.pairs_of_blocks(df, ["contig", "strand", "rep"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and re.search(r"hashpartitioning\([^)]*bin#", plan)
