@@ -450,3 +450,8 @@ def test_blocks_are_shuffled_once_and_bases_never(spark):
     for out in (pileup.pileup(df, ["contig", "strand", "cond", "rep"]), signal.pairs_of_blocks(df, ["contig", "strand", "rep"])):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and re.search(r"hashpartitioning\([^)]*bin#", plan)
+
+
+def test_runs_in_arrays(spark):
+    got = spark.sql("SELECT array(5, 4, 9, 4, 7, 8) p UNION ALL SELECT array(3) UNION ALL SELECT CAST(array() AS ARRAY<INT>)").select(intervals.runs_in(F.col("p")).alias("r")).collect()
+    assert sorted([tuple(x) for x in r.r] for r in got) == [[], [(3, 4)], [(4, 6), (7, 10)]]
