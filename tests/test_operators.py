@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stallmap.constants import ALPHAS, MOTIF_KINDS, Z_VALUES, motif_pattern
 from stallmap.functions import genome, intervals, sequence, stats
+from stallmap.jobs import catalog
 from stallmap.operators import alignments, annotation, cutoff, motif, pileup, report, signal, sites
 
 
@@ -455,3 +456,14 @@ def test_blocks_are_shuffled_once_and_bases_never(spark):
 def test_runs_in_arrays(spark):
     got = spark.sql("SELECT array(5, 4, 9, 4, 7, 8) p UNION ALL SELECT array(3) UNION ALL SELECT CAST(array() AS ARRAY<INT>)").select(intervals.runs_in(F.col("p")).alias("r")).collect()
     assert sorted([tuple(x) for x in r.r] for r in got) == [[], [(3, 4)], [(4, 6), (7, 10)]]
+
+
+def test_whitelisted_runs_of_whole_contigs(spark):
+    """As by a row for each position; runs go on over edges of tiles, and contigs may end anywhere near one."""
+    rng = random.Random(5)
+    seqs = [(f"r{n}", "".join(rng.choice("ACGGT") for _ in range(n))) for n in (0, 5, 10, 11, 12, 4096, 4097, 4106, 4107, 4300, 9000)]
+    seqs += [("all", "G" * 13000), ("none", "A" * 5000), ("split", "A" * 4080 + "GGG" * 20 + "A" * 100)]
+    tiled = genome.tiles(spark.createDataFrame(seqs, "contig string, seq string"))
+    want = sorted(tuple(x) for x in intervals.runs_of_positions(catalog.white(tiled), ["contig"]).select("contig", "start", "end").collect())
+    assert sorted(tuple(x) for x in genome.whitelisted_runs(tiled, 10).collect()) == want
+    assert ("all", 10, 13000) in want
