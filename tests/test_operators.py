@@ -467,3 +467,22 @@ def test_whitelisted_runs_of_whole_contigs(spark):
     want = sorted(tuple(x) for x in intervals.runs_of_positions(catalog.white(tiled), ["contig"]).select("contig", "start", "end").collect())
     assert sorted(tuple(x) for x in genome.whitelisted_runs(tiled, 10).collect()) == want
     assert ("all", 10, 13000) in want
+
+
+def test_tables_that_follow_the_input_are_not_broadcast(spark):
+    """Not even those that Spark takes for small: their files may be, and what is exploded from them not."""
+    exons = spark.range(4).selectExpr("concat('t', id % 2) transcript_id", "'g' gene_id", "concat('c', id % 2) contig", "'+' strand", "CAST(id * 10 AS INT) start", "CAST(id * 10 + 5 AS INT) end")
+    numbered = annotation.numbered(exons)
+    seqs = exons.selectExpr("transcript_id", "'ACGT' seq")
+    tx = annotation.spliced(numbered).withColumnsRenamed({"transcript_id": "id"}).withColumn("gene_id", F.lit("g"))
+    found = exons.selectExpr("transcript_id id", "start far", "end e", "start", "start flank_start", "end flank_end")
+    places = motif.cluster_places(found, tx)
+    motifs = exons.selectExpr("transcript_id motif_id", "contig", "strand", "start", "end", "array(struct(start, end)) pieces", "array(struct(start, end)) right")
+    points = exons.selectExpr("contig", "strand", "start pos")
+    outs = [
+        annotation.untranslated(exons, exons), annotation.junction_windows(numbered, seqs), annotation.transcript_sequences(numbered, genome.tiles(seqs.withColumnsRenamed({"transcript_id": "contig"}))),
+        annotation.with_regions(exons.select("transcript_id"), exons.withColumn("region", F.lit("CDS"))), motif.placed(found, tx), places, motif.overlapping_clusters(places), motif.alike_clusters(places),
+        motif.cluster_links(places), motif.near_sites(exons, motifs), intervals.points_within(points, exons, 64),
+    ]
+    for out in outs:
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
